@@ -20,7 +20,7 @@ AS_OF = "2001-02-01"
 CIRCUIT = "NATION_7"
 RACE_NAME = "nation_7"
 ORDER = ["race_date", "race_id", "line_no", "part_id", "price_cents", "ship_date"]
-WEATHER_AS_OF = "2024-01-10"
+WEATHER_AS_OF = "2024-01-05"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
