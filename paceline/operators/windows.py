@@ -59,29 +59,40 @@ def _segmented_history(df, by, order, totals, form, n) -> DataFrame:
     with_halo, spanning = _with_halo(segmented, by, order, form, n)
     piece = Window.partitionBy("seg", *by).orderBy(*order)
     rows = with_halo.select(
-        "*",
-        *[
-            _running_sum(F.when(~F.col("halo"), F.col(c)), piece).alias(name)
-            for name, c in totals.items()
-        ],
-        *_form(form, piece.rowsBetween(-n, -1)),
+        "*", *_totals_in_piece(totals, piece), *_form(form, piece.rowsBetween(-n, -1))
     ).filter(~F.col("halo"))
+    rows = _add_openings(rows, segmented, spanning, by, totals)
+    return rows.select(*df.columns, *totals, *form)
 
-    if totals:
-        earlier = Window.partitionBy(*by).orderBy("seg")
-        opening = (
-            segmented.join(F.broadcast(spanning), by, "left_semi")
-            .groupBy(*by, "seg")
-            .agg(*[F.sum(c).alias(name) for name, c in totals.items()])
-            .select(
-                *by, "seg", *[_running_sum(F.col(t), earlier).alias(f"{t}_opening") for t in totals]
-            )
-        )
-        rows = rows.join(F.broadcast(opening), [*by, "seg"], "left")
-        rows = rows.withColumns(
-            {t: F.col(t) + F.coalesce(F.col(f"{t}_opening"), F.lit(0)) for t in totals}
+
+def _totals_in_piece(totals: dict, piece) -> list[Column]:
+    """Running totals inside a group's part of a segment, halo rows left out."""
+    return [
+        _running_sum(F.when(~F.col("halo"), F.col(c)), piece).alias(name)
+        for name, c in totals.items()
+    ]
+
+
+def _add_openings(rows, segmented, spanning, by, totals) -> DataFrame:
+    """Add to each running total what the group's earlier segments sum to.
+
+    Only groups in several segments have such an opening: fewer rows than there
+    are segments, so they are broadcast.
+    """
+    if not totals:
+        return rows
+    earlier = Window.partitionBy(*by).orderBy("seg")
+    opening = (
+        segmented.join(F.broadcast(spanning), by, "left_semi")
+        .groupBy(*by, "seg")
+        .agg(*[F.sum(c).alias(name) for name, c in totals.items()])
+        .select(
+            *by, "seg", *[_running_sum(F.col(t), earlier).alias(f"{t}_opening") for t in totals]
         )
-    return rows.select(*df.columns, *totals, *form)
+    )
+    return rows.join(F.broadcast(opening), [*by, "seg"], "left").withColumns(
+        {t: F.col(t) + F.coalesce(F.col(f"{t}_opening"), F.lit(0)) for t in totals}
+    )
 
 
 def _with_halo(segmented, by, order, form, n) -> tuple[DataFrame, DataFrame]:
@@ -122,39 +133,66 @@ def form_carried_over(
     order: list[str],
     form: dict[str, tuple[str, str]],
     n: int = 5,
+    totals: dict[str, str] | None = None,
+    max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Form that leaks over group borders, as the original computes it.
 
     Each row gets the rolling value (its last ``n`` rows, its own included) of
     the row before it in (group, order), so a group's first row receives the
-    value of the *previous group's* last row.  The lag runs over the whole table
-    and therefore inside segments, with the last row of each carried to the next.
+    value of the *previous group's* last row.  ``totals`` are those of
+    ``history_features``, computed in the same pass.
+
+    The lag runs over the whole table.  Up to ``max_rows`` rows one task does it;
+    beyond, it runs inside segments with the last row of each carried to the next.
     """
+    totals = totals or {}
+    if df.count() > max_rows:
+        return _segmented_carry(df, by, order, form, n, totals)
+    group = Window.partitionBy(*by).orderBy(*order)
+    return (
+        df.select(
+            "*",
+            *[_running_sum(F.col(c), group).alias(name) for name, c in totals.items()],
+            F.struct(*_form(form, group.rowsBetween(1 - n, 0))).alias("rolled"),
+        )
+        .withColumn("given", F.lag("rolled").over(Window.orderBy(*by, *order)))
+        .select(*df.columns, *totals, *[F.col(f"given.{name}").alias(name) for name in form])
+    )
+
+
+def _segmented_carry(df, by, order, form, n, totals) -> DataFrame:
     segmented = ordered_segments(df, [*by, *order], "carried")
-    with_halo, _ = _with_halo(segmented, by, order, form, n - 1)
+    with_halo, spanning = _with_halo(segmented, by, order, form, n - 1)
     piece = Window.partitionBy("seg", *by).orderBy(*order)
+    # Partitioned by segment alone, which serves both windows; the second then
+    # finds the rows sorted as it needs them.
     rolled = (
         with_halo.repartition("seg")
-        .select("*", F.struct(*_form(form, piece.rowsBetween(1 - n, 0))).alias("rolled"))
+        .select(
+            "*",
+            *_totals_in_piece(totals, piece),
+            F.struct(*_form(form, piece.rowsBetween(1 - n, 0))).alias("rolled"),
+        )
         .filter(~F.col("halo"))
     )
     # One row per segment; their count is the number of range partitions.
     last = rolled.groupBy("seg").agg(
         F.max_by("rolled", F.struct(*by, *order)).alias("rolled_last")
     )
-    handed = last.select(
-        "seg",
-        F.lag("rolled_last").over(Window.orderBy("seg")).alias("handed"),
-    )
+    handed = last.select("seg", F.lag("rolled_last").over(Window.orderBy("seg")).alias("handed"))
     whole = Window.partitionBy("seg").orderBy(*by, *order)
-    return (
-        rolled.join(F.broadcast(handed), "seg", "left")
-        .withColumn("nth", F.row_number().over(whole))
+    rows = (
+        rolled.withColumn("nth", F.row_number().over(whole))
         .withColumn("previous", F.lag("rolled").over(whole))
+        .join(F.broadcast(handed), "seg", "left")
         .withColumn(
             "given", F.when(F.col("nth") == 1, F.col("handed")).otherwise(F.col("previous"))
         )
-        .select(*df.columns, *[F.col(f"given.{name}").alias(name) for name in form])
+    )
+    rows = _add_openings(rows, segmented, spanning, by, totals)
+    return rows.select(
+        *df.columns, *totals, *[F.col(f"given.{name}").alias(name) for name in form]
     )
 
 

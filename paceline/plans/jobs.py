@@ -162,9 +162,27 @@ def season_tables(t: Tables, events, session_results, season: int, as_of_date: s
 
 
 @dataclass
-class Matrices:
-    train: DataFrame
-    score: DataFrame
+class Prepared:
+    """What training and scoring both start from."""
+
+    tables: Tables
+    past: DataFrame  # results of active drivers with their history columns
+    stats: DataFrame  # records at the target circuit
+    circuit_id: str
+    season: int
+    variant: str
+
+    def train(self) -> DataFrame:
+        """Training matrix, before cleaning."""
+        t = self.tables
+        stats = self.stats if self.variant == "faithful" else None
+        return train_matrix(self.past, stats, t.qualifying, t.circuit_features)
+
+    def score(self, weather: DataFrame) -> DataFrame:
+        """Scoring matrix, before cleaning; ``weather`` has the race's one row."""
+        return score_matrix(
+            self.tables, self.past, self.stats, self.season, self.circuit_id, weather
+        )
 
 
 @dataclass
@@ -175,30 +193,28 @@ class Prediction:
     importances: DataFrame
 
 
-def build_matrices(
+def prepare(
     t: Tables,
     circuit_id: str,
     season: int,
-    weather: DataFrame,
     as_of_season: int | None = None,
     variant: str = "faithful",
-) -> Matrices:
-    """Training and scoring matrix, before cleaning."""
+) -> Prepared:
     as_of_season = season if as_of_season is None else as_of_season
-    past_all = history(t.results, as_of_season)
+    columns = ["row_key", *t.order, "circuit_id", "driver_id", "constructor_id"]
+    columns += ["grid", "finish", "points", "win"]
+    # Read by every step below; behind it lie the parsing and joins of the sources.
+    past_all = materialize(
+        history(t.results, as_of_season).select(*dict.fromkeys(columns)), "history"
+    )
     windowed = with_history_columns(past_all, t.order, variant)
     if variant == "corrected":
         windowed = circuit_stats_as_of(windowed)
-    # Read four times below (training rows, circuit record, grids, last form).
     active = t.drivers.filter(F.col("season") == season)
+    # Read for training rows, circuit records, average grids and last form.
     past = materialize(keep_members(windowed, active, "driver_id"), "past")
     stats = target_circuit_stats(t, past_all, past, circuit_id)
-    return Matrices(
-        train=train_matrix(
-            past, stats if variant == "faithful" else None, t.qualifying, t.circuit_features
-        ),
-        score=score_matrix(t, past, stats, season, circuit_id, weather),
-    )
+    return Prepared(t, past, stats, circuit_id, season, variant)
 
 
 def predict_winner(
@@ -221,12 +237,9 @@ def predict_winner(
     as_of_season = season if as_of_season is None else as_of_season
     if race.isEmpty() or last_seasons(t.results, as_of_season).isEmpty():
         return None
-    weather = weather_or_default(race, t.weather, as_of_date)
-    circuit_id = circuit_of(t, race_name)
-    matrices = build_matrices(t, circuit_id, season, weather, as_of_season, variant)
-
-    train = materialize(weight(clean(matrices.train)), "train")
-    score = weight(clean(matrices.score))
+    prepared = prepare(t, circuit_of(t, race_name), season, as_of_season, variant)
+    train = materialize(weight(clean(prepared.train())), "train")
+    score = weight(clean(prepared.score(weather_or_default(race, t.weather, as_of_date))))
     if variant == "corrected":
         train = materialize(hash_split(train, "row_key"), "split")
         fitted = robust_fit(train.filter(~F.col("is_test"))).cache()

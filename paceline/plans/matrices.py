@@ -47,12 +47,10 @@ def with_team_totals(df: DataFrame, order: list[str], variant: str = "faithful")
 
 def with_history_columns(df: DataFrame, order: list[str], variant: str = "faithful") -> DataFrame:
     """Driver totals, form and team totals; all drivers must still be present."""
+    df = with_team_totals(df, order, variant)
     if variant == "faithful":
-        df = history_features(df, ["driver_id"], order, DRIVER_TOTALS)
-        df = form_carried_over(df, ["driver_id"], order, FORM_COLUMNS)
-    else:
-        df = history_features(df, ["driver_id"], order, DRIVER_TOTALS, FORM_COLUMNS)
-    return with_team_totals(df, order, variant)
+        return form_carried_over(df, ["driver_id"], order, FORM_COLUMNS, totals=DRIVER_TOTALS)
+    return history_features(df, ["driver_id"], order, DRIVER_TOTALS, FORM_COLUMNS)
 
 
 def with_qualifying(df: DataFrame, qualifying: DataFrame) -> DataFrame:

@@ -362,6 +362,14 @@ BODIES = {
     "form_last5_faithful": """
         select row_key, driver_id, avg_points_last5, avg_finish_last5, wins_last5
         from form_faithful""",
+    "driver_history_segmented": """
+        select row_key, points_before, wins_before, avg_points_last5, avg_finish_last5, wins_last5
+        from driver_totals join form using (row_key)""",
+    "team_totals_segmented": """
+        select row_key, team_points_before, team_wins_before from team_totals_faithful""",
+    "form_carried_segmented": """
+        select row_key, points_before, wins_before, avg_points_last5, avg_finish_last5, wins_last5
+        from driver_totals join form_faithful using (row_key)""",
     "circuit_stats": "select * from stats",
     "circuit_stats_fallback": """
         select driver_id, avg(finish) as avg_finish_circuit,

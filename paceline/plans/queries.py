@@ -13,7 +13,7 @@ from paceline.operators import features, filters, metrics, model, stats
 from paceline.operators.balance import balance
 from paceline.operators.neighbours import nearest
 from paceline.operators.split import hash_split
-from paceline.operators.windows import history_features
+from paceline.operators.windows import form_carried_over, history_features
 from paceline.plans import derived, jobs, matrices, star
 from paceline.schemas import CIRCUIT_STATS, FEATURES, FORM
 from paceline.session import materialize
@@ -275,6 +275,47 @@ def form_last5_faithful(spark, sf):
     return rows.select("row_key", "driver_id", *FORM)
 
 
+# The same windows by way of segments, as they run where groups are too large
+
+
+@query
+def driver_history_segmented(spark, sf):
+    rows = history_features(
+        _history(spark, sf),
+        ["driver_id"],
+        star.ORDER,
+        matrices.DRIVER_TOTALS,
+        matrices.FORM_COLUMNS,
+        max_group_rows=0,
+    )
+    return rows.select("row_key", *matrices.DRIVER_TOTALS, *FORM)
+
+
+@query
+def team_totals_segmented(spark, sf):
+    rows = history_features(
+        _history(spark, sf),
+        ["constructor_id"],
+        ["driver_id", *star.ORDER],
+        matrices.TEAM_TOTALS,
+        max_group_rows=0,
+    )
+    return rows.select("row_key", *matrices.TEAM_TOTALS)
+
+
+@query
+def form_carried_segmented(spark, sf):
+    rows = form_carried_over(
+        _history(spark, sf),
+        ["driver_id"],
+        star.ORDER,
+        matrices.FORM_COLUMNS,
+        totals=matrices.DRIVER_TOTALS,
+        max_rows=0,
+    )
+    return rows.select("row_key", *matrices.DRIVER_TOTALS, *FORM)
+
+
 # Statistics
 
 
@@ -501,26 +542,27 @@ def season_so_far(spark, sf):
 # Feature matrices
 
 
-def _matrices(spark, sf, variant="faithful"):
+def _train(spark, sf, variant="faithful"):
     t = star.tables(spark, sf)
-    race = t.calendar.filter(F.col("race_name") == star.RACE_NAME)
-    weather = jobs.weather_or_default(race, t.weather, star.WEATHER_AS_OF)
-    return jobs.build_matrices(t, star.CIRCUIT, star.SEASON, weather, variant=variant)
+    return jobs.prepare(t, star.CIRCUIT, star.SEASON, variant=variant).train()
 
 
 @query
 def train_matrix(spark, sf):
-    return _matrices(spark, sf).train
+    return _train(spark, sf)
 
 
 @query
 def train_matrix_corrected(spark, sf):
-    return _matrices(spark, sf, "corrected").train
+    return _train(spark, sf, "corrected")
 
 
 @query
 def score_matrix(spark, sf):
-    return _matrices(spark, sf).score
+    t = star.tables(spark, sf)
+    race = t.calendar.filter(F.col("race_name") == star.RACE_NAME)
+    weather = jobs.weather_or_default(race, t.weather, star.WEATHER_AS_OF)
+    return jobs.prepare(t, star.CIRCUIT, star.SEASON).score(weather)
 
 
 @query
@@ -540,18 +582,18 @@ def fill_and_clean(spark, sf):
 
 @query
 def log_and_weight(spark, sf):
-    rows = features.weight(features.clean(_matrices(spark, sf).train))
+    rows = features.weight(features.clean(_train(spark, sf)))
     return rows.select("row_key", *[F.round(c, 9).alias(c) for c in features.WEIGHTS])
 
 
 def _scaled(spark, sf):
-    train = materialize(features.weight(features.clean(_matrices(spark, sf).train)), "train")
+    train = materialize(features.weight(features.clean(_train(spark, sf))), "train")
     return features.robust_apply(train, features.robust_fit(train))
 
 
 @query
 def robust_parameters(spark, sf):
-    train = features.weight(features.clean(_matrices(spark, sf).train))
+    train = features.weight(features.clean(_train(spark, sf)))
     return features.robust_fit(train).select(
         "feature", F.round("center", 9).alias("center"), F.round("scale", 9).alias("scale")
     )
