@@ -162,14 +162,16 @@ def score_matrix(
         field, first_race_qualifying(t.qualifying, season, circuit_id), past
     )
     field = field.join(latest_form(past, t.order), "driver_id", "left")
-    field = with_circuit_features(
-        field.withColumn("circuit_id", F.lit(circuit_id)), t.circuit_features
+    # The race's circuit and weather are one row each: looked up once, not joined.
+    race = field.sparkSession.createDataFrame([(circuit_id,)], "circuit_id string")
+    place = with_circuit_features(race, t.circuit_features).select(
+        F.struct("circuit_type_code", "circuit_length")
     )
-    one_day = weather.select(
+    day = weather.select(
         F.struct("temperature", F.col("is_wet").cast("int").alias("is_wet"), "rain_chance")
-    ).scalar()
-    return field.withColumn("day", one_day).select(
-        "driver_id", "driver", "constructor_name", *FEATURES[:-3], "day.*"
+    )
+    return field.withColumns({"place": place.scalar(), "day": day.scalar()}).select(
+        "driver_id", "driver", "constructor_name", *FEATURES[:13], "place.*", "day.*"
     )
 
 
