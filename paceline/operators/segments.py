@@ -6,8 +6,8 @@ spreads over consecutive *segments*, each about one n-th of all rows whatever
 the key distribution, and only what crosses a segment's border is carried over.
 
 A border between two segments can cut through one group at most, so with n
-segments there are at most n - 1 groups that need anything carried, and at most
-n - 1 (group, segment) pairs that receive it.  That bounds what is broadcast.
+segments there are at most n - 1 groups that need anything carried, and fewer
+than 2n (group, segment) pairs they make up.  That bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from paceline.session import materialize
 # Rows of one group a single task may sort; beyond it the group is segmented.
 MAX_GROUP_ROWS = 4_000_000
 
+# Rows of a whole table that may pass through one task, where an operator looks
+# across group borders; far lower, because nothing else runs meanwhile.
+MAX_TABLE_ROWS = 100_000
+
 
 def largest_group(df: DataFrame, by: list[str]) -> int:
     """Rows in the largest group (counted before the shuffle, then summed)."""

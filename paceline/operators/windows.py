@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paceline.operators.segments import (
     MAX_GROUP_ROWS,
+    MAX_TABLE_ROWS,
     largest_group,
     ordered_segments,
     spanning_groups,
@@ -76,8 +77,8 @@ def _totals_in_piece(totals: dict, piece) -> list[Column]:
 def _add_openings(rows, segmented, spanning, by, totals) -> DataFrame:
     """Add to each running total what the group's earlier segments sum to.
 
-    Only groups in several segments have such an opening: fewer rows than there
-    are segments, so they are broadcast.
+    Only groups in several segments have openings; with n segments that makes
+    fewer than 2n rows, so they are broadcast.
     """
     if not totals:
         return rows
@@ -134,7 +135,7 @@ def form_carried_over(
     form: dict[str, tuple[str, str]],
     n: int = 5,
     totals: dict[str, str] | None = None,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = MAX_TABLE_ROWS,
 ) -> DataFrame:
     """Form that leaks over group borders, as the original computes it.
 

@@ -52,6 +52,13 @@ def _history(spark, sf) -> DataFrame:
     return matrices.history(star.history_results(spark, sf), star.SEASON)
 
 
+def _history_table(spark, sf) -> DataFrame:
+    """The history as the window operators read it, more than once: written, so
+    that the joins behind it run once."""
+    columns = ["row_key", *star.ORDER, "driver_id", "constructor_id", "finish", "points", "win"]
+    return materialize(_history(spark, sf).select(*columns), "history")
+
+
 def _past(spark, sf) -> DataFrame:
     return filters.keep_members(_history(spark, sf), star.active_drivers(spark, sf), "driver_id")
 
@@ -246,32 +253,32 @@ def circuit_feature_lookup(spark, sf):
 @query
 def driver_totals_before(spark, sf):
     rows = history_features(
-        _history(spark, sf), ["driver_id"], star.ORDER, matrices.DRIVER_TOTALS
+        _history_table(spark, sf), ["driver_id"], star.ORDER, matrices.DRIVER_TOTALS
     )
     return rows.select("row_key", "driver_id", *matrices.DRIVER_TOTALS)
 
 
 @query
 def team_totals_before_faithful(spark, sf):
-    rows = matrices.with_team_totals(_history(spark, sf), star.ORDER, "faithful")
+    rows = matrices.with_team_totals(_history_table(spark, sf), star.ORDER, "faithful")
     return rows.select("row_key", "constructor_id", *matrices.TEAM_TOTALS)
 
 
 @query
 def team_totals_before_asof(spark, sf):
-    rows = matrices.with_team_totals(_history(spark, sf), star.ORDER, "corrected")
+    rows = matrices.with_team_totals(_history_table(spark, sf), star.ORDER, "corrected")
     return rows.select("row_key", "constructor_id", *matrices.TEAM_TOTALS)
 
 
 @query
 def form_last5(spark, sf):
-    rows = matrices.with_form(_history(spark, sf), star.ORDER, "corrected")
+    rows = matrices.with_form(_history_table(spark, sf), star.ORDER, "corrected")
     return rows.select("row_key", "driver_id", *FORM)
 
 
 @query
 def form_last5_faithful(spark, sf):
-    rows = matrices.with_form(_history(spark, sf), star.ORDER, "faithful")
+    rows = matrices.with_form(_history_table(spark, sf), star.ORDER, "faithful")
     return rows.select("row_key", "driver_id", *FORM)
 
 
@@ -281,7 +288,7 @@ def form_last5_faithful(spark, sf):
 @query
 def driver_history_segmented(spark, sf):
     rows = history_features(
-        _history(spark, sf),
+        _history_table(spark, sf),
         ["driver_id"],
         star.ORDER,
         matrices.DRIVER_TOTALS,
@@ -294,7 +301,7 @@ def driver_history_segmented(spark, sf):
 @query
 def team_totals_segmented(spark, sf):
     rows = history_features(
-        _history(spark, sf),
+        _history_table(spark, sf),
         ["constructor_id"],
         ["driver_id", *star.ORDER],
         matrices.TEAM_TOTALS,
@@ -306,7 +313,7 @@ def team_totals_segmented(spark, sf):
 @query
 def form_carried_segmented(spark, sf):
     rows = form_carried_over(
-        _history(spark, sf),
+        _history_table(spark, sf),
         ["driver_id"],
         star.ORDER,
         matrices.FORM_COLUMNS,
@@ -443,7 +450,7 @@ def history_qualifying_fallback(spark, sf):
 
 @query
 def latest_snapshot(spark, sf):
-    rows = matrices.with_form(_history(spark, sf), star.ORDER, "corrected")
+    rows = matrices.with_form(_history_table(spark, sf), star.ORDER, "corrected")
     past = filters.keep_members(rows, star.active_drivers(spark, sf), "driver_id")
     return matrices.latest_form(materialize(past, "past"), star.ORDER)
 
@@ -611,7 +618,7 @@ def robust_scale(spark, sf):
 
 @query
 def hash_split_rows(spark, sf):
-    rows = _history(spark, sf).select("row_key", "win")
+    rows = materialize(_history(spark, sf).select("row_key", "win"), "history")
     return hash_split(rows, "row_key").withColumn("is_test", F.col("is_test").cast("int"))
 
 

@@ -20,7 +20,7 @@ def final(text):
 
 @pytest.mark.parametrize(
     "name",
-    ["driver_totals_before", "form_last5", "circuit_stats", "season_so_far", "winner_per_circuit"],
+    ["circuit_stats", "circuit_stats_asof", "season_so_far", "winner_per_circuit"],
 )
 def test_the_season_range_reaches_the_scan(spark, sf_dir, name):
     text = plan_text(QUERIES[name](spark, sf_dir))
