@@ -177,9 +177,20 @@ def _segmented_carry(df, by, order, form, n, totals) -> DataFrame:
         )
         .filter(~F.col("halo"))
     )
-    # One row per segment; their count is the number of range partitions.
-    last = rolled.groupBy("seg").agg(
-        F.max_by("rolled", F.struct(*by, *order)).alias("rolled_last")
+    # A segment hands on the rolling value of its last row, which takes that row's
+    # group among the segment's last n rows.  One row per segment results; their
+    # count is the number of range partitions.
+    backwards = Window.partitionBy("seg").orderBy(*[F.col(c).desc() for c in [*by, *order]])
+    last = (
+        with_halo.withColumn("from_end", F.row_number().over(backwards))
+        .filter(F.col("from_end") <= n)
+        .groupBy("seg", *by)
+        .agg(
+            F.min("from_end").alias("from_end"),
+            *[FORM_FUNCTIONS[kind](column).alias(name) for name, (kind, column) in form.items()],
+        )
+        .filter("from_end = 1")
+        .select("seg", F.struct(*form).alias("rolled_last"))
     )
     handed = last.select("seg", F.lag("rolled_last").over(Window.orderBy("seg")).alias("handed"))
     whole = Window.partitionBy("seg").orderBy(*by, *order)

@@ -8,6 +8,7 @@ untaxed one no grid, so that missing values occur.  See FIXTURES.md.
 from __future__ import annotations
 
 from datetime import date
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,7 @@ def orders(spark, sf_dir, first: int | None = None, last: int | None = None) ->
     )
 
 
+@lru_cache(maxsize=64)  # keeps plans, not rows
 def races(spark, sf_dir, first: int | None = None, last: int | None = None) -> DataFrame:
     """The schedule: one row per race with its circuit."""
     customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -76,6 +78,7 @@ def races(spark, sf_dir, first: int | None = None, last: int | None = None) -> D
     )
 
 
+@lru_cache(maxsize=64)
 def drivers(spark, sf_dir) -> DataFrame:
     nation = read(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("constructor_id"), F.col("n_name").alias("constructor_name")
@@ -108,6 +111,7 @@ def lines(spark, sf_dir) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def results(spark, sf_dir, first: int | None = None, last: int | None = None) -> DataFrame:
     rows = (
         lines(spark, sf_dir)
@@ -138,6 +142,7 @@ def active_drivers(spark, sf_dir) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def qualifying(spark, sf_dir, first: int | None = None, last: int | None = None) -> DataFrame:
     """Lowest line per driver and day among finished lines; some have none."""
     rows = lines(spark, sf_dir).filter(F.col("status") == "F")
