@@ -30,7 +30,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def widened(spark: SparkSession, df: DataFrame, mb_each: int = 16) -> DataFrame:
+def widened(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``df`` with no fewer partitions than cores, for work that is all in the tasks.
 
     A small file is one partition; without this one core would do everything.
@@ -83,15 +83,20 @@ def text_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tup
         first = end
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of each row, A-Z lower-cased, and the words' row offsets.
+def word_parts(
+    data: np.ndarray, offsets: np.ndarray, keep: np.ndarray, beginnings: tuple[int, ...] = ()
+) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """64-bit hashes of the words of each row, A-Z lower-cased; for each length in
+    ``beginnings`` the hashes of the longer words' first bytes with those words'
+    places; and the words' row offsets.
 
     A word is a longest run of bytes in ``keep``.  Its hash is a sum of random
     factors times bytes (two words are equal with a chance below 2^-56), mixed.
     """
     n = len(data)
+    nothing = np.zeros(0, np.uint64)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return nothing, [(nothing, np.zeros(0, int))] * len(beginnings), np.zeros(len(offsets), np.int64)
     folded = LOWER[data]
     inside = keep[folded]
     before = np.empty(n, bool)
@@ -101,13 +106,26 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple
     before[inner[inner < n]] = False
     starts = np.flatnonzero(inside & ~before)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return nothing, [(nothing, np.zeros(0, int))] * len(beginnings), np.zeros(len(offsets), np.int64)
     at = np.cumsum(inside) - 1  # place of each byte among the kept ones
     first = at[starts]
     lengths = np.diff(np.append(first, at[-1] + 1))
     place = np.arange(at[-1] + 1) - np.repeat(first, lengths)
     parts = _factors(int(lengths.max()))[place] * (folded[inside].astype(np.uint64) + np.uint64(1))
-    return mix(np.add.reduceat(parts, first)), np.searchsorted(starts, offsets)
+    whole = mix(np.add.reduceat(parts, first))
+    begun = []
+    if beginnings:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(parts)])
+        for k in beginnings:
+            there = np.flatnonzero(lengths > k)
+            begun.append((mix(sums[first[there] + k] - sums[first[there]] + np.uint64(k)), there))
+    return whole, begun, np.searchsorted(starts, offsets)
+
+
+def hash_words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each row and the words' row offsets (see ``word_parts``)."""
+    whole, _, rows = word_parts(data, offsets, keep)
+    return whole, rows
 
 
 def hash_terms(words: Iterable[str], keep: np.ndarray) -> np.ndarray:

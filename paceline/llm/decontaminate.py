@@ -316,3 +316,12 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
             (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
         )
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the documents in which a window of an item occurs.
+
+    Rows that share a doc_id go together; rows without one stay.
+    """
+    bad = report(docs, items, window).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("__bad"))
+    return docs.join(bad.distinct(), docs["doc_id"].cast("bigint") == F.col("__bad"), "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from paceline.llm import urls
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -79,8 +81,55 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m
 """
 
+def _terms(terms) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+
+
+def url_filter_sql() -> str:
+    """Rules as an ordered case list; a term stands by itself where a pattern with its borders matches."""
+    ordered = sorted(urls.RULES, key=lambda r: (-len(r.name), r.name))
+    fits = lambda r: f"((host = '{r.host}' or host like '%.{r.host}') and starts_with(path, '{r.path}'))"
+    rule = " ".join(f"when {fits(r)} then '{r.name}'" for r in ordered)
+    ruled = " ".join(f"when {fits(r)} then '{'block' if r.block else 'allow'}'" for r in ordered)
+    stands = "lambda t: regexp_matches(low, '(^|[^a-z0-9])' || t || '($|[^a-z0-9])')"
+    weights = ", ".join(f"'{t}': {w}" for t, w in urls.SOFT.items())
+    return rf"""
+with u as (
+  select page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+         case when contains(url, '://') then url[strpos(url, '://') + 3 :] else '' end as rest from pages),
+p as (
+  select page_id, low, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         len(list_filter({_terms(urls.STRICT)}, {stands})) as strict,
+         coalesce(list_sum(list_transform(list_filter({_terms(t for t in urls.SOFT if t not in urls.STRICT)}, {stands}),
+                  lambda t: map {{{weights}}}[t])), 0) as soft
+  from u)
+select page_id, host, path, case {rule} end as rule,
+       coalesce(case {ruled} end, case when strict > 0 or soft >= {urls.ENOUGH} then 'block' else 'allow' end) as verdict
+from p
+"""
+
+
+_BASE32 = "".join(
+    f" || translate(lpad(to_base(('0x' || sha[{5 * k + 1}:{5 * k + 5}])::bigint, 32), 4, '0'),"
+    " '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+    for k in range(8)
+)
+
+WARC = f"""
+with p as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha,
+         max(page_id) over (partition by coalesce(html, '')) as top from pages)
+select page_id, octet_length(encode(html))::bigint as payload_bytes, ''{_BASE32} as payload_digest,
+       case when page_id = top then 'response' else 'revisit' end as record_type,
+       case when page_id <> top then top end as refers_to
+from p
+"""
+
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": near_duplicates_sql(2, 80),
+    "op4_warc": WARC,
+    "op6_url_filter": url_filter_sql(),
     "op9_decontamination": DECONTAMINATION,
     "op10_quality_rules": QUALITY,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import decontaminate, neardup, packing, quality, tokens
+from paceline.llm import decontaminate, langid, neardup, packing, pii, quality, tokens, toxicity, urls, warc
 from paceline.llm.common import read
 
 
@@ -17,6 +17,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = langid.fit(docs.filter(~langid.held_out()))
+    rows = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
+    return langid.identify(rows, net).drop("text")
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, tokenizer_path("word_bpe_49k.json")).drop("text")
@@ -26,10 +33,32 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(read(spark, sf_dir, "pages"))
+    return warc.describe(warc.read_archive(spark, archive))
+
+
+def surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def judged_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = urls.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
+    return pages.select("page_id", "host", "path", "rule", "verdict")
+
+
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~langid.held_out())
+    classifier = toxicity.fit(docs, labels)
+    rows = docs.withColumn("held_out", langid.held_out())
+    return toxicity.score(rows, classifier).drop("text")
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -51,9 +80,14 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": languages,
     "op2_token_counts": token_counts,
     "op3_near_duplicates": near_duplicates,
+    "op4_warc": archived_pages,
+    "op5_pii_surrogates": surrogates,
+    "op6_url_filter": judged_urls,
     "op7_packing": packed_sequences,
+    "op8_toxicity": toxicity_scores,
     "op9_decontamination": decontamination,
     "op10_quality_rules": quality_rules,
 }
