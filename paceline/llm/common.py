@@ -83,6 +83,13 @@ def text_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tup
         first = end
 
 
+def byte_signs() -> list[str]:
+    """The sign that stands for each byte: itself if it prints, else the next free one from U+0100."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in prints]
+    return [chr(b) if b in prints else chr(0x100 + others.index(b)) for b in range(256)]
+
+
 def word_parts(
     data: np.ndarray, offsets: np.ndarray, keep: np.ndarray, beginnings: tuple[int, ...] = ()
 ) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:

@@ -9,102 +9,157 @@ The vocabulary is merged pairs of a byte alphabet with a mark at word ends
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import widened
+from paceline.llm.common import byte_signs, widened
 
 #: Texts with more tokens than this are over the limit.
 LIMIT = 2048
 
-#: Entries of each cache of a worker; a full cache is emptied.
-CACHE = 200_000
+#: Entries of each table a worker keeps; a full one is emptied.
+CACHE = 500_000
 
 
 class WordPrefixes:
     """Token counts of all prefixes of a word (a sequence of byte symbols).
 
     The encoding of a prefix is that of a shorter prefix plus one last token.
-    Exactly one last token is right: the one whose pair with the last token of
-    the shorter prefix is what merging the two would leave standing.  So one
-    pass finds count and last token for every prefix, twice over: for prefixes
-    that go on (open) and for those that end there (closed by the end mark).
+    Exactly one last token is right: the one whose border with the last token of
+    the shorter prefix merging leaves standing.  So a table over prefixes holds
+    a count and a last token each (``opened``), filled from shorter to longer and
+    shared by all words that begin alike.  A word that ends takes one more step,
+    to a last token with the end mark.
     """
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str):
         self.vocabulary, self.end = vocabulary, end
         self.rank = {pair: i for i, pair in enumerate(merges)}
+        #: The merge that makes a token: its rank and its parts.
+        self.made: dict[str, tuple[int, str, str]] = {}
+        for i, (left, right) in enumerate(merges):
+            self.made.setdefault(left + right, (i, left, right))
         self.longest = max((len(t) - len(end) * t.endswith(end) for t in vocabulary), default=1)
+        self.spines: dict[tuple[str, int], list[tuple[str, float]]] = {}
+        self.whole: dict[str, bool] = {}
         self.stands: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
-
-    def merged(self, symbols: list[str]) -> list[str]:
-        """Plain merging: the pair of lowest rank first, its places from the left."""
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:], strict=False), key=lambda p: self.rank.get(p, 1 << 60))
-            if best not in self.rank:
-                break
-            out, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return symbols
-
-    def symbols(self, token: str) -> list[str]:
-        if token.endswith(self.end) and len(token) > len(self.end):
-            body = token[: -len(self.end)]
-            return [*body[:-1], body[-1] + self.end]
-        return list(token)
-
-    def is_whole(self, token: str) -> bool:
-        """Whether the token's own symbols merge into it."""
-        found = self.alone.get(token)
+        self.opened: dict[str, tuple[int, str]] = {"": (0, "")}
+        for token in vocabulary:
+            self.is_whole(token)
+
+    def spine(self, token: str, side: int) -> list[tuple[str, float]]:
+        """What stands at the left (1) or right (2) border of a token while it is
+        being merged, each with the rank of the merge that ends it."""
+        found = self.spines.get((token, side))
         if found is None:
-            found = self.alone[token] = self.merged(self.symbols(token)) == [token]
+            found, until, t = [], float("inf"), token
+            while t is not None:
+                found.append((t, until))
+                made = self.made.get(t)
+                until, t = (made[0], made[side]) if made else (until, None)
+            self.spines[token, side] = found
         return found
 
     def may_follow(self, left: str, right: str) -> bool:
+        """Whether merging leaves the border between two tokens standing.
+
+        A merge across the border takes place if both its parts are still there
+        when its rank comes; of equal ranks the one further left goes first.
+        """
         found = self.stands.get((left, right))
         if found is None:
             if len(self.stands) > CACHE:
                 self.stands.clear()
-            found = self.stands[left, right] = self.merged([*self.symbols(left), *self.symbols(right)]) == [left, right]
+            found = True
+            for x, until_x in self.spine(left, 2):
+                for y, until_y in self.spine(right, 1):
+                    rank = self.rank.get((x, y))
+                    if rank is not None and rank < until_x and rank <= until_y:
+                        found = False
+            self.stands[left, right] = found
         return found
 
+    def is_whole(self, token: str) -> bool:
+        """Whether a token's own symbols merge into it: its parts do, and stand side by side until they meet."""
+        found = self.whole.get(token)
+        if found is None:
+            made = self.made.get(token)
+            if token not in self.vocabulary:
+                found = False
+            elif made is None:
+                found = len(token) - len(self.end) * token.endswith(self.end) == 1
+            else:
+                rank, left, right = made
+                found = self.is_whole(left) and self.is_whole(right)
+                for x, until_x in self.spine(left, 2):
+                    for y, until_y in self.spine(right, 1):
+                        other = self.rank.get((x, y))
+                        if other is not None and other < rank and other < until_x and other <= until_y:
+                            found = False
+            if made is not None or found:
+                self.whole[token] = found
+        return found
+
+    def _step(self, word: str, i: int, states: list[tuple[int, str]], mark: str) -> tuple[int, str]:
+        """Count and last token of word[:i], by those of its shorter prefixes."""
+        whole, stands = self.whole, self.stands
+        for j in range(i - self.longest if i > self.longest else 0, i):
+            token = word[j:i] + mark
+            if whole.get(token):
+                count, last = states[j]
+                if not j:
+                    return 1, token
+                fits = stands.get((last, token))
+                if fits is None:
+                    fits = self.may_follow(last, token)
+                if fits:
+                    return count + 1, token
+        raise ValueError(f"no token ends at {i} of {word!r}")
+
+    def states(self, word: str) -> list[tuple[int, str]]:
+        """The table's entries for word[:0], word[:1], ... and all of it."""
+        opened = self.opened
+        if len(opened) > CACHE:
+            opened.clear()
+            opened[""] = (0, "")
+        out = [opened[""]]
+        for i in range(1, len(word) + 1):
+            state = opened.get(word[:i])
+            if state is None:
+                state = opened[word[:i]] = self._step(word, i, out, "")
+            out.append(state)
+        return out
+
+    def count(self, word: str) -> int:
+        """Tokens of a word."""
+        return self._step(word, len(word), self.states(word[:-1]), self.end)[0]
+
     def counts(self, word: str) -> list[int]:
         """Tokens of word[:1], word[:2], ... each taken as a whole word."""
-        n, vocabulary, end = len(word), self.vocabulary, self.end
-        last: list[str] = [""] * (n + 1)
-        open_ = [0] * (n + 1)
-        closed = [0] * n
-        for i in range(1, n + 1):
-            for mark in (False, True):
-                for j in range(max(0, i - self.longest), i):
-                    token = word[j:i] + end * mark
-                    if token in vocabulary and self.is_whole(token) and (j == 0 or self.may_follow(last[j], token)):
-                        if mark:
-                            closed[i - 1] = open_[j] + 1
-                        else:
-                            open_[i], last[i] = open_[j] + 1, token
-                        break
-                else:
-                    raise ValueError(f"no token ends at {i} of {word!r}")
-        return closed
+        states = self.states(word)
+        return [self._step(word, i, states, self.end)[0] for i in range(1, len(word) + 1)]
+
+
+#: Letters, marks and signs up to Armenian: here Python and the library agree on
+#: what is a letter, a number and white space, and lower case goes sign by sign.
+_COMMON = re.compile("[^\0-\u012f\u0131-\u03a2\u03a4-\u058f]")
+
+#: Fixed value: the vocabulary's splitting pattern, white space spelled out.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+"
 
 
 class TextPrefixes:
-    """Token counts of all prefixes of whole texts, by the library's own normaliser and splitter."""
+    """Token counts of all prefixes of whole texts, words split as the library splits them."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -116,9 +171,30 @@ class TextPrefixes:
             parts["model"]["end_of_word_suffix"],
         )
         self.special = [t["content"] for t in parts["added_tokens"]]
+        self.split = regex.compile(_SPLIT).findall
+        self.signs = byte_signs()
+        self.totals: dict[str, int] = {}
         self.cache: dict[str, tuple[bytes, int, str]] = {}
         self.piece_cache: dict[str, list[int]] = {}
 
+    def total(self, text: str) -> int:
+        """Tokens of the whole text: the sum over its words of their last prefixes."""
+        if any(s in text for s in self.special):
+            return sum(1 if special else self._plain(part) for part, special in self.pieces(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> int:
+        """Tokens of a text in which special strings count as ordinary ones."""
+        if _COMMON.search(text) or not unicodedata.is_normalized("NFC", text):
+            n = self.tokenizer.normalizer.normalize_str(text)
+            return sum(self.words.count(s) for s, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(n))
+        totals, words = self.totals, self.split(text.lower())
+        if len(totals) > CACHE:
+            totals.clear()
+        for w in set(words).difference(totals):
+            totals[w] = self.words.count(w if w.isascii() else "".join([self.signs[b] for b in w.encode()]))
+        return sum(map(totals.__getitem__, words))
+
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """Runs of ordinary text and, marked true, special strings; leftmost first."""
         while True:
@@ -168,37 +244,36 @@ class TextPrefixes:
             done += places
         return np.asarray(done, "<u4").tobytes(), total, form
 
-    def _plain(self, text: str) -> int:
-        return sum(
-            self._piece(s)[-1]
-            for s, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
-        )
-
     def _chunks(self, text: str) -> list[tuple[bytes, int, str]]:
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-        out = []
-        for c in text.replace("\n", " ").split(" "):
-            got = cache.get(c)
-            if got is None:
-                got = cache[c] = self.chunk(c)
-            out.append(got)
-        return out
+        chunks = text.replace("\n", " ").split(" ")
+        for c in set(chunks):
+            if c not in cache:
+                cache[c] = self.chunk(c)
+        return [cache[c] for c in chunks]
 
     def __call__(self, text: str) -> np.ndarray:
         """counts[0..n] for the n characters of ``self.form(text)``."""
-        chunks = self._chunks(text)
+        raw, totals, _ = zip(*self._chunks(text), strict=True)
         # One entry before each chunk: the start, or the space between two.
-        inside = np.frombuffer(b"\0\0\0\0".join([b"", *(c[0] for c in chunks)]), "<u4").astype(np.int64)
-        before = np.concatenate([[0], np.cumsum([c[1] for c in chunks])[:-1]]).astype(np.int64)
-        return inside + np.repeat(before, [len(c[0]) // 4 + 1 for c in chunks])
+        inside = np.frombuffer(b"\0\0\0\0".join([b"", *raw]), "<u4")
+        before = np.zeros(len(raw), np.int64)
+        np.cumsum(totals[:-1], out=before[1:])
+        return inside + np.repeat(before, np.fromiter(map(len, raw), np.int64, len(raw)) // 4 + 1)
 
     def form(self, text: str) -> str:
         """The text whose prefixes are counted: chunks normalised, a space for every space or line end."""
         return " ".join([c[2] for c in self._chunks(text)])
 
 
+@lru_cache(maxsize=2)
+def prefixes_of(path: str) -> TextPrefixes:
+    """A worker's tables, kept from task to task."""
+    return TextPrefixes(path)
+
+
 def longest_prefix(counts: np.ndarray, budget: int) -> int:
     """Characters of the longest prefix with at most ``budget`` tokens."""
     return int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
@@ -218,7 +293,7 @@ def _with(docs: DataFrame, tokenizer_path: str, text: str, schema: str, add) ->
     source = docs.select(*[docs[c] for c in own], F.col(text).cast("string").alias("__text"))
 
     def rows(batches):
-        prefixes = TextPrefixes(tokenizer_path)
+        prefixes = prefixes_of(tokenizer_path)
         for batch in batches:
             columns = add(prefixes, _texts(batch))
             kept = [batch.column(c) for c in own]
@@ -239,7 +314,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, text:
         n_bytes, n_tokens = [], []
         for t in texts:
             n_bytes.append(len(t.encode()))
-            n_tokens.append(int(prefixes(t)[-1]))
+            n_tokens.append(prefixes.total(t))
         return [
             pa.array(n_bytes, pa.int64()),
             pa.array(n_tokens, pa.int64()),
