@@ -1,13 +1,14 @@
 """Near-duplicate groups by a MinHash LSH forest.
 
 Every document has a label per tree: min-hashes in a fixed order.  Rows of all
-trees are sorted by (tree, label) over range partitions.  Candidates are
-neighbours in that order with a common prefix of at least BASE hashes; where a
-region holds more rows than a row's neighbours reach, it is searched again at
-the depth that makes it small enough.  Candidates are confirmed on full sets.
-
-Linking needs no pair twice: pairs already in one component are not confirmed
-again, so a group of n near copies costs a few pairs per copy, not n * n.
+trees are sorted by (tree, label) over range partitions.  Candidates are the
+neighbours in that order that share at least BASE hashes; where many rows share
+those, neighbours share more, so the depth follows the crowd of a region.
+
+What candidates connect is a family.  Candidates are confirmed on full sets, in
+blocks of a family of bounded size, so a set travels once per block pair and not
+once per pair.  What neighbours did not reach is made up for exactly: the
+documents outside a family's largest component are compared with all of it.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm.common import NOT_SPACE, hash_words, mix, text_blocks, widened
-from paceline.llm.components import connected_components
+from paceline.llm.components import connected_components, local_roots
 from paceline.session import materialize
 
 #: Words in a shingle and links' least similarity in percent, unless a caller says otherwise.
@@ -32,14 +34,17 @@ BASE, TREES = 4, 32
 HASHES = BASE * TREES
 
 #: Neighbours in the sorted order a row is compared with, on each side.
-REACH = 8
+REACH = 4
 
-#: Hashes of a label below BASE, and the rows a region may hold to be searched at a depth.
-DEEPER, REGION = 4, 2048
+#: Hashes of a label below BASE.
+DEEPER = 4
 
 #: Sketches hold a bit per min-hash.  At similarity 0.8 a tenth of the bits differ
-#: (12.8 of 128, standard deviation 3.4); a pair is given up beyond five deviations.
-MOST_DIFFERENT = 30
+#: (12.8 of 128, standard deviation 3.4); a pair is given up beyond 4.2 deviations.
+MOST_DIFFERENT = 27
+
+#: Sets of one family that are compared in one task, on each side.
+BLOCK_SETS = 500
 
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)).astype(np.uint32)
@@ -108,6 +113,11 @@ def _scramble(low: np.ndarray) -> np.ndarray:
     return (mix(low.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _sketches(hashes: np.ndarray) -> np.ndarray:
+    """A bit of every hash of each row, as 64-bit numbers."""
+    return np.packbits((hashes & 1).astype(np.uint8), axis=1).view(np.int64)
+
+
 def forest_rows(classes: DataFrame) -> DataFrame:
     """TREES rows per class: key (tree and first BASE hashes), rest (the deeper ones), id, size, sketch."""
 
@@ -126,7 +136,7 @@ def forest_rows(classes: DataFrame) -> DataFrame:
             rest = np.zeros((n, TREES), np.uint64)
             for d in range(DEEPER):
                 rest = (rest << np.uint64(16)) | (np.roll(wide[:, :, d % BASE], -(d + 1), axis=1) & np.uint64(0xFFFF))
-            bits = np.packbits((sig & 1).astype(np.uint8), axis=1).view(np.int64)
+            bits = _sketches(sig)
             times = lambda c: np.repeat(c, TREES)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -145,151 +155,148 @@ def forest_rows(classes: DataFrame) -> DataFrame:
     )
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64)).astype(np.int16)
-
-
 def neighbours(forest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of neighbours (a < b), and rows whose region reaches beyond their neighbours (b null)."""
+    """Pairs (a < b) of rows up to REACH apart in the order of a tree, sharing its
+    first BASE hashes, whose sizes and sketches allow the similarity."""
 
     def rows(batches):
         columns = [np.concatenate(c) for c in zip(*([np.asarray(x) for x in b.columns] for b in batches), strict=True)]
-        if not columns or not len(columns[0]):
+        if not columns:
             return
-        key, rest, ids, size, s0, s1 = columns
-        n = len(key)
+        key, _, ids, size, s0, s1 = columns
         for w in range(1, REACH + 1):
-            near = np.flatnonzero(key[w:] == key[:-w]) if n > w else np.zeros(0, int)
-            i, j = near, near + w
-            ok = (ids[i] != ids[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
-            i, j = i[ok], j[ok]
-            apart = _popcount(s0[i] ^ s0[j]) + _popcount(s1[i] ^ s1[j])
-            i, j, apart = (x[apart <= MOST_DIFFERENT] for x in (i, j, apart))
-            none = pa.nulls(len(i), pa.int64())
+            i = np.flatnonzero(key[w:] == key[:-w])
+            ok = (ids[i] != ids[i + w]) & _may_link(size[i], size[i + w], s0[i] ^ s0[i + w], s1[i] ^ s1[i + w], percent)
+            i = i[ok]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.minimum(ids[i], ids[j])),
-                    pa.array(np.maximum(ids[i], ids[j])),
-                    pa.array(apart.astype(np.int32)),
-                    none, none, none, none, none,
-                ],
-                names,
+                [pa.array(np.minimum(ids[i], ids[i + w])), pa.array(np.maximum(ids[i], ids[i + w]))], ["a", "b"]
             )
-        dense = np.zeros(n, bool)
-        if n > REACH + 1:
-            far = key[REACH + 1 :] == key[: -REACH - 1]
-            dense[REACH + 1 :] |= far
-            dense[: -REACH - 1] |= far
-        # Regions at the ends of a partition may go on in the next one.
-        dense |= (key == key[0]) | (key == key[-1])
-        d = np.flatnonzero(dense)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids[d]),
-                pa.nulls(len(d), pa.int64()),
-                pa.nulls(len(d), pa.int32()),
-                *[pa.array(x[d]) for x in (key, rest, size, s0, s1)],
-            ],
-            names,
-        )
 
-    names = ["a", "b", "apart", "key", "rest", "size", "s0", "s1"]
-    schema = "a bigint, b bigint, apart int, key bigint, rest bigint, size bigint, s0 bigint, s1 bigint"
     parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # id in the order lets a hot label spread over partitions like any other rows.
     ordered = forest.repartitionByRange(parts, "key", "rest", "id").sortWithinPartitions("key", "rest", "id")
-    return ordered.mapInArrow(rows, schema)
+    return ordered.mapInArrow(rows, "a bigint, b bigint").distinct()
+
+
+def _may_link(m: np.ndarray, n: np.ndarray, x0: np.ndarray, x1: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes m and n with sketches that differ in these bits may be similar enough."""
+    fits = 100 * np.minimum(m, n) >= percent * np.maximum(m, n)
+    apart = np.bitwise_count(x0.view(np.uint64)).astype(np.int16) + np.bitwise_count(x1.view(np.uint64))
+    return fits & (apart <= MOST_DIFFERENT)
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the classes in ``ids``, from the texts of the rows that stand for them."""
+    """(id, shingles, s0, s1) of the classes in ``ids``, from the texts of the rows that stand for them."""
 
     def rows(batches):
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), width)]
+            sets = list(shingle_sets(batch.column("text"), width))
+            hashes = np.array([_scramble(min_hashes(s)) for s in sets], np.uint32).reshape(-1, HASHES)
+            bits = _sketches(hashes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"]
+                [
+                    batch.column("id"),
+                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array(np.ascontiguousarray(bits[:, 0])),
+                    pa.array(np.ascontiguousarray(bits[:, 1])),
+                ],
+                ["id", "shingles", "s0", "s1"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string")).join(ids, "id", "left_semi")
-    return texts.mapInArrow(rows, "id bigint, shingles array<bigint>")
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-    union = F.size("sa").cast("bigint") + F.size("sb") - F.col("common")
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .withColumn("common", common)
-        .filter(100 * F.col("common") >= percent * union)
-        .select("a", "b")
-    )
-
-
-def _crossing(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components, with those as ca and cb."""
-    a = parts.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    # The ids grow with the corpus, so they are never broadcast.
+    wanted = ids.hint("merge")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string")).join(wanted, "id", "left_semi")
+    return texts.mapInArrow(rows, "id bigint, shingles array<bigint>, s0 bigint, s1 bigint")
+
+
+def _similar(pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
+    """Stars over the pairs (a, b) whose full sets are similar enough."""
+    ids = np.asarray(sets["id"])
+    order = np.argsort(ids)
+    column = sets["shingles"].combine_chunks()
+    ends = np.asarray(column.offsets)
+    _, values = np.unique(np.asarray(column.flatten()), return_inverse=True)
+    start, n = (ends[:-1] - ends[0])[order], np.diff(ends)[order]
+    a = np.searchsorted(ids[order], np.asarray(pairs["a"]))
+    b = np.searchsorted(ids[order], np.asarray(pairs["b"]))
+    common, marked = np.zeros(len(a), np.int64), np.zeros(values.max(initial=0) + 1, bool)
+    by = np.argsort(a, kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(a[by])) + 1):
+        if not len(part):
+            continue
+        own = slice(start[a[part[0]]], start[a[part[0]]] + n[a[part[0]]])
+        marked[values[own]] = True
+        first = np.cumsum(n[b[part]]) - n[b[part]]
+        places = np.arange(n[b[part]].sum()) + np.repeat(start[b[part]] - first, n[b[part]])
+        common[part] = np.add.reduceat(marked[values[places]].astype(np.int64), first)
+        marked[values[own]] = False
+    ok = 100 * common >= percent * (n[a] + n[b] - common)
+    u, v = local_roots(np.asarray(pairs["a"])[ok], np.asarray(pairs["b"])[ok])
+    return pa.table({"a": u, "b": v})
+
+
+def families(pairs: DataFrame) -> DataFrame:
+    """(node, family, block, blocks): what candidates connect, cut into blocks of about BLOCK_SETS."""
+    found = connected_components(pairs)
+    size = found.groupBy("component").count()
+    placed = found.join(size, "component").withColumn("blocks", F.ceil(F.col("count") / F.lit(BLOCK_SETS)).cast("int"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    return materialize(placed.select("node", F.col("component").alias("family"), block, "blocks"), "families")
+
+
+def confirm(pairs: DataFrame, family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what the pairs with similar enough full sets connect."""
+    a = family.select(F.col("node").alias("a"), "family", F.col("block").alias("block_a"))
+    b = family.select(F.col("node").alias("b"), F.col("block").alias("block_b"))
+    low, high = F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high")
+    keyed = materialize(pairs.join(a, "a").join(b, "b").select("family", low, high, "a", "b"), "pairs")
+    ends = keyed.selectExpr("family as f", "low as l", "high as h", "explode(array(a, b)) as id").distinct()
     return (
-        pairs.join(a, "a", "left")
-        .join(b, "b", "left")
-        .withColumn("ca", F.coalesce("ca", "a"))
-        .withColumn("cb", F.coalesce("cb", "b"))
-        .filter("ca <> cb")
+        keyed.groupBy("family", "low", "high")
+        .cogroup(ends.join(sets.select("id", "shingles"), "id").groupBy("f", "l", "h"))
+        .applyInArrow(lambda p, s: _similar(p, s, percent), "a bigint, b bigint")
     )
 
 
-def _depth_keys(dense: DataFrame) -> DataFrame:
-    """Each dense row with the key of the region it is searched in: the shallowest
-    depth at which no more than REGION rows share it, else the deepest."""
-    depths = range(DEEPER + 1)
-    cut: list[Column] = [F.xxhash64("key", F.lit(d), F.shiftrightunsigned("rest", 16 * (DEEPER - d)) if d else F.lit(0)) for d in depths]
-    each = dense.withColumn("regions", F.array(*cut))
-    size = each.select(F.explode("regions").alias("region")).groupBy("region").count().filter(F.col("count") > REGION)
-    # Only regions that are too large go on to be looked up; they are few.
-    out = each.withColumn("region", F.element_at("regions", 1))
-    for d in range(1, DEEPER + 1):
-        out = (
-            out.join(size.withColumnRenamed("count", "many"), "region", "left")
-            .withColumn("region", F.when(F.col("many").isNull(), F.col("region")).otherwise(F.element_at("regions", d + 1)))
-            .drop("many")
-        )
-    return out.drop("regions")
-
+def leftovers(family: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links from the documents outside their family's largest component to any of the family.
 
-def leftovers(dense: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Candidates that neighbours left out: in each dense region, the rows outside
-    its largest component against all its rows of other components."""
-    placed = (
-        dense.withColumnRenamed("a", "id")
-        .drop("b", "apart")
-        .join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
-    )
-    rows = materialize(_depth_keys(placed), "dense")
-    per = rows.groupBy("region", "component").count()
-    main = per.groupBy("region").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    main = main.filter("parts > 1")
-    here = rows.join(main, "region")
-    x = here.filter("component <> main").select(
-        "region", *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "s0", "s1", "component")]
+    Both sides are cut into blocks; a task holds one block of each.
+    """
+    component = F.coalesce("component", "node").alias("component")
+    placed = family.join(parts, "node", "left").select("node", "family", "block", "blocks", component)
+    placed = materialize(placed, "placed")
+    per = placed.groupBy("family", "component").count()
+    main = per.groupBy("family").agg(
+        F.max_by("component", F.struct("count", "component")).alias("main"),
+        F.sum("count").alias("all"),
+        F.max("count").alias("most"),
     )
-    apart = F.bit_count(F.col("x_s0").bitwiseXOR(F.col("s0"))) + F.bit_count(F.col("x_s1").bitwiseXOR(F.col("s1")))
-    low, high = F.least("x_size", "size"), F.greatest("x_size", "size")
-    found = x.join(
-        here.select("region", "id", "size", "s0", "s1", "component"),
-        (x["region"] == here["region"])
-        & (F.col("x_component") != F.col("component"))
-        & (100 * low >= percent * high)
-        & (apart <= MOST_DIFFERENT),
+    main = main.filter("all > most").withColumn("outside", F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK_SETS)).cast("int"))
+    here = placed.join(main, "family").withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), F.col("outside")).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = here.filter("component <> main").select("family", F.col("side").alias("x"), every("blocks").alias("y"), "node", "component")
+    y = here.select("family", every("outside").alias("x"), F.col("block").alias("y"), "node", "component")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        m, n = (np.asarray(pc.list_value_length(t["shingles"])) for t in (left, right))
+        (p, c, u0, u1), (q, d, v0, v1) = ([np.asarray(t[k]) for k in ("node", "component", "s0", "s1")] for t in (left, right))
+        found = [np.zeros((2, 0), np.int64)]
+        for i in range(len(p)):
+            j = np.flatnonzero((d != c[i]) & _may_link(n, m[i], v0 ^ u0[i], v1 ^ u1[i], percent))
+            found.append(np.stack([np.full(len(j), p[i]), q[j]]))
+        a, b = np.concatenate(found, axis=1)
+        used = np.isin(np.concatenate([p, q]), np.concatenate([a, b]))
+        both = pa.concat_tables([t.select(["node", "shingles"]) for t in (left, right)]).filter(pa.array(used))
+        _, once = np.unique(np.asarray(both["node"]), return_index=True)
+        return _similar(pa.table({"a": a, "b": b}), both.take(once).rename_columns(["id", "shingles"]), percent)
+
+    with_sets = lambda t, keys: t.join(sets, t["node"] == sets["id"]).drop("id").toDF(*keys, *t.columns[3:], "shingles", "s0", "s1")
+    return (
+        with_sets(x, ("f1", "x1", "y1")).groupBy("f1", "x1", "y1")
+        .cogroup(with_sets(y, ("f2", "x2", "y2")).groupBy("f2", "x2", "y2"))
+        .applyInArrow(compare, "a bigint, b bigint")
     )
-    return found.select(
-        F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b"), apart.cast("int").alias("apart")
-    ).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -315,35 +322,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
         "classes",
     )
     classes = member.filter("hashes is not null")
-    found = materialize(neighbours(forest_rows(classes), percent), "neighbours")
-    candidates = found.filter("b is not null").groupBy("a", "b").agg(F.min("apart").alias("apart"))
-    candidates = materialize(candidates, "candidates")
-    dense = found.filter("b is null")
-
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    source = docs.select("doc_id", "text")
-    sets = materialize(_sets_of(source, ends(candidates), width), "sets")
-
-    # The most alike pair of every document first: most links come from these.
-    first = (
-        candidates.select("a", "b", F.explode(F.array("a", "b")).alias("x"), F.col("apart"))
-        .groupBy("x")
-        .agg(F.min(F.struct("apart", "a", "b")).alias("p"))
-        .select("p.a", "p.b")
-        .distinct()
-    )
-    links = materialize(confirm(first, sets, percent), "links")
-    parts = materialize(connected_components(links), "parts")
-    # Then every pair that would still join two components.
-    tried = candidates.join(first, ["a", "b"], "left_anti").select("a", "b")
-    second = materialize(confirm(_crossing(tried, parts).select("a", "b"), sets, percent), "links")
-    links = links.union(second)
-    parts = materialize(connected_components(links), "parts")
-    # Then what the neighbours of crowded regions did not reach.
-    rest = materialize(leftovers(dense, parts, percent).join(candidates, ["a", "b"], "left_anti"), "leftovers")
-    third = confirm(rest.select("a", "b"), _sets_of(source, ends(rest), width), percent)
-    links = links.union(materialize(third, "links"))
-    parts = materialize(connected_components(links), "parts")
+    pairs = materialize(neighbours(forest_rows(classes), percent), "candidates")
+    family = families(pairs)
+    sets = materialize(_sets_of(docs, family.select(F.col("node").alias("id")), width), "sets")
+    links = materialize(confirm(pairs, family, sets, percent), "links")
+    more = leftovers(family, connected_components(links), sets, percent)
+    parts = connected_components(links.union(materialize(more, "links")))
 
     linked = member.select("row_key", "id").join(parts, F.col("id") == F.col("node"), "left").select(
         "row_key", F.coalesce("component", "id").alias("class_component")
