@@ -116,13 +116,18 @@ def _card(value: Column, h: Column) -> Column:
     return F.concat(head, last.cast("string"))
 
 
-def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of an entity (columns named kind and value) at an attempt."""
-    h = F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")), 256)
+def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
+    """The surrogate of an entity at an attempt.  Names get another middle every
+    fourth attempt, so there are enough of them for any number of values."""
+    h = F.sha2(F.concat_ws("|", F.lit(key), kind, value, F.lit(str(attempt))), 256)
     octet = lambda at, low, n: (F.conv(F.substring(h, at, 4), 16, 10).cast("int") % n + low).cast("string")
     user, domain = F.split_part(value, F.lit("@"), F.lit(1)), F.split_part(value, F.lit("@"), F.lit(2))
     top = F.regexp_extract(domain, r"\.[a-z]+$", 0)
-    names = lambda parts: F.concat(*[_pick(h, 1 + 4 * k, p) for k, p in enumerate(parts)])
+
+    def names(parts: tuple) -> Column:
+        first, middle, last = parts
+        return F.concat(*[_pick(h, 1 + 4 * k, p) for k, p in enumerate([first, *[middle] * (1 + attempt // 4), last])])
+
     out = F.when(kind == "email", F.concat(
         _same_shape(user, h), F.lit("@"), _same_shape(F.regexp_replace(domain, r"\.[a-z]+$", ""), F.sha2(h, 256)), top))
     # Public addresses: first number 11 to 98, none of it private or reserved.
@@ -131,7 +136,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     for tag, parts in _GIVEN.items():
         out = out.when(kind == f"given_{tag}", names(parts))
     for tag, parts in _FAMILY.items():
-        out = out.when(kind.endswith(f"family_{tag}"), F.concat(names(parts)))
+        out = out.when(kind == f"family_{tag}", names(parts))
     return out.otherwise(_same_shape(value, h))
 
 
@@ -171,7 +176,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     values = pending.select("kind", F.col("value").alias("surrogate"))
     done: DataFrame | None = None
     for attempt in range(ATTEMPTS):
-        drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, F.lit(attempt)))
+        drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, attempt))
         winner = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct(F.xxhash64("value"), "value")).alias("w"))
         free = winner.select("kind", F.col("w.value").alias("value"), "surrogate").join(values, ["kind", "surrogate"], "left_anti")
         if done is not None:

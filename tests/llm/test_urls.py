@@ -50,10 +50,10 @@ def test_rules_and_verdicts(spark):
         "http://notexample.com/de/": ("notexample.com", "/de/", None, "allow"),
         "http://example.com/de/spam": ("example.com", "/de/spam", "example.com/de/", "block"),
         "http://x.org/fr/spam": ("x.org", "/fr/spam", "org/fr/", "allow"),
-        "http://x.org/spam": ("x.org", "/spam", None, "block"),
-        "http://x.org/free": ("x.org", "/free", None, "allow"),
-        "http://x.org/free-free": ("x.org", "/free-free", None, "allow"),
-        "http://x.org/free-win": ("x.org", "/free-win", None, "block"),
+        "http://y.org/spam": ("y.org", "/spam", None, "block"),
+        "http://y.org/free": ("y.org", "/free", None, "allow"),
+        "http://y.org/free-free": ("y.org", "/free-free", None, "allow"),
+        "http://y.org/free-win": ("y.org", "/free-win", None, "block"),
         "http://x.org?a=/b://c": ("x.org", "", None, "allow"),
     }
     rows = [(i, u) for i, u in enumerate(cases)]
