@@ -35,7 +35,11 @@ def within_days(df: DataFrame, day: str, as_of_date: str, horizon: int) -> DataF
 def keep_members(
     df: DataFrame, keys: DataFrame, on: str | list[str], skip_if_empty: bool = False
 ) -> DataFrame:
-    """Rows whose key is listed; with ``skip_if_empty`` an empty list keeps all."""
+    """Rows whose key is listed; with ``skip_if_empty`` an empty list keeps all.
+
+    ``keys`` need not be distinct, and for the test should not be: then the first
+    row that is read answers it.
+    """
     if skip_if_empty and keys.isEmpty():
         return df
     return df.join(keys.select(on), on, "left_semi")

@@ -1,7 +1,7 @@
 """Ordered work over groups of any size.
 
-A window holds a whole group in one task.  Where a group may be too large for
-that, the rows are range-partitioned by (group, order) instead: a group then
+A window holds a whole group in one task.  Groups here may be too large for
+that, so rows are range-partitioned by (group, order): a group then
 spreads over consecutive *segments*, each about one n-th of all rows whatever
 the key distribution, and only what crosses a segment's border is carried over.
 
@@ -17,19 +17,6 @@ from pyspark.sql import functions as F
 
 from paceline.session import materialize
 
-# Rows of one group a single task may sort; beyond it the group is segmented.
-MAX_GROUP_ROWS = 4_000_000
-
-# Rows of a whole table that may pass through one task, where an operator looks
-# across group borders; far lower, because nothing else runs meanwhile.
-MAX_TABLE_ROWS = 100_000
-
-
-def largest_group(df: DataFrame, by: list[str]) -> int:
-    """Rows in the largest group (counted before the shuffle, then summed)."""
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-
 def ordered_segments(df: DataFrame, order: list[str], name: str = "segments") -> DataFrame:
     """``df`` with ``seg``, the number of its range partition in ``order``.
 

@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.operators.segments import (
-    MAX_GROUP_ROWS,
-    MAX_TABLE_ROWS,
-    largest_group,
-    ordered_segments,
-    spanning_groups,
-)
+from paceline.operators.segments import ordered_segments, spanning_groups
 
 FORM_FUNCTIONS = {"avg": F.avg, "sum": F.sum}
 
@@ -35,27 +29,16 @@ def history_features(
     totals: dict[str, str],
     form: dict[str, tuple[str, str]] | None = None,
     n: int = 5,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Totals before each row and form over the ``n`` rows before it.
 
     ``totals`` maps a new column to the column it sums over all earlier rows of
     the group (0 at its start); ``form`` maps a new column to ("avg" | "sum",
     column), NULL while nothing came before.  ``order`` must be unique within a
-    group.  All columns share one shuffle and one sort.
+    group.  Rows are worked on in segments of (group, order), so a group may
+    have any size; ``df`` is read twice, to find the borders and to be cut there.
     """
     form = form or {}
-    if largest_group(df, by) > max_group_rows:
-        return _segmented_history(df, by, order, totals, form, n)
-    window = Window.partitionBy(*by).orderBy(*order)
-    return df.select(
-        "*",
-        *[_running_sum(F.col(c), window).alias(name) for name, c in totals.items()],
-        *_form(form, window.rowsBetween(-n, -1)),
-    )
-
-
-def _segmented_history(df, by, order, totals, form, n) -> DataFrame:
     segmented = ordered_segments(df, [*by, *order], "history")
     with_halo, spanning = _with_halo(segmented, by, order, form, n)
     piece = Window.partitionBy("seg", *by).orderBy(*order)
@@ -135,7 +118,6 @@ def form_carried_over(
     form: dict[str, tuple[str, str]],
     n: int = 5,
     totals: dict[str, str] | None = None,
-    max_rows: int = MAX_TABLE_ROWS,
 ) -> DataFrame:
     """Form that leaks over group borders, as the original computes it.
 
@@ -144,25 +126,10 @@ def form_carried_over(
     value of the *previous group's* last row.  ``totals`` are those of
     ``history_features``, computed in the same pass.
 
-    The lag runs over the whole table.  Up to ``max_rows`` rows one task does it;
-    beyond, it runs inside segments with the last row of each carried to the next.
+    The lag runs inside segments of (group, order); each segment's last value is
+    handed to the next, which is one row per segment.
     """
     totals = totals or {}
-    if df.count() > max_rows:
-        return _segmented_carry(df, by, order, form, n, totals)
-    group = Window.partitionBy(*by).orderBy(*order)
-    return (
-        df.select(
-            "*",
-            *[_running_sum(F.col(c), group).alias(name) for name, c in totals.items()],
-            F.struct(*_form(form, group.rowsBetween(1 - n, 0))).alias("rolled"),
-        )
-        .withColumn("given", F.lag("rolled").over(Window.orderBy(*by, *order)))
-        .select(*df.columns, *totals, *[F.col(f"given.{name}").alias(name) for name in form])
-    )
-
-
-def _segmented_carry(df, by, order, form, n, totals) -> DataFrame:
     segmented = ordered_segments(df, [*by, *order], "carried")
     with_halo, spanning = _with_halo(segmented, by, order, form, n - 1)
     piece = Window.partitionBy("seg", *by).orderBy(*order)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.plans import star
-from paceline.sources.documents import BAD, document_schema
+from paceline.sources.documents import BAD, CAPTURED, document_schema
 
 
 def _through_json(df: DataFrame, kind: str, keys: list[str], body: Column) -> DataFrame:
@@ -116,9 +116,8 @@ def entry_documents(spark, sf_dir) -> DataFrame:
             F.struct(F.array(F.struct(*_person("driver_id"))).alias("Drivers")).alias("DriverTable")
         ).alias("MRData")
     )
-    return _through_json(
-        star.entries(spark, sf_dir), "entries", ["season", "circuit_id"], body
-    )
+    rows = star.results(spark, sf_dir).select("season", "circuit_id", "driver_id").distinct()
+    return _through_json(rows, "entries", ["season", "circuit_id"], body)
 
 
 def _standings(rows: DataFrame, kind: str, table: str, entry: Column) -> DataFrame:
@@ -162,6 +161,14 @@ def constructor_standing_documents(spark, sf_dir) -> DataFrame:
     )
 
 
+def overlapping_weather_documents(spark, sf_dir) -> DataFrame:
+    """The forecasts of ``weather_documents``, all for one place; of those made on a
+    day, that of the last event is the newest capture."""
+    documents = weather_documents(spark, sf_dir)
+    captured = F.struct(F.col("forecast_date").alias("issued"), F.col("city").cast("bigint").alias("at"))
+    return documents.withColumn(CAPTURED, captured).withColumn("city", F.lit("city"))
+
+
 def weather_documents(spark, sf_dir) -> DataFrame:
     """A two-day forecast per event."""
 

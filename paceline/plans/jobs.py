@@ -33,6 +33,7 @@ from paceline.plans.matrices import (
     with_history_columns,
 )
 from paceline.plans.tables import Tables
+from paceline.schemas import FEATURES
 from paceline.session import materialize
 from paceline.sources.dimensions import resolve_circuit
 
@@ -191,6 +192,7 @@ class Prediction:
     accuracy: DataFrame
     class_report: DataFrame
     importances: DataFrame
+    learnt_from: DataFrame
 
 
 def prepare(
@@ -230,37 +232,40 @@ def predict_winner(
 
     None if the calendar does not know the race or there is no history.
     Faithful scales and balances before splitting, as the original does;
-    corrected splits first and learns scale and synthetic rows from the training
-    part alone.
+    corrected splits first, learns scale and synthetic rows from the training
+    part alone, and tells the model which values were missing.
     """
     race = t.calendar.filter((F.col("race_name") == race_name) & (F.col("season") == season))
     as_of_season = season if as_of_season is None else as_of_season
     if race.isEmpty() or last_seasons(t.results, as_of_season).isEmpty():
         return None
     prepared = prepare(t, circuit_of(t, race_name), season, as_of_season, variant)
-    train = materialize(weight(clean(prepared.train())), "train")
-    score = weight(clean(prepared.score(weather_or_default(race, t.weather, as_of_date))))
+    corrected = variant == "corrected"
+    train = materialize(weight(clean(prepared.train(), flag_missing=corrected)), "train")
+    score = weight(clean(prepared.score(weather_or_default(race, t.weather, as_of_date)), flag_missing=corrected))
+    inputs = FEATURES + [f"{c}_is_missing" for c in FEATURES] if corrected else FEATURES
     if variant == "corrected":
         train = materialize(hash_split(train, "row_key"), "split")
-        fitted = robust_fit(train.filter(~F.col("is_test"))).cache()
-        scaled = assemble(robust_apply(train, fitted))
-        learn = balance(scaled.filter(~F.col("is_test")))
+        fitted = robust_fit(train.filter(~F.col("is_test")))
+        scaled = materialize(assemble(robust_apply(train, fitted), inputs), "scaled")
+        learn = materialize(balance(scaled.filter(~F.col("is_test"))), "balanced")
         test = scaled.filter(F.col("is_test"))
     else:
-        fitted = robust_fit(train).cache()
+        fitted = robust_fit(train)
         scaled = assemble(robust_apply(train, fitted))
         balanced = materialize(balance(scaled), "balanced")
-        split = hash_split(balanced, "row_key")
+        split = materialize(hash_split(balanced, "row_key"), "split")
         learn, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
 
     classifier = model.fit(learn, settings)
     tested = model.score(classifier, test)
-    ranked = model.score(classifier, assemble(robust_apply(score, fitted)))
+    ranked = materialize(model.score(classifier, assemble(robust_apply(score, fitted), inputs)), "ranked")
     return Prediction(
         ranking=model.rank_by_probability(
             ranked, ["driver", "constructor_name", "win_probability"]
         ),
         accuracy=metrics.accuracy(tested),
         class_report=metrics.class_report(tested),
-        importances=model.importances(t.results.sparkSession, classifier),
+        importances=model.importances(t.results.sparkSession, classifier, inputs),
+        learnt_from=learn,
     )

@@ -17,6 +17,7 @@ from paceline.operators.stats import average_grid, circuit_stats_or_overall
 from paceline.operators.windows import form_carried_over, history_features, totals_as_of
 from paceline.plans.tables import Tables
 from paceline.schemas import CIRCUIT_STATS, FEATURES, FORM
+from paceline.session import materialize
 from paceline.sources.dimensions import with_circuit_features
 
 FORM_COLUMNS = {
@@ -47,7 +48,8 @@ def with_team_totals(df: DataFrame, order: list[str], variant: str = "faithful")
 
 def with_history_columns(df: DataFrame, order: list[str], variant: str = "faithful") -> DataFrame:
     """Driver totals, form and team totals; all drivers must still be present."""
-    df = with_team_totals(df, order, variant)
+    # Written, because the next step reads its rows twice to cut them into segments.
+    df = materialize(with_team_totals(df, order, variant), "team_totals")
     if variant == "faithful":
         return form_carried_over(df, ["driver_id"], order, FORM_COLUMNS, totals=DRIVER_TOTALS)
     return history_features(df, ["driver_id"], order, DRIVER_TOTALS, FORM_COLUMNS)
@@ -124,7 +126,11 @@ def standings_with_team(standings: DataFrame, teams: DataFrame) -> DataFrame:
 def race_qualifying_or_grid(
     df: DataFrame, race_qualifying: DataFrame, past: DataFrame
 ) -> DataFrame:
-    """The race's qualifying positions; average past grids if there are none."""
+    """The race's qualifying positions; average past grids if there are none.
+
+    Written before it is asked whether there are any: a race's field is small.
+    """
+    race_qualifying = materialize(race_qualifying, "race_qualifying")
     if race_qualifying.isEmpty():
         positions = average_grid(past).withColumnRenamed("avg_grid", "qualifying_position")
     else:
@@ -137,7 +143,8 @@ def race_qualifying_or_grid(
 def first_race_qualifying(qualifying: DataFrame, season: int, circuit_id: str) -> DataFrame:
     """Qualifying of the first race at the circuit that season."""
     rows = at_circuit(qualifying.filter(F.col("season") == season), circuit_id)
-    return rows.filter(F.col("race_date") == rows.agg(F.min("race_date")).scalar())
+    first = rows.filter(F.col("race_date") == rows.agg(F.min("race_date")).scalar())
+    return first.groupBy("race_date", "driver_id").agg(F.min("position").alias("position"))
 
 
 def score_matrix(
@@ -157,7 +164,7 @@ def score_matrix(
         field, t.constructor_standings.filter(F.col("season") == season)
     )
     entered = at_circuit(t.entries.filter(F.col("season") == season), circuit_id)
-    field = keep_members(field, entered.select("driver_id").distinct(), "driver_id", True)
+    field = keep_members(field, entered.select("driver_id"), "driver_id", True)
     field = race_qualifying_or_grid(
         field, first_race_qualifying(t.qualifying, season, circuit_id), past
     )

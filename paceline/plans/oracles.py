@@ -267,7 +267,7 @@ BODIES = {
         from supplier""",
     "flatten_entries": """
         select distinct season, circuit_id, cast(driver_id as varchar) as driver_id
-        from results where season = 2001""",
+        from results""",
     "flatten_driver_standings": """
         select cast(2001 as bigint) as season, cast(s_suppkey as varchar) as driver_id,
                'Supplier ' || s_suppkey as driver,
@@ -285,6 +285,16 @@ BODIES = {
                value + ahead as temperature, event_type as description,
                event_type = 'error' as is_wet, (event_id % 101) / 100.0::double as rain_chance
         from events, (values (0), (1)) d(ahead)""",
+    "newest_forecasts": """
+        with days as (
+            select cast(ts as date) + ahead as day, cast(ts as date) as issued, event_id, ahead, value, event_type
+            from events, (values (0), (1)) d(ahead)),
+        ranked as (
+            select *, row_number() over (partition by day order by issued desc, event_id desc) as rn from days)
+        select 'city' as city, 'XX' as country, cast(cast(day as date) as varchar) as forecast_date,
+               value + ahead as temperature, event_type as description,
+               event_type = 'error' as is_wet, (event_id % 101) / 100.0::double as rain_chance
+        from ranked where rn = 1""",
     "json_props": "select event_id, cast(props::json->>'k' as bigint) as k from events",
     "quarantine_props": """
         select event_id,
@@ -325,7 +335,8 @@ BODIES = {
             select race_id from races where season = 2001 and race_date <= date '2001-02-01'
             order by race_date desc, race_id desc limit 5)""",
     "win_flag": """
-        select row_key, cast(finish as bigint) as finish, cast(win as bigint) as win from hist""",
+        select row_key, cast(finish as bigint) as finish,
+               cast(case when finish = 1 then 1 else 0 end as bigint) as win from results""",
     "winner_per_season": """
         select season, driver, constructor_name from (
             select *, row_number() over (partition by season order by race_date, race_id,
@@ -336,7 +347,7 @@ BODIES = {
             select *, row_number() over (partition by season, circuit_id order by race_date,
                 race_id, finish nulls last, line_no, part_id, price_cents, ship_date,
                 driver_id) as rn
-            from hist) where rn = 1""",
+            from results) where rn = 1""",
     "alias_lookup_default": """
         select c_custkey, case when n_nationkey < 20 then n_name else lower(n_name) end
                as circuit_id
@@ -346,7 +357,7 @@ BODIES = {
                coalesce(circuit_length, 5.0) as circuit_length,
                cast(case circuit_type when 'Permanent' then 0 when 'Street' then 1 else 2 end
                     as bigint) as circuit_type_code
-        from hist left join features using (circuit_id)""",
+        from results left join features using (circuit_id)""",
     "driver_totals_before": """
         select row_key, driver_id, points_before, wins_before from driver_totals""",
     "team_totals_before_faithful": """
@@ -362,14 +373,9 @@ BODIES = {
     "form_last5_faithful": """
         select row_key, driver_id, avg_points_last5, avg_finish_last5, wins_last5
         from form_faithful""",
-    "driver_history_segmented": """
+    "driver_history": """
         select row_key, points_before, wins_before, avg_points_last5, avg_finish_last5, wins_last5
         from driver_totals join form using (row_key)""",
-    "team_totals_segmented": """
-        select row_key, team_points_before, team_wins_before from team_totals_faithful""",
-    "form_carried_segmented": """
-        select row_key, points_before, wins_before, avg_points_last5, avg_finish_last5, wins_last5
-        from driver_totals join form_faithful using (row_key)""",
     "circuit_stats": "select * from stats",
     "circuit_stats_fallback": """
         select driver_id, avg(finish) as avg_finish_circuit,
@@ -387,7 +393,7 @@ BODIES = {
         select season, driver_id, cast(sum(points) as bigint) as points,
                count(*) filter (where finish = 1) as wins
         from results group by all""",
-    "last_race_day": "select cast(max(race_date) as varchar) as last_day from hist",
+    "last_race_day": "select cast(max(race_date) as varchar) as last_day from results",
     "active_driver_semi": "select row_key, driver_id from past",
     "entry_list_semi": """
         select * from driver_table where driver_id in (
@@ -498,10 +504,10 @@ BODIES = {
              using (row_key)
         group by row_key""",
     "hash_split_rows": f"""
-        select row_key, cast(win as bigint) as win,
+        select row_key, cast(case when finish = 1 then 1 else 0 end as bigint) as win,
                case when row_number() over (order by {HASH15.format(key='row_key')}, row_key)
                          <= ceil(0.2 * count(*) over ()) then 1 else 0 end::bigint as is_test
-        from hist""",
+        from results""",
     "vector_neighbours": """
         select id, rank, neighbour, distance from (
             select a.vec_id as id, b.vec_id as neighbour,
@@ -576,6 +582,21 @@ BODIES = {
         select 'weighted avg', sum(precision * support) / sum(support),
                sum(recall * support) / sum(support), sum(f_score * support) / sum(support),
                cast(sum(support) as bigint) from full_rows""",
+    "ranked_field": """
+        select d.driver, t.constructor_name
+        from driver_table d left join team_table t using (constructor_id)
+        where driver_id in (
+            select driver_id from results where season = 2001 and circuit_id = 'NATION_7')""",
+    "prediction_checks": """
+        select name, cast(1 as bigint) as holds from (values
+            ('probabilities_in_range'), ('descending'), ('importances_named'), ('importances_sum_to_one'),
+            ('better_than_majority'), ('same_trees_whatever_the_partitions')) c(name)""",
+    "sink_ranking": """
+        select driver_id, coalesce(win_rate_circuit, 0) * 100 as win_probability from stats""",
+    "sink_season_page": """
+        select 'driver' as kind, driver as name, points, wins from driver_table
+        union all
+        select 'team', constructor_name, constructor_points, constructor_wins from team_table""",
     "rank_desc": """
         select driver_id, coalesce(win_rate_circuit, 0) * 100 as win_probability from stats
         order by win_probability desc, driver_id""",
@@ -622,4 +643,6 @@ def oracle(name: str) -> str:
     return ("with " + ", ".join(parts) + " " if parts else "") + body
 
 
+BODIES["sink_report"] = BODIES["class_report"]
+
 ORACLES = {name: oracle(name) for name in BODIES}

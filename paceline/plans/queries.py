@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +13,13 @@ from pyspark.sql import types as T
 from paceline.functions import scalars
 from paceline.operators import features, filters, metrics, model, stats
 from paceline.operators.balance import balance
-from paceline.operators.neighbours import nearest
+from paceline.operators.neighbours import nearest, recall
 from paceline.operators.split import hash_split
-from paceline.operators.windows import form_carried_over, history_features
+from paceline.operators.windows import history_features
 from paceline.plans import derived, jobs, matrices, star
 from paceline.schemas import CIRCUIT_STATS, FEATURES, FORM
-from paceline.session import materialize
-from paceline.sources import dimensions
+from paceline.session import materialize, shared_dir
+from paceline.sources import dimensions, sinks
 from paceline.sources import documents as docs
 
 QUERIES: dict[str, Callable] = {}
@@ -120,16 +122,17 @@ def json_props(spark, sf):
 def quarantine_props(spark, sf):
     """Texts cut short do not parse; they are set aside, the others kept."""
     text = F.when(F.col("event_id") % 7 == 0, F.expr("substr(props, 1, length(props) - 1)"))
-    parsed = F.from_json(
-        F.coalesce(text, F.col("props")),
-        f"k bigint, {docs.BAD} string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": docs.BAD},
-    )
-    return star.read(spark, sf, "events").select("event_id", parsed.alias("doc")).select(
-        "event_id",
-        F.when(F.col(f"doc.{docs.BAD}").isNull(), F.col("doc.k")).alias("k"),
-        F.col(f"doc.{docs.BAD}").alias("unreadable"),
-    )
+    texts = star.read(spark, sf, "events").select("event_id", F.coalesce(text, F.col("props")).alias("text"))
+    documents = docs.parse_texts(texts, "text", "k bigint")
+    kept = docs.readable(documents, "props", root="k").withColumn("unreadable", F.lit(None).cast("string"))
+    aside = docs.quarantine(documents, "props", root="k").withColumn("k", F.lit(None).cast("bigint"))
+    return kept.unionByName(aside)
+
+
+@query
+def newest_forecasts(spark, sf):
+    """Two-day forecasts made every day, in one place: of those for a day the newest counts."""
+    return docs.newest(docs.flatten(derived.overlapping_weather_documents(spark, sf), "weather"), "weather")
 
 
 @query
@@ -202,9 +205,13 @@ def recent_results(spark, sf):
     return jobs.recent_results(rows, schedule, star.SEASON, star.AS_OF)
 
 
+def _all_results(spark, sf) -> DataFrame:
+    return star.results(spark, sf).withColumn("win", scalars.win_flag(F.col("finish")))
+
+
 @query
 def win_flag(spark, sf):
-    return _history(spark, sf).select("row_key", "finish", "win")
+    return _all_results(spark, sf).select("row_key", "finish", "win")
 
 
 @query
@@ -220,7 +227,7 @@ def winner_per_season(spark, sf):
 @query
 def winner_per_circuit(spark, sf):
     return stats.winners(
-        _history(spark, sf),
+        _all_results(spark, sf),
         ["season", "circuit_id"],
         ["race_date", "race_id", "finish", *star.ORDER[2:], "driver_id"],
         ["driver", "constructor_name"],
@@ -243,7 +250,7 @@ def alias_lookup_default(spark, sf):
 @query
 def circuit_feature_lookup(spark, sf):
     return dimensions.with_circuit_features(
-        _history(spark, sf).select("row_key", "circuit_id"), star.circuit_features(spark, sf)
+        _all_results(spark, sf).select("row_key", "circuit_id"), star.circuit_features(spark, sf)
     )
 
 
@@ -282,43 +289,11 @@ def form_last5_faithful(spark, sf):
     return rows.select("row_key", "driver_id", *FORM)
 
 
-# The same windows by way of segments, as they run where groups are too large
-
-
-@query
-def driver_history_segmented(spark, sf):
-    rows = history_features(
-        _history_table(spark, sf),
-        ["driver_id"],
-        star.ORDER,
-        matrices.DRIVER_TOTALS,
-        matrices.FORM_COLUMNS,
-        max_group_rows=0,
-    )
-    return rows.select("row_key", *matrices.DRIVER_TOTALS, *FORM)
-
-
 @query
-def team_totals_segmented(spark, sf):
+def driver_history(spark, sf):
+    """Totals and form of a driver together: one pass over the segments."""
     rows = history_features(
-        _history_table(spark, sf),
-        ["constructor_id"],
-        ["driver_id", *star.ORDER],
-        matrices.TEAM_TOTALS,
-        max_group_rows=0,
-    )
-    return rows.select("row_key", *matrices.TEAM_TOTALS)
-
-
-@query
-def form_carried_segmented(spark, sf):
-    rows = form_carried_over(
-        _history_table(spark, sf),
-        ["driver_id"],
-        star.ORDER,
-        matrices.FORM_COLUMNS,
-        totals=matrices.DRIVER_TOTALS,
-        max_rows=0,
+        _history_table(spark, sf), ["driver_id"], star.ORDER, matrices.DRIVER_TOTALS, matrices.FORM_COLUMNS
     )
     return rows.select("row_key", *matrices.DRIVER_TOTALS, *FORM)
 
@@ -370,7 +345,7 @@ def standings_all_seasons(spark, sf):
 
 @query
 def last_race_day(spark, sf):
-    return star.history_results(spark, sf).agg(F.max("race_date").alias("last_day"))
+    return star.results(spark, sf).agg(F.max("race_date").alias("last_day"))
 
 
 # Joins and branches
@@ -382,8 +357,9 @@ def active_driver_semi(spark, sf):
 
 
 def _entered(spark, sf, circuit):
-    entered = filters.at_circuit(star.entries(spark, sf), circuit)
-    return filters.keep_members(star.driver_standings(spark, sf), entered, "driver_id", True)
+    rows = materialize(star.season_results(spark, sf), "results")
+    entered = filters.at_circuit(star.entries_of(rows), circuit)
+    return filters.keep_members(star.driver_standings_of(rows), entered, "driver_id", True)
 
 
 @query
@@ -408,44 +384,55 @@ def standings_team_left(spark, sf):
     )
 
 
-def _race_qualifying(spark, sf, circuit):
-    return matrices.first_race_qualifying(
-        star.qualifying(spark, sf, star.SEASON, star.SEASON), star.SEASON, circuit
-    )
+def _race_qualifying(rows, circuit):
+    return matrices.first_race_qualifying(star.qualifying_of(rows), star.SEASON, circuit)
 
 
 @query
 def race_qualifying(spark, sf):
-    return _race_qualifying(spark, sf, star.CIRCUIT).select("race_date", "driver_id", "position")
+    rows = materialize(star.season_results(spark, sf), "results")
+    return _race_qualifying(rows, star.CIRCUIT).select("race_date", "driver_id", "position")
 
 
-@query
-def qualifying_left(spark, sf):
+def _history_of(spark, sf, rows) -> DataFrame:
+    """The history of active drivers out of written results."""
+    past = matrices.history(rows, star.SEASON)
+    return filters.keep_members(past, star.active_drivers(spark, sf), "driver_id")
+
+
+def _qualified(spark, sf, circuit):
+    rows = star.written_results(spark, sf)
     return matrices.race_qualifying_or_grid(
-        star.driver_standings(spark, sf), _race_qualifying(spark, sf, star.CIRCUIT), _past(spark, sf)
+        star.driver_standings_of(rows), _race_qualifying(rows, circuit), _history_of(spark, sf, rows)
     )
 
 
+@query
+def qualifying_left(spark, sf):
+    return _qualified(spark, sf, star.CIRCUIT)
+
+
 @query
 def qualifying_fallback(spark, sf):
-    return matrices.race_qualifying_or_grid(
-        star.driver_standings(spark, sf), _race_qualifying(spark, sf, "NATION_99"), _past(spark, sf)
+    return _qualified(spark, sf, "NATION_99")
+
+
+def _history_qualified(spark, sf, first, last):
+    rows = star.written_results(spark, sf)
+    known = star.in_seasons(star.qualifying_of(rows), first, last)
+    return matrices.with_qualifying(_history_of(spark, sf, rows), known).select(
+        "row_key", "grid", "qualifying_position"
     )
 
 
 @query
 def history_qualifying_left(spark, sf):
-    return matrices.with_qualifying(
-        _past(spark, sf), star.qualifying(spark, sf, star.SEASON - 3, star.SEASON - 1)
-    ).select("row_key", "grid", "qualifying_position")
+    return _history_qualified(spark, sf, star.SEASON - 3, star.SEASON - 1)
 
 
 @query
 def history_qualifying_fallback(spark, sf):
-    none = star.qualifying(spark, sf, star.SEASON + 5, star.SEASON + 5)
-    return matrices.with_qualifying(_past(spark, sf), none).select(
-        "row_key", "grid", "qualifying_position"
-    )
+    return _history_qualified(spark, sf, star.SEASON + 5, star.SEASON + 5)
 
 
 @query
@@ -464,8 +451,8 @@ def history_circuit_left(spark, sf):
 
 @query
 def union_seasons(spark, sf):
-    one, two, three = (star.races(spark, sf, s, s) for s in range(star.SEASON - 3, star.SEASON))
-    return one.unionByName(two).unionByName(three)
+    """Consecutive seasons are one range of the scan, not a scan each."""
+    return star.races(spark, sf, star.SEASON - 3, star.SEASON - 1)
 
 
 # Weather and calendar
@@ -600,7 +587,7 @@ def _scaled(spark, sf):
 
 @query
 def robust_parameters(spark, sf):
-    train = features.weight(features.clean(_train(spark, sf)))
+    train = materialize(features.weight(features.clean(_train(spark, sf))), "train")
     return features.robust_fit(train).select(
         "feature", F.round("center", 9).alias("center"), F.round("scale", 9).alias("scale")
     )
@@ -618,7 +605,7 @@ def robust_scale(spark, sf):
 
 @query
 def hash_split_rows(spark, sf):
-    rows = materialize(_history(spark, sf).select("row_key", "win"), "history")
+    rows = materialize(_all_results(spark, sf).select("row_key", "win"), "results")
     return hash_split(rows, "row_key").withColumn("is_test", F.col("is_test").cast("int"))
 
 
@@ -628,6 +615,14 @@ def vector_neighbours(spark, sf):
     return found.select("id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
 
 
+@query
+def projected_neighbours_recall(spark, sf):
+    """What the search by projections finds of the exact neighbours."""
+    rows = star.read(spark, sf, "embeddings")
+    exact = nearest(rows, "vec_id", "embedding")
+    return recall(nearest(rows, "vec_id", "embedding", method="projected"), exact)
+
+
 def _minority_labels(spark, sf):
     """Vectors, labelled 1 in the class with the fewest (the first of equals)."""
     rows = star.read(spark, sf, "embeddings")
@@ -669,15 +664,20 @@ def class_report(spark, sf):
     return metrics.class_report(star.read(spark, sf, "labels"), "quality", "toxic")
 
 
-@query
-def rank_desc(spark, sf):
+def rank_rates(spark, sf):
     rates = _stats(spark, sf).withColumn(
         "win_probability", F.coalesce("win_rate_circuit", F.lit(0.0)) * 100
     )
     return model.rank_by_probability(rates, ["driver_id", "win_probability"])
 
 
-def _prediction(spark, sf):
+@query
+def rank_desc(spark, sf):
+    return rank_rates(spark, sf)
+
+
+@lru_cache(maxsize=4)  # keeps a model and plans, not rows
+def _prediction(spark, sf) -> jobs.Prediction:
     return jobs.predict_winner(
         star.tables(spark, sf), star.RACE_NAME, star.SEASON, star.WEATHER_AS_OF
     )
@@ -691,3 +691,73 @@ def predict_winner(spark, sf):
 @query
 def feature_importance(spark, sf):
     return _prediction(spark, sf).importances
+
+
+@query
+def ranked_field(spark, sf):
+    """Who is ranked: every driver of the standings who is entered at the circuit."""
+    return _prediction(spark, sf).ranking.select("driver", "constructor_name")
+
+
+@query
+def prediction_checks(spark, sf):
+    """What must hold of a trained model, as named flags."""
+    p = _prediction(spark, sf)
+    chance = F.col("win_probability")
+    outside = p.ranking.filter(~chance.between(0, 100)).count()
+    order = [r[0] for r in p.ranking.select("win_probability").collect()]
+    total = p.importances.agg(F.round(F.sum("importance"), 6)).first()[0]
+    majority = p.learnt_from.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0]
+    few = model.TreeSettings(trees=3)
+    rows = p.learnt_from
+    one, other = (model.fit(rows.repartition(n), few).toDebugString for n in (2, 5))
+    flags = {
+        "probabilities_in_range": outside == 0,
+        "descending": order == sorted(order, reverse=True),
+        "importances_named": sorted(r[0] for r in p.importances.collect()) == sorted(FEATURES),
+        "importances_sum_to_one": total == 1.0,
+        "better_than_majority": p.accuracy.first()["accuracy"] >= majority,
+        "same_trees_whatever_the_partitions": one.split("\n", 1)[1] == other.split("\n", 1)[1],
+    }
+    return spark.createDataFrame([(k, int(v)) for k, v in flags.items()], "name string, holds int")
+
+
+# Sinks: written to the shared folder and read back
+
+
+def _sink(spark) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/paceline/{spark.sparkContext.applicationId}/sinks-{uuid.uuid4().hex}"
+
+
+@query
+def sink_ranking(spark, sf):
+    rates = rank_rates(spark, sf)
+    path = _sink(spark)
+    sinks.write_ranking(rates, path)
+    return spark.read.schema(rates.schema).parquet(path)
+
+
+@query
+def sink_season_page(spark, sf):
+    """The season page's driver and team tables as JSON, back in one table."""
+    rows = materialize(star.season_results(spark, sf), "results")
+    tables = {"driver_standings": star.driver_standings_of(rows), "constructor_standings": star.constructor_standings_of(rows)}
+    path = _sink(spark)
+    sinks.write_season_tables(tables, path)
+    drivers, teams = (spark.read.schema(t.schema).json(f"{path}/{n}") for n, t in tables.items())
+    return drivers.select(F.lit("driver").alias("kind"), F.col("driver").alias("name"), "points", "wins").unionByName(
+        teams.select(
+            F.lit("team").alias("kind"),
+            F.col("constructor_name").alias("name"),
+            F.col("constructor_points").alias("points"),
+            F.col("constructor_wins").alias("wins"),
+        )
+    )
+
+
+@query
+def sink_report(spark, sf):
+    report = metrics.class_report(star.read(spark, sf, "labels"), "quality", "toxic")
+    path = _sink(spark)
+    report.write.parquet(f"{path}/class_report")
+    return spark.read.schema(report.schema).parquet(f"{path}/class_report")

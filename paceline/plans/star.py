@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from paceline.operators.stats import standings
 from paceline.plans.tables import Tables
+from paceline.session import materialize
 
 SEASON = 2001  # the season analysed; its history is 1998 to 2000
 AS_OF = "2001-02-01"
@@ -142,33 +143,56 @@ def active_drivers(spark, sf_dir) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=64)
-def qualifying(spark, sf_dir, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Lowest line per driver and day among finished lines; some have none."""
-    rows = lines(spark, sf_dir).filter(F.col("status") == "F")
-    return (
-        rows.join(races(spark, sf_dir, first, last), "race_id")
-        .groupBy("season", "circuit_id", "race_date", "driver_id")
-        .agg(F.min("line_no").alias("position"))
+def in_seasons(rows: DataFrame, first: int, last: int) -> DataFrame:
+    return rows.filter(F.col("season").between(first, last))
+
+
+def qualifying_of(rows: DataFrame) -> DataFrame:
+    """Finished lines of results as qualifying positions; a driver's lowest of a day counts."""
+    return rows.filter(F.col("status") == "F").select(
+        "season", "circuit_id", "race_date", "driver_id", F.col("line_no").alias("position")
     )
 
 
-def driver_standings(spark, sf_dir) -> DataFrame:
+def driver_standings_of(rows: DataFrame) -> DataFrame:
     keys = ["season", "driver_id", "driver", "constructor_id"]
-    return standings(season_results(spark, sf_dir), keys)
+    return standings(in_seasons(rows, SEASON, SEASON), keys)
 
 
-def constructor_standings(spark, sf_dir) -> DataFrame:
+def constructor_standings_of(rows: DataFrame) -> DataFrame:
     keys = ["season", "constructor_id", "constructor_name"]
     return (
-        standings(season_results(spark, sf_dir), keys)
+        standings(in_seasons(rows, SEASON, SEASON), keys)
         .withColumnRenamed("points", "constructor_points")
         .withColumnRenamed("wins", "constructor_wins")
     )
 
 
+def entries_of(rows: DataFrame) -> DataFrame:
+    """Who drove where; a driver is listed as often as there are results."""
+    return in_seasons(rows, SEASON, SEASON).select("season", "circuit_id", "driver_id")
+
+
+def qualifying(spark, sf_dir, first: int | None = None, last: int | None = None) -> DataFrame:
+    return qualifying_of(results(spark, sf_dir, first, last))
+
+
+def driver_standings(spark, sf_dir) -> DataFrame:
+    return driver_standings_of(season_results(spark, sf_dir))
+
+
+def constructor_standings(spark, sf_dir) -> DataFrame:
+    return constructor_standings_of(season_results(spark, sf_dir))
+
+
 def entries(spark, sf_dir) -> DataFrame:
-    return season_results(spark, sf_dir).select("season", "circuit_id", "driver_id").distinct()
+    return entries_of(season_results(spark, sf_dir))
+
+
+def written_results(spark, sf_dir) -> DataFrame:
+    """The season's and the history's results, joined once and written: what
+    standings, entries, qualifying and history of one job are made from."""
+    return materialize(results(spark, sf_dir, SEASON - 3, SEASON), "results")
 
 
 def _nation(spark, sf_dir) -> DataFrame:
@@ -230,13 +254,14 @@ def event_calendar(spark, sf_dir) -> DataFrame:
 
 
 def tables(spark, sf_dir) -> Tables:
+    rows = written_results(spark, sf_dir)
     return Tables(
-        results=history_results(spark, sf_dir),
-        qualifying=qualifying(spark, sf_dir, SEASON - 3, SEASON),
+        results=in_seasons(rows, SEASON - 3, SEASON - 1),
+        qualifying=qualifying_of(rows),
         drivers=active_drivers(spark, sf_dir),
-        driver_standings=driver_standings(spark, sf_dir),
-        constructor_standings=constructor_standings(spark, sf_dir),
-        entries=entries(spark, sf_dir),
+        driver_standings=driver_standings_of(rows),
+        constructor_standings=constructor_standings_of(rows),
+        entries=entries_of(rows),
         calendar=event_calendar(spark, sf_dir),
         circuit_aliases=circuit_aliases(spark, sf_dir),
         circuit_features=circuit_features(spark, sf_dir),

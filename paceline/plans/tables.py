@@ -17,7 +17,7 @@ class Tables:
 
     ``results`` needs season, race_date, circuit_id, driver_id, constructor_id,
     grid, finish, points, the order columns and a unique text ``row_key``;
-    ``qualifying`` is unique on (race_date, driver_id).
+    of several rows of ``qualifying`` for a driver and day the lowest position counts.
     """
 
     results: DataFrame
@@ -33,14 +33,14 @@ class Tables:
     order: list[str] = field(default_factory=lambda: ["race_date", "round"])
 
 
-def from_landing(spark: SparkSession, landing: str, one_per_line: bool = False) -> Tables:
+def from_landing(spark: SparkSession, landing: str) -> Tables:
     """All tables from a folder of captured documents."""
 
     def table(kind: str) -> DataFrame:
-        return read_table(spark, landing, kind, one_per_line)
+        return read_table(spark, landing, kind)
 
     results = table("results").withColumn(
-        "row_key", F.concat_ws("|", "season", "round", "driver_id")
+        "row_key", F.concat_ws("|", "season", "round", "race_date", "driver_id")
     )
     return Tables(
         results=results,

@@ -53,20 +53,28 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
+    return f"{shared_dir(spark).rstrip('/')}/paceline/{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once their last reader is done.
+
+    Results that are still lazy read them, so write those first.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Later steps then neither recompute it nor lose it with an executor, read
-    only the columns they need, and know its size when they pick a join.
+    only the columns they need, and know its size when they pick a join.  Tables
+    stay until ``cleanup``.
     """
     spark = df.sparkSession
-    path = "/".join(
-        [
-            shared_dir(spark).rstrip("/"),
-            "paceline",
-            spark.sparkContext.applicationId,
-            f"{name}-{uuid.uuid4().hex}",
-        ]
-    )
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,8 +1,13 @@
 """Captured JSON documents: one parallel scan per kind, then flattened.
 
 A landing folder has one folder per kind, below it the request a document
-answers (``results/season=2024/round=3/doc.json``).  Each ``read_*`` scans all
-of them at once; each ``flatten_*`` works on documents from anywhere.
+answers (``results/season=2024/round=3/doc.json``).  Every document of a file is
+read or set aside, whatever the file's layout: files named ``.jsonl`` or
+``.ndjson`` hold a document per line and can be split between tasks; any other
+file is looked at whole, and is taken line by line if its first line is a
+document by itself.
+
+A document captured again replaces its older rows (``newest``).
 """
 
 from __future__ import annotations
@@ -20,44 +25,111 @@ from paceline.functions.scalars import (
 from paceline.schemas import DOCUMENTS, PATH_COLUMNS
 
 BAD = "unreadable"
+CAPTURED = "captured"
 ROOTS = {"weather": "forecast", "event_schedule": "EventName", "session_results": "DriverNumber"}
 
+#: What makes a row of a kind's table one of its kind.
+KEYS = {
+    "drivers": ["season", "driver_id"],
+    "entries": ["season", "circuit_id", "driver_id"],
+    "driver_standings": ["season", "driver_id"],
+    "constructor_standings": ["season", "constructor_id"],
+    "schedule": ["season", "round"],
+    "results": ["season", "round", "race_name", "race_date", "driver_id"],
+    "qualifying": ["season", "round", "driver_id"],
+    "weather": ["city", "country", "forecast_date"],
+    "event_schedule": ["season", "round"],
+    "session_results": ["season", "round", "driver_number"],
+}
+
+_LINE_ENDINGS = (".jsonl", ".ndjson")
+_LINES = "*{" + ",".join(_LINE_ENDINGS) + "}"
+# Every other name: it parts from each of those endings at some character from its end.
+_WHOLE = "{*[!ln]," + ",".join(f"*[!{e[-k - 1]}]{e[-k:]}" for e in _LINE_ENDINGS for k in range(1, len(e))) + "}"
+
+
+def path_columns(kind: str) -> list[str]:
+    return [c.split()[0] for c in PATH_COLUMNS[kind].split(", ")]
+
 
 def document_schema(kind: str) -> T.StructType:
     return T._parse_datatype_string(f"{DOCUMENTS[kind]}, {PATH_COLUMNS[kind]}, {BAD} string")
 
 
-def read_documents(
-    spark: SparkSession, landing: str, kind: str, one_per_line: bool = False
-) -> DataFrame:
-    """All documents of a kind, unreadable ones included (see ``quarantine``).
+def parse_texts(texts: DataFrame, text: str, fields: str) -> DataFrame:
+    """A row per document of each text: the other columns, ``fields`` and, for
+    what does not parse, the text as ``unreadable``.
 
-    With ``one_per_line`` the files hold a document per line; such files can be
-    split, which is the layout to capture large volumes in.
+    A text whose first line is a document by itself holds a document per line.
+    A text with anything after its document does not parse.
     """
-    return (
-        spark.read.schema(document_schema(kind))
-        .option("multiLine", not one_per_line)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD)
-        .json(f"{landing.rstrip('/')}/{kind}")
-    )
+    schema = f"array<struct<{_struct_fields(fields)}>>"
+    others = [c for c in texts.columns if c != text]
+
+    def documents(t: Column) -> Column:
+        # Between brackets a text must be read to its end.
+        return F.from_json(F.concat(F.lit("["), t, F.lit("]")), schema)
+
+    lines = F.filter(F.split(F.col(text), r"\r?\n"), lambda x: F.trim(x) != "")
+    per_line = (F.size(lines) > 1) & documents(F.get(lines, F.lit(0))).isNotNull()
+    pieces = F.when(per_line, lines).otherwise(F.array(F.col(text)))
+    parsed = texts.select(*others, F.explode(pieces).alias("__text")).withColumn("__docs", documents(F.col("__text")))
+    bad = F.col("__docs").isNull() | (F.size("__docs") == 0)
+    names = [f.name for f in T._parse_datatype_string(fields).fields]
+    return parsed.select(
+        *others, F.explode_outer("__docs").alias("__doc"), F.when(bad, F.col("__text")).alias(BAD)
+    ).select(*others, *[F.col(f"__doc.{n}").alias(n) for n in names], BAD)
+
+
+def _struct_fields(fields: str) -> str:
+    parsed = T._parse_datatype_string(fields)
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in parsed.fields)
+
+
+def _captured(kind: str) -> Column:
+    """What tells which of two captures is newer: of forecasts the day they were
+    made, then when the file was written."""
+    issued = F.col("forecast_date") if kind == "weather" else F.lit(None).cast("date")
+    return F.struct(issued.alias("issued"), F.col("_metadata.file_modification_time").alias("at"), "file_path")
+
+
+def _texts(reader, landing: str, kind: str) -> DataFrame:
+    """The kind's files as texts, with path columns, file_path and ``captured``."""
+    path, schema = f"{landing.rstrip('/')}/{kind}", f"value string, {PATH_COLUMNS[kind]}"
+    whole = reader().schema(schema).option("pathGlobFilter", _WHOLE).text(path, wholetext=True)
+    lines = reader().schema(schema).option("pathGlobFilter", _LINES).text(path)
+    out = None
+    for part in (whole, lines.filter(F.trim("value") != "")):
+        part = part.withColumn("file_path", F.col("_metadata.file_path")).withColumn(CAPTURED, _captured(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def read_documents(spark: SparkSession, landing: str, kind: str) -> DataFrame:
+    """All documents of a kind, unreadable ones included (see ``quarantine``)."""
+    return parse_texts(_texts(lambda: spark.read, landing, kind), "value", DOCUMENTS[kind])
+
+
+def stream_documents(spark: SparkSession, landing: str, kind: str) -> DataFrame:
+    """As ``read_documents``, those that arrive from now on."""
+    return parse_texts(_texts(lambda: spark.readStream, landing, kind), "value", DOCUMENTS[kind])
 
 
 def _is_bad(kind: str) -> Column:
     return F.col(BAD).isNotNull() | F.col(ROOTS.get(kind, "MRData")).isNull()
 
 
-def readable(documents: DataFrame, kind: str) -> DataFrame:
-    return documents.filter(~_is_bad(kind)).drop(BAD)
+def readable(documents: DataFrame, kind: str, root: str | None = None) -> DataFrame:
+    """Documents that parsed and have their kind's (or the given) root."""
+    bad = F.col(BAD).isNotNull() | F.col(root).isNull() if root else _is_bad(kind)
+    return documents.filter(~bad).drop(BAD, "file_path")
 
 
-def quarantine(documents: DataFrame, kind: str) -> DataFrame:
-    """Documents left out: where each came from and its text if it did not parse."""
-    keys = [c.split()[0] for c in PATH_COLUMNS[kind].split(", ")]
-    return documents.filter(_is_bad(kind)).select(
-        *keys, F.col("_metadata.file_path").alias("file_path"), BAD
-    )
+def quarantine(documents: DataFrame, kind: str, root: str | None = None) -> DataFrame:
+    """Documents left out: where each came from, and its text if it did not parse."""
+    bad = F.col(BAD).isNotNull() | F.col(root).isNull() if root else _is_bad(kind)
+    fields = T._parse_datatype_string(DOCUMENTS[kind]).names if kind in DOCUMENTS else [root]
+    return documents.filter(bad).drop(*fields, CAPTURED)
 
 
 def _first(array: str) -> Column:
@@ -122,10 +194,9 @@ def flatten_schedule(documents: DataFrame) -> DataFrame:
 
 
 def flatten_results(documents: DataFrame) -> DataFrame:
-    """Race results; a document holds one race, so its first is taken."""
-    race = _first("MRData.RaceTable.Races")
+    """Results of every race in a document."""
     return (
-        documents.select("season", "round", race.alias("race"))
+        documents.select("season", "round", F.explode("MRData.RaceTable.Races").alias("race"))
         .select(
             "season",
             "round",
@@ -153,11 +224,9 @@ def flatten_results(documents: DataFrame) -> DataFrame:
 
 
 def flatten_qualifying(documents: DataFrame) -> DataFrame:
-    """Qualifying positions; a race without any gives no rows."""
-    race = _first("MRData.RaceTable.Races")
-    return documents.select(
-        "season", "round", F.explode(race["QualifyingResults"]).alias("q")
-    ).select(
+    """Qualifying positions of every race in a document; a race without any gives no rows."""
+    races = documents.select("season", "round", F.explode("MRData.RaceTable.Races").alias("race"))
+    return races.select("season", "round", F.explode("race.QualifyingResults").alias("q")).select(
         "season",
         "round",
         F.col("q.Driver.driverId").alias("driver_id"),
@@ -216,12 +285,33 @@ FLATTENERS = {
 }
 
 
-def read_table(
-    spark: SparkSession, landing: str, kind: str, one_per_line: bool = False
-) -> DataFrame:
-    """The flat table of a kind, made of its readable documents."""
-    documents = read_documents(spark, landing, kind, one_per_line)
-    return FLATTENERS[kind](readable(documents, kind))
+def flatten(documents: DataFrame, kind: str) -> DataFrame:
+    """The rows of readable documents, with ``captured`` if the documents have it."""
+    if CAPTURED not in documents.columns:
+        return FLATTENERS[kind](documents)
+    # A flattener hands its first path column on as it is, so that carries the capture.
+    carrier = path_columns(kind)[0]
+    packed = documents.withColumn(carrier, F.struct(F.col(carrier).alias("own"), CAPTURED))
+    rows = FLATTENERS[kind](packed)
+    return rows.withColumn(CAPTURED, F.col(f"{carrier}.{CAPTURED}")).withColumn(carrier, F.col(f"{carrier}.own"))
+
+
+def newest(rows: DataFrame, kind: str) -> DataFrame:
+    """One row per key: that of the newest capture.  A maximum per key, so each
+    task sends on one row for it."""
+    keys = KEYS[kind]
+    rest = [c for c in rows.columns if c not in (*keys, CAPTURED)]
+    # A row that says more wins over an equally new one, so the choice never depends on order.
+    best = F.max(F.struct(CAPTURED, *rest)) if rest else F.max(F.struct(CAPTURED))
+    columns = [c for c in rows.columns if c != CAPTURED]
+    return rows.groupBy(*keys).agg(best.alias("best")).select(
+        *[F.col(c) if c in keys else F.col(f"best.{c}").alias(c) for c in columns]
+    )
+
+
+def read_table(spark: SparkSession, landing: str, kind: str) -> DataFrame:
+    """The flat table of a kind: its readable documents, the newest row of each key."""
+    return newest(flatten(readable(read_documents(spark, landing, kind), kind), kind), kind)
 
 
 def with_race(rows: DataFrame, schedule: DataFrame) -> DataFrame:

@@ -1,39 +1,47 @@
 """Incremental ingest: only documents that arrived since the last run.
 
-A run reads what is new in the landing folder, appends it to the season tables
-and stops; its progress is kept in ``progress``.  It replaces fetching every
-season again each time.
+A run reads what is new in the landing folder, appends its rows to a table, sets
+unreadable documents aside in another, and stops; its progress is kept in
+``progress``.  It replaces fetching every season again each time.
+
+Rows are appended with their capture and told apart when read (``ingested``):
+a document captured again, or a run repeated after a failure, adds rows to the
+files but changes nothing in the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from paceline.sources.documents import BAD, FLATTENERS, document_schema, readable
+from paceline.sources.documents import flatten, newest, quarantine, readable, stream_documents
+
 
+def quarantine_of(table: str) -> str:
+    """Where the unreadable documents of a table are kept."""
+    return f"{table.rstrip('/')}_quarantine"
 
-def ingest_new(
-    spark: SparkSession, landing: str, kind: str, table: str, progress: str
-) -> StreamingQuery:
-    """Append a kind's new documents to the Parquet table at ``table``.
+
+def ingest_new(spark: SparkSession, landing: str, kind: str, table: str, progress: str) -> StreamingQuery:
+    """Append a kind's new documents to the Parquet table at ``table``, unreadable
+    ones to ``quarantine_of(table)``.
 
     Returns the running query; it ends by itself once all is read.
     """
-    documents = (
-        spark.readStream.schema(document_schema(kind))
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", BAD)
-        .json(f"{landing.rstrip('/')}/{kind}")
-    )
-    rows = FLATTENERS[kind](readable(documents, kind))
-    writer = (
-        rows.writeStream.trigger(availableNow=True)
-        .outputMode("append")
-        .option("checkpointLocation", progress)
-        .format("parquet")
-        .option("path", table)
-    )
-    if "season" in rows.columns:
-        writer = writer.partitionBy("season")
-    return writer.start()
+
+    def store(batch: DataFrame, _: int) -> None:
+        rows = flatten(readable(batch, kind), kind)
+        writer = rows.write.mode("append")
+        if "season" in rows.columns:
+            writer = writer.partitionBy("season")
+        writer.parquet(table)
+        quarantine(batch, kind).write.mode("append").parquet(quarantine_of(table))
+
+    documents = stream_documents(spark, landing, kind)
+    writer = documents.writeStream.trigger(availableNow=True).option("checkpointLocation", progress)
+    return writer.foreachBatch(store).start()
+
+
+def ingested(spark: SparkSession, table: str, kind: str) -> DataFrame:
+    """The table as of now: the newest row of each key."""
+    return newest(spark.read.parquet(table), kind)

@@ -1,6 +1,7 @@
 """Captured documents: every case the sources have to cope with."""
 
 import json
+import os
 from datetime import date
 
 import pytest
@@ -112,7 +113,7 @@ def rows(spark, landing, kind):
 
 def test_results(spark, landing):
     by_key = {(r["round"], r["driver_id"]): r for r in rows(spark, landing, "results")}
-    assert set(by_key) == {(1, "ann"), (1, "bob"), (1, "cat"), (2, "ann")}
+    assert set(by_key) == {(1, "ann"), (1, "bob"), (1, "cat"), (2, "ann"), (2, "bob")}
     ann = by_key[1, "ann"]
     assert (ann["points"], ann["grid"], ann["finish"]) == (25.5, 1, 1)
     assert ann["race_date"] == date(2023, 3, 5)
@@ -160,15 +161,45 @@ def test_people_and_sessions(spark, landing):
     assert rows(spark, landing, "session_results")[0]["driver_number"] == "44"
 
 
-def test_a_document_per_line(spark, tmp_path):
+def one_and_two():
     one = races(race("First", "2023-03-05", "sand", [result("ann", "1", "1", "25")]))
     two = races(race("First", "2023-03-05", "sand", [result("bob", "2", "2", "18")]))
-    write(
-        tmp_path,
-        "results/season=2023/round=1/all.json",
-        "\n".join([json.dumps(one), '{"broken', json.dumps(two)]),
-    )
-    got = docs.read_table(spark, str(tmp_path), "results", one_per_line=True).collect()
-    assert sorted(r["driver_id"] for r in got) == ["ann", "bob"]
-    bad = docs.read_documents(spark, str(tmp_path), "results", one_per_line=True)
-    assert [r["unreadable"] for r in docs.quarantine(bad, "results").collect()] == ['{"broken']
+    three = races(race("First", "2023-03-05", "sand", [result("cat", "3", "3", "15")]))
+    return one, two, three
+
+
+@pytest.mark.parametrize("name", ["all.json", "all.jsonl", "all.ndjson"])
+def test_a_document_per_line_whatever_the_name(spark, tmp_path, name):
+    one, two, three = map(json.dumps, one_and_two())
+    write(tmp_path, f"results/season=2023/round=1/{name}", "\n".join([one, '{"broken', two, "", three]))
+    got = docs.read_table(spark, str(tmp_path), "results").collect()
+    assert sorted(r["driver_id"] for r in got) == ["ann", "bob", "cat"]
+    bad = docs.quarantine(docs.read_documents(spark, str(tmp_path), "results"), "results").collect()
+    assert [r["unreadable"] for r in bad] == ['{"broken']
+
+
+def test_a_document_over_several_lines_with_more_after_it_is_set_aside(spark, tmp_path):
+    one, two, _ = one_and_two()
+    write(tmp_path, "results/season=2023/round=1/a.json", json.dumps(one, indent=1))
+    write(tmp_path, "results/season=2023/round=2/b.json", json.dumps(one, indent=1) + "\n" + json.dumps(two, indent=1))
+    documents = docs.read_documents(spark, str(tmp_path), "results")
+    assert [r["round"] for r in docs.readable(documents, "results").collect()] == [1]
+    assert [r["round"] for r in docs.quarantine(documents, "results").collect()] == [2]
+
+
+def test_a_second_capture_changes_no_count(spark, tmp_path):
+    one, two, _ = one_and_two()
+    again = races(race("First", "2023-03-05", "sand", [result("ann", "1", "1", "26")]))
+    for i, body in enumerate([one, two, again]):
+        write(tmp_path, f"results/season=2023/round=1/{i}.json", body)
+        os.utime(tmp_path / f"results/season=2023/round=1/{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = {r["driver_id"]: r["points"] for r in docs.read_table(spark, str(tmp_path), "results").collect()}
+    assert got == {"ann": 26.0, "bob": 18.0}
+
+
+def test_of_overlapping_forecasts_the_newest_day_counts(spark, tmp_path):
+    for issued, temperature in (("2024-07-02", 20.0), ("2024-07-03", 22.0)):
+        day = {"day": {"avgtemp_c": temperature, "daily_will_it_rain": 0, "daily_chance_of_rain": 0, "condition": {"text": issued}}}
+        write(tmp_path, f"weather/city=x/country=y/forecast_date={issued}/doc.json", {"forecast": {"forecastday": [day] * 3}})
+    got = {str(r["forecast_date"]): r["temperature"] for r in docs.read_table(spark, str(tmp_path), "weather").collect()}
+    assert got == {"2024-07-02": 20.0, "2024-07-03": 22.0, "2024-07-04": 22.0, "2024-07-05": 22.0}

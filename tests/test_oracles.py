@@ -11,14 +11,17 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+#: The operators for training data have their own tests.
+OWN = sorted(n for n in driver.oracle_sql() if not n.startswith("op"))
+
+
+@pytest.mark.parametrize("name", OWN)
 def test_query_equals_sql(spark, sf_dir, con, name):
     df = driver.queries()[name](spark, sf_dir)
     assert difference(df, con, driver.oracle_sql()[name]) is None
 
 
 def test_only_the_learnt_queries_lack_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {
-        "predict_winner",
-        "feature_importance",
-    }
+    lacking = set(driver.queries()) - set(driver.oracle_sql())
+    learnt = {"predict_winner", "feature_importance", "projected_neighbours_recall"}
+    assert {n for n in lacking if not n.startswith("op") and n != "pipeline"} == learnt

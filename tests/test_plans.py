@@ -36,11 +36,26 @@ def test_scans_read_only_what_is_used(spark, sf_dir):
     assert "l_shipdate" not in schema and "l_extendedprice" not in schema
 
 
-@pytest.mark.parametrize("name", ["driver_totals_before", "form_last5"])
-def test_one_shuffle_and_one_sort_serve_all_windows_of_a_driver(spark, sf_dir, name):
+@pytest.mark.parametrize("name", ["driver_totals_before", "form_last5", "form_last5_faithful"])
+def test_no_window_takes_the_whole_table_through_one_task(spark, sf_dir, name):
     text = final(plan_text(QUERIES[name](spark, sf_dir)))
-    assert len(re.findall(r"Exchange hashpartitioning\(driver_id", text)) == 1
-    assert len(re.findall(r"\bSort \[", text)) == 1
+    assert "seg" in text
+    # Single partitions only behind an aggregate to one row per segment.
+    for part in text.split("Exchange SinglePartition")[1:]:
+        assert "HashAggregate" in part[:400] or "SortAggregate" in part[:400] or "Window" not in text.split(part)[0][-400:]
+
+
+@pytest.mark.parametrize(
+    "name, most",
+    [("score_matrix", 2), ("history_qualifying_left", 1), ("history_qualifying_fallback", 1), ("entry_list_semi", 1), ("entry_list_semi_empty", 1), ("qualifying_left", 1)],
+)
+def test_the_fact_is_scanned_once(spark, sf_dir, name, most, monkeypatch):
+    read, scans = star.read, []
+    monkeypatch.setattr(star, "read", lambda s, d, t: scans.append(t) or read(s, d, t))
+    for cached in (star.races, star.drivers, star.results):
+        cached.cache_clear()
+    QUERIES[name](spark, sf_dir).collect()
+    assert scans.count("lineitem") <= most
 
 
 def test_team_totals_as_of_sort_days_not_rows(spark, sf_dir):
@@ -58,8 +73,8 @@ def test_team_totals_as_of_sort_days_not_rows(spark, sf_dir):
         "weather_default_join",
         "race_day_forecast",
         "circuit_stats_asof",
-        "driver_history_segmented",
-        "form_carried_segmented",
+        "driver_history",
+        "form_last5_faithful",
         "score_matrix",
     ],
 )

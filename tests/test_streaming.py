@@ -2,7 +2,7 @@
 
 import json
 
-from paceline.streaming.landing import ingest_new
+from paceline.streaming.landing import ingest_new, ingested, quarantine_of
 
 
 def document(driver):
@@ -21,16 +21,16 @@ def document(driver):
 def test_ingest_new(spark, tmp_path):
     landing, table = tmp_path / "landing", str(tmp_path / "table")
 
-    def capture(round_, text):
+    def capture(round_, text, name="doc.json"):
         folder = landing / f"results/season=2023/round={round_}"
-        folder.mkdir(parents=True)
-        (folder / "doc.json").write_text(text)
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
 
     def run():
         query = ingest_new(spark, str(landing), "results", table, str(tmp_path / "progress"))
         query.awaitTermination()
         assert query.exception() is None
-        return sorted(r["driver_id"] for r in spark.read.parquet(table).collect())
+        return sorted(r["driver_id"] for r in ingested(spark, table, "results").collect())
 
     capture(1, document("ann"))
     capture(2, '{"broken')
@@ -38,3 +38,8 @@ def test_ingest_new(spark, tmp_path):
     assert run() == ["ann"]
     capture(3, document("bob"))
     assert run() == ["ann", "bob"]
+    # Several documents in a file, and one of an earlier file once more.
+    capture(3, "\n".join([document("bob"), document("cat"), document("dan")]), "more.json")
+    capture(4, document("eva") + "\n" + document("fay"), "all.jsonl")
+    assert run() == ["ann", "bob", "cat", "dan", "eva", "fay"]
+    assert [r["unreadable"] for r in spark.read.parquet(quarantine_of(table)).collect()] == ['{"broken']
