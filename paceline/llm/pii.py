@@ -53,8 +53,11 @@ PATTERNS: dict[str, str] = {
 
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
-#: A text without any of these holds no entity; most texts end here.
-MAYBE = rf"[0-9@]|{_SECRET_KEY}\s{{0,3}}[=:]|(?:{_TITLE})\.? \p{{Lu}}"
+#: A text with none of these signs and none of these title beginnings holds no
+#: entity; most texts end here, after one pass for the signs and a search per title.
+_SIGNS = "[0-9@=:]"
+_BEGINNINGS = sorted(t for g in TITLES.values() for t in g)
+_BEGINNINGS = [t for i, t in enumerate(_BEGINNINGS) if not any(t.startswith(x) for x in _BEGINNINGS[:i])]
 
 #: A surrogate that is taken is drawn again, so often at most.
 ATTEMPTS = 40
@@ -62,6 +65,14 @@ ATTEMPTS = 40
 _DIGIT_TYPES = ("phone", "card", "ssn")
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text can hold an entity at all."""
+    out = text.rlike(_SIGNS)
+    for title in _BEGINNINGS:
+        out = out | text.contains(title)
+    return out
+
+
 def kind_of(raw: Column) -> Column:
     """The type of a found string: the first pattern that reads it whole."""
     out = F.when(F.lit(False), F.lit(""))
@@ -227,7 +238,7 @@ def replace_entities(docs: DataFrame, key: str = "paceline", text: str = "text")
     """
     names = [c for c in docs.columns if c != "n_replaced"]
     t = F.col(text)
-    found = F.when(t.rlike(MAYBE), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+    found = F.when(may_hold(t), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
     tagged = docs.select(*names).withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
     tagged = materialize(tagged.withColumn("__key", F.monotonically_increasing_id()), "tagged")
     plain = tagged.filter(F.size("__found") == 0)
