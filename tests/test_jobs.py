@@ -134,7 +134,9 @@ def test_predict_winner(tables, variant):
     assert 0 <= prediction.accuracy.first()["accuracy"] <= 1
     assert {r["class"] for r in prediction.class_report.collect()} >= {"accuracy", "macro avg"}
     importances = [r["importance"] for r in prediction.importances.collect()]
-    assert len(importances) == 18 and sum(importances) == pytest.approx(1)
+    # Corrected also tells the model what was missing: a flag per feature.
+    assert len(importances) == (36 if variant == "corrected" else 18)
+    assert sum(importances) == pytest.approx(1)
 
 
 def test_no_prediction_without_race_or_history(tables):
