@@ -27,8 +27,8 @@ from paceline.session import materialize
 #: Consecutive words of an item that make a window.
 WINDOW = 10
 
-#: Bytes of text in a segment; a longer document is a segment of its own.
-SEGMENT_BYTES = 8_000_000
+#: Bytes of text in a segment, about; a longer document is a segment of its own.
+SEGMENT_BYTES = 4_000_000
 
 #: Bytes of test text looked up in one pass over the index.
 QUERY_BYTES = 16_000_000
@@ -101,13 +101,21 @@ def build_index(docs: DataFrame, window: int = WINDOW, segment_bytes: int = SEGM
             ids = batch.column("doc_id")
             known = np.asarray(ids.is_valid())
             numbers = np.asarray(ids.fill_null(0))
-            for first, end, data, offsets in text_blocks(batch.column("text"), segment_bytes):
-                hashes, words = hash_words(data, offsets, ALNUM)
-                keys = (part << 40) + n + np.arange(first, end)
-                seg = Segment.build(keys, numbers[first:end], known[first:end], hashes, words, window)
+            begin, held, size = 0, [], 0
+            for first, end, data, offsets in text_blocks(batch.column("text")):
+                held.append(hash_words(data, offsets, ALNUM))
+                size += len(data)
+                if size < segment_bytes and end < batch.num_rows:
+                    continue
+                hashes = np.concatenate([h for h, _ in held])
+                before = np.cumsum([0, *(len(h) for h, _ in held)])
+                words = np.concatenate([[0], *(w[1:] + at for (_, w), at in zip(held, before, strict=False))])
+                keys = (part << 40) + n + np.arange(begin, end)
+                seg = Segment.build(keys, numbers[begin:end], known[begin:end], hashes, words, window)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([c], pa.binary()) for c in seg.columns()], list(Segment.__dataclass_fields__)
                 )
+                begin, held, size = end, [], 0
             n += batch.num_rows
 
     slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
