@@ -53,11 +53,12 @@ PATTERNS: dict[str, str] = {
 
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
-#: A text with none of these signs and none of these title beginnings holds no
-#: entity; most texts end here, after one pass for the signs and a search per title.
+#: A text with none of these signs, none of these title beginnings and no beginning of
+#: an access key (which may be all letters) holds no entity; most texts end here,
+#: after one pass for the signs and a search per beginning.
 _SIGNS = "[0-9@=:]"
 _BEGINNINGS = sorted(t for g in TITLES.values() for t in g)
-_BEGINNINGS = [t for i, t in enumerate(_BEGINNINGS) if not any(t.startswith(x) for x in _BEGINNINGS[:i])]
+_BEGINNINGS = [t for i, t in enumerate(_BEGINNINGS) if not any(t.startswith(x) for x in _BEGINNINGS[:i])] + ["AKIA"]
 
 #: A surrogate that is taken is drawn again, so often at most.
 ATTEMPTS = 40
@@ -68,8 +69,8 @@ _DIGIT_TYPES = ("phone", "card", "ssn")
 def may_hold(text: Column) -> Column:
     """Whether a text can hold an entity at all."""
     out = text.rlike(_SIGNS)
-    for title in _BEGINNINGS:
-        out = out | text.contains(title)
+    for beginning in _BEGINNINGS:
+        out = out | text.contains(beginning)
     return out
 
 
