@@ -4,6 +4,7 @@ Built-in expressions only.  A value has one surrogate in the whole corpus, made
 by hashing it with a key, so mentions that belong together stay together.  A
 surrogate keeps the format (digits for digits, letters for letters, separators
 where they were), the script and the gender of a name, a card's check digit.
+Cyrillic family names that differ in the ending of gender alone are one value.
 Surrogates are checked over the corpus: no two values share one, and none is a
 value that occurs.
 """
@@ -21,7 +22,8 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Signora", "госпожа"),
 }
 
-#: Names are put together from a start, a middle and an end; ends tell gender in Cyrillic family names.
+#: Names are put together from a start, a middle and an end.  Cyrillic family names stand
+#: here as men have them; a woman's gets FEMININE at the end.
 _GIVEN = {
     "m_latin": (("Al", "Ber", "Con", "Da", "Ed", "Fer", "Gil", "Har", "Jo", "Leo", "Mar", "Ro"), ("an", "ber", "di", "fre", "lan", "mon", "ri", "vi"), ("d", "l", "n", "rt", "s", "us")),
     "f_latin": (("A", "Bea", "Cla", "Da", "Eli", "Flo", "Gre", "He", "Jo", "Lu", "Ma", "Ro"), ("bri", "di", "la", "li", "ni", "ri", "sa", "vi"), ("a", "e", "lla", "na", "nne", "ra")),
@@ -33,6 +35,8 @@ _FAMILY = {
     "cyrillic": (("Бар", "Вол", "Гор", "Дан", "Еф", "Жар", "Зар", "Кал", "Лар", "Мор", "Нов", "Пан", "Рад", "Сав", "Тар", "Фад"), ("а", "бо", "ви", "го", "де", "ки", "ло", "ми", "ни", "ра", "со", "ти"), ("ев", "ин", "ков", "лов", "нов", "ров", "тин", "шин")),
 }
 
+FEMININE = "а"
+
 _TITLE = "|".join(sorted((t for g in TITLES.values() for t in g), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _SECRET_KEY = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)"
@@ -152,6 +156,17 @@ def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     return out.otherwise(_same_shape(value, h))
 
 
+def _feminine(raw: Column) -> Column:
+    """Whether a name stands after a woman's title."""
+    return raw.rlike(rf"^(?:{'|'.join(TITLES['f'])})(?:\.| )")
+
+
+def _stem(family: Column) -> Column:
+    """A Cyrillic family name without what its gender adds: Петрова is Петров, Белая and Белый are one."""
+    out = F.regexp_replace(family, "(?iu)(?<=\\p{L}(?:ов|ев|ёв|ин|ын))а$", "")
+    return F.regexp_replace(out, "(?iu)(?<=\\p{L}{3})(?:ый|ий|ой|ая|яя)$", "")
+
+
 def _entities(mentions: DataFrame) -> DataFrame:
     """Mentions (raw, kind) with ``parts``: the values to be replaced and their kinds, one or, in names, two."""
     raw, kind = F.col("raw"), F.col("kind")
@@ -165,11 +180,12 @@ def _entities(mentions: DataFrame) -> DataFrame:
         .when(kind.isin("card", "ssn"), digits)
         .otherwise(raw)
     )
-    gender = F.when(raw.rlike(rf"^(?:{'|'.join(TITLES['f'])})(?:\.| )"), F.lit("f")).otherwise(F.lit("m"))
+    gender = F.when(_feminine(raw), F.lit("f")).otherwise(F.lit("m"))
     words = F.split(F.regexp_extract(raw, r"^\p{L}+\.? (.*)$", 1), " ")
     tag = F.when(F.element_at(words, -1).rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     part = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
-    family = part(F.concat(F.lit("family_"), tag), F.element_at(words, -1))
+    last = F.element_at(words, -1)
+    family = part(F.concat(F.lit("family_"), tag), F.when(tag == "cyrillic", _stem(last)).otherwise(last))
     given = part(F.concat_ws("_", F.lit("given"), gender, tag), F.element_at(words, 1))
     parts = F.when((kind == "name") & (F.size(words) > 1), F.array(given, family)).when(kind == "name", F.array(family))
     return mentions.withColumn("country", F.when(kind == "phone", country).otherwise(F.lit(""))).withColumn(
@@ -218,10 +234,11 @@ def _render(raw: Column, kind: Column, to: Column) -> Column:
         lambda a: a["s"],
     )
     title = F.regexp_extract(raw, r"^\p{L}+\.? ", 0)
+    ending = F.when(_feminine(raw) & raw.rlike(r"\p{IsCyrillic}\p{L}*$"), F.lit(FEMININE)).otherwise(F.lit(""))
     head = F.regexp_extract(raw, rf"^({_SECRET_KEY}\s*[=:]\s*[\"']?)", 1)
     tail = F.regexp_extract(raw, r"[\"']$", 0)
     return (
-        F.when(kind == "name", F.concat(title, F.array_join(to, " ")))
+        F.when(kind == "name", F.concat(title, F.array_join(to, " "), ending))
         .when(kind == "secret", F.concat(head, one, tail))
         .when(kind == "email", F.when(raw == F.upper(raw), F.upper(one)).otherwise(one))
         .when(kind == "iban", fill(raw, " "))
