@@ -39,6 +39,14 @@ FEMININE = "а"
 
 _TITLE = "|".join(sorted((t for g in TITLES.values() for t in g), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: First digits of cards, and the ways their numbers are grouped; at one place each reads one number at most.
+_ISSUER = r"(?:[3-6]\d{3}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720))"
+_GROUPED = (
+    rf"{_ISSUER}(?:[ -]?\d{{4}}){{3}}[ -]?\d{{1,3}}",
+    rf"{_ISSUER}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}",
+    r"3\d{3}[ -]?\d{6}[ -]?\d{4,5}",
+)
+_CARD = [rf"(?<![\p{{L}}\d]){g}(?![\p{{L}}\d])" for g in _GROUPED]
 _SECRET_KEY = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)"
 
 #: What is looked for, in the order in which overlapping readings are preferred.
@@ -52,10 +60,12 @@ PATTERNS: dict[str, str] = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
     r"|(?<![\d+])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
-    "card": r"(?<!\d)[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)|(?<!\d)3\d{3}[ -]?\d{6}[ -]?\d{5}(?!\d)",
+    # Of these only numbers with a valid check digit are cards (see ``reading``).
+    "card": "|".join(_CARD),
 }
 
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_NO_CARD = "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "card")
 
 #: A text with none of these signs, none of these title beginnings and no beginning of
 #: an access key (which may be all letters) holds no entity; most texts end here,
@@ -78,6 +88,24 @@ def may_hold(text: Column) -> Column:
     return out
 
 
+def cards(text: Column) -> Column:
+    """The card numbers of a text as alternatives of a pattern, longest first; '' if there are none.
+
+    Every place is tried, so a number that is no card hides none that overlaps it.
+    """
+    tried = [F.regexp_extract_all(text, F.lit(f"(?=({p}))"), F.lit(1)) for p in _CARD]
+    valid = F.filter(F.array_distinct(F.concat(*tried)), lambda c: _luhn_sum(F.regexp_replace(c, r"\D", "")) % 10 == 0)
+    longest = F.sort_array(F.transform(valid, lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))), asc=False)
+    found = F.array_join(F.transform(longest, lambda x: x["c"]), "|")
+    return F.when(text.rlike(r"\d{3}[ -]?\d{4}"), found).otherwise(F.lit(""))
+
+
+def reading(cards: Column) -> Column:
+    """The pattern that finds the entities of a text with these ``cards``."""
+    own = F.concat(F.lit(_NO_CARD + r"|(?<![\p{L}\d])(?:"), cards, F.lit(r")(?![\p{L}\d])"))
+    return F.when(cards == "", F.lit(_NO_CARD)).otherwise(own)
+
+
 def kind_of(raw: Column) -> Column:
     """The type of a found string: the first pattern that reads it whole."""
     out = F.when(F.lit(False), F.lit(""))
@@ -122,14 +150,14 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def _card(value: Column, h: Column) -> Column:
-    """The first digit kept; a last digit that checks where the value's does."""
+    """The first digit kept, in the range of cards with 2 first; a last digit that checks."""
     n = F.length(value)
     first = F.substring(value, 1, 1)
     head = F.concat(first, _same_shape(F.substring(value, F.lit(2), n - 2), h))
+    ranged = (F.conv(F.substring(h, 61, 4), 16, 10).cast("int") % 500 + 2221).cast("string")
+    head = F.when(first == "2", F.concat(ranged, F.substring(head, F.lit(5), n))).otherwise(head)
     check = (F.lit(10) - _luhn_sum(F.concat(head, F.lit("0"))) % 10) % 10
-    free = F.conv(F.substring(h, 61, 4), 16, 10).cast("int") % 10
-    last = F.when(_luhn_sum(value) % 10 == 0, check).otherwise(free)
-    return F.concat(head, last.cast("string"))
+    return F.concat(head, check.cast("string"))
 
 
 def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
@@ -256,8 +284,9 @@ def replace_entities(docs: DataFrame, key: str = "paceline", text: str = "text")
     """
     names = [c for c in docs.columns if c != "n_replaced"]
     t = F.col(text)
-    found = F.when(may_hold(t), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
-    tagged = docs.select(*names).withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
+    found = F.when(may_hold(t), F.regexp_extract_all(t, reading(F.col("__cards")), F.lit(0)))
+    tagged = docs.select(*names).withColumn("__cards", F.when(may_hold(t), cards(t)).otherwise(F.lit("")))
+    tagged = tagged.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
     tagged = materialize(tagged.withColumn("__key", F.monotonically_increasing_id()), "tagged")
     plain = tagged.filter(F.size("__found") == 0)
     hit = tagged.filter(F.size("__found") > 0)
@@ -281,7 +310,7 @@ def replace_entities(docs: DataFrame, key: str = "paceline", text: str = "text")
         .groupBy("__key")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("__new"))
     )
-    between = F.split(t, ANY, -1)
+    between = F.split(t, reading(F.col("__cards")), -1)
     filled = F.array_join(
         F.transform(F.arrays_zip(F.col("__between"), F.col("__new")), lambda x: F.concat(x["__between"], F.coalesce(x["__new"], F.lit("")))), ""
     )

@@ -146,3 +146,17 @@ def test_cyrillic_family_names_have_the_gender_of_the_title(frame):
     women, men = [m[2], m[4], m[6]], [m[3], m[5], m[7]]
     assert women == [n + "а" for n in men] and len(set(men)) == 3
     assert all(n.endswith(pii._FAMILY["cyrillic"][2]) for n in men)
+
+
+def test_only_numbers_with_a_check_digit_are_cards(frame):
+    stay = ["no 3627072101032238 or 4529603461135147", "ref 2123465659789240", "id X4111111111111111 and 4111111111111111b", "2721000000000004"]
+    go = {
+        11: "2223003122003222", 12: "4111 1111 1111 1111 and 3627072101032238", 13: "3782 822463 10005",
+        14: "5000 4111 1111 1111 1111", 15: "3056 930902 5904", 16: "4000 0000 0000 0000 006",
+    }
+    got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in pii.replace_entities(frame([*enumerate(stay), *go.items()])).collect()}
+    assert [got[i] for i in range(len(stay))] == [(t, 0) for t in stay]
+    assert all(got[i][1] == 1 and got[i][0] != t and len(got[i][0]) == len(t) for i, t in go.items())
+    assert luhn(got[11][0]) and 2221 <= int(got[11][0][:4]) <= 2720
+    assert got[12][0].endswith(" and 3627072101032238") and got[14][0].startswith("5000 ")
+    assert luhn(got[14][0][5:]) and luhn(got[16][0])
