@@ -68,6 +68,10 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.unique(h)
 
 
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
     """HASHES minima of a set under as many permutations of 32-bit values."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -78,7 +82,7 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, width: int) -> DataFrame:
-    """row_key, doc_id, n_shingles, digest (of the full set), hashes (HASHES x 4 bytes)."""
+    """row_key, doc_id, text_hash, n_shingles, digest (of the full set), hashes (HASHES x 4 bytes)."""
 
     def rows(batches):
         from pyspark import TaskContext
@@ -88,7 +92,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
             size, digest, sig = [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 size.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digest.append(_digest(s) if len(s) else None)
                 sig.append(_scramble(min_hashes(s)).tobytes() if len(s) else None)
             keys = (part << 40) + n + np.arange(batch.num_rows)
             n += batch.num_rows
@@ -96,18 +100,25 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
                 [
                     pa.array(keys, pa.int64()),
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(size, pa.int64()),
                     pa.array(digest, pa.binary()),
                     pa.array(sig, pa.binary()),
                 ],
-                ["row_key", "doc_id", "n_shingles", "digest", "hashes"],
+                ["row_key", "doc_id", "text_hash", "n_shingles", "digest", "hashes"],
             )
 
-    slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    schema = "row_key bigint, doc_id bigint, n_shingles bigint, digest binary, hashes binary"
+    schema = "row_key bigint, doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, hashes binary"
+    slim = _slim(docs)
     return widened(docs.sparkSession, slim).mapInArrow(rows, schema)
 
 
+def _slim(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_hash; the hash tells the texts of a repeated doc_id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+
+
 def _scramble(low: np.ndarray) -> np.ndarray:
     """Minima are small numbers; mixed, every bit of them is as good as another."""
     return (mix(low.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -185,17 +196,26 @@ def _may_link(m: np.ndarray, n: np.ndarray, x0: np.ndarray, x1: np.ndarray, perc
     return fits & (apart <= MOST_DIFFERENT)
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, shingles, s0, s1) of the classes in ``ids``, from the texts of the rows that stand for them."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, shingles, s0, s1) of the classes in ``wanted`` (id, doc_id, text_hash, digest), from the
+    texts of the rows that stand for them: those of that doc_id whose set has that digest."""
 
     def rows(batches):
+        last = None
         for batch in batches:
+            ids = batch.column("id").to_pylist()
+            # Rows that repeat as a whole come one after the other; one of them is enough.
+            fresh = np.array([i != j for i, j in zip(ids, [last, *ids], strict=False)], bool)
+            last = ids[-1] if ids else last
+            batch = batch.filter(pa.array(fresh))
             sets = list(shingle_sets(batch.column("text"), width))
+            right = [_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
+            sets = [s for s, ok in zip(sets, right, strict=True) if ok]
             hashes = np.array([_scramble(min_hashes(s)) for s in sets], np.uint32).reshape(-1, HASHES)
             bits = _sketches(hashes)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"),
+                    batch.column("id").filter(pa.array(right, pa.bool_())),
                     pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
                     pa.array(np.ascontiguousarray(bits[:, 0])),
                     pa.array(np.ascontiguousarray(bits[:, 1])),
@@ -204,9 +224,8 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             )
 
     # The ids grow with the corpus, so they are never broadcast.
-    wanted = ids.hint("merge")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string")).join(wanted, "id", "left_semi")
-    return texts.mapInArrow(rows, "id bigint, shingles array<bigint>, s0 bigint, s1 bigint")
+    texts = _slim(docs).join(wanted.hint("merge"), ["doc_id", "text_hash"])
+    return texts.select("id", "text", "digest").mapInArrow(rows, "id bigint, shingles array<bigint>, s0 bigint, s1 bigint")
 
 
 def _similar(pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
@@ -306,31 +325,49 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     ``width``-word shingles have 100 * intersection >= percent * union are
     linked; ``component_id`` is the smallest doc_id that links lead to, and
     ``kept`` marks the row that has it.  Texts with no word (null, empty) link
-    with nothing.  Rows that repeat a doc_id are one document: all are marked
-    alike.  A row without a doc_id is
-    linked with nothing, has no component, and is kept.
+    with nothing.  Rows that repeat a doc_id are one document, whatever their
+    texts: what one of them links to, all do, and all are marked alike.  A row
+    without a doc_id is linked with nothing, has no component, and is kept.
     """
     signed = materialize(sign(docs, width), "signed")
     known = signed.filter("doc_id is not null and digest is not null")
-    # Equal sets form a class; its smallest doc_id stands for it.
-    smallest = known.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    # Equal sets form a class; its smallest row_key is its id.
+    smallest = known.groupBy("digest").agg(F.min("row_key").alias("id"), F.min("doc_id").alias("least"))
+    stands = lambda c: F.when(F.col("row_key") == F.col("id"), F.col(c)).alias(c)
     member = materialize(
-        known.select("row_key", "doc_id", "n_shingles", "digest", "hashes")
-        .join(smallest, "digest")
-        .withColumn("hashes", F.when(F.col("doc_id") == F.col("id"), F.col("hashes")))
-        .select("row_key", "doc_id", "n_shingles", "id", "hashes"),
+        known.join(smallest, "digest").select(
+            "row_key", "doc_id", "n_shingles", "id", "least", *map(stands, ("text_hash", "digest", "hashes"))
+        ),
         "classes",
     )
     classes = member.filter("hashes is not null")
     pairs = materialize(neighbours(forest_rows(classes), percent), "candidates")
     family = families(pairs)
-    sets = materialize(_sets_of(docs, family.select(F.col("node").alias("id")), width), "sets")
+    wanted = family.select(F.col("node").alias("id")).join(classes.select("id", "doc_id", "text_hash", "digest"), "id")
+    sets = materialize(_sets_of(docs, wanted, width), "sets")
     links = materialize(confirm(pairs, family, sets, percent), "links")
     more = leftovers(family, connected_components(links), sets, percent)
-    parts = connected_components(links.union(materialize(more, "links")))
 
-    linked = member.select("row_key", "id").join(parts, F.col("id") == F.col("node"), "left").select(
-        "row_key", F.coalesce("component", "id").alias("class_component")
+    # The rows of a doc_id are one document, whatever their texts: its classes are linked, rows without a word follow them.
+    wordless = signed.filter("doc_id is not null and digest is null").select("row_key", "doc_id")
+    nothing = F.lit(None).cast("bigint")
+    repeated = (
+        member.select("doc_id", "id", "least")
+        .union(wordless.select("doc_id", nothing, nothing))
+        .groupBy("doc_id")
+        .agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "least"))).alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("rows"), F.count("id").alias("worded"))
+        .filter("first.id < last or worded > 0 and worded < rows")
+    )
+    repeated = materialize(repeated.select("doc_id", F.col("first.id").alias("a"), F.col("first.least").alias("least")), "repeated")
+    same = member.select("doc_id", "id").join(repeated, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    parts = connected_components(links.union(materialize(more, "links")).union(same))
+
+    # A component has the smallest doc_id of its classes.
+    found = parts.join(classes.select(F.col("id").alias("node"), "least"), "node")
+    named = found.join(found.groupBy("component").agg(F.min("least").alias("named")), "component").select("node", "named")
+    rows = member.select("row_key", "id", "least").union(wordless.join(repeated, "doc_id").select("row_key", "a", "least"))
+    linked = rows.join(named, F.col("id") == F.col("node"), "left").select(
+        "row_key", F.coalesce("named", "least").alias("class_component")
     )
     component = F.coalesce("class_component", "doc_id")
     return (

@@ -96,3 +96,33 @@ def test_components_of_chains_and_stars(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(40)}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def merged(docs, width, percent):
+    """The rows of ``components``, where those of one id are one document."""
+    rows = components([((i, k), t) for k, (i, t) in enumerate(docs)], width, percent)
+    group = {}
+
+    def root(x):
+        while group.setdefault(x, x) != x:
+            x = group[x]
+        return x
+
+    for (i, _), _, (j, _), _ in rows:
+        x, y = sorted((root(i), root(j)))
+        group[y] = x
+    return sorted((i, n, root(i), root(i) == i) for (i, _), n, _, _ in rows)
+
+
+def test_a_repeated_id_with_other_texts(spark, frame):
+    r = random.Random(4)
+    one, two, three, four = (family(r, 6, 60, 4) for _ in range(4))
+    docs = [(i, t) for i, t in enumerate(one + two, start=10)]
+    # 50: a text near each family, one of its own, null and empty; 51 to 53: null or empty beside a text.
+    docs += [(50, one[3] + " x"), (50, two[2] + " y"), (50, three[0]), (50, None), (50, ""), (60, three[1])]
+    docs += [(51, None), (51, three[2]), (52, ""), (52, four[0]), (53, four[1]), (53, None), (54, None), (54, "")]
+    # Two texts with the same smallest id; each has its own near copy.
+    docs += [(3, four[2]), (3, "p q r s t u v w"), (70, four[2]), (71, "p q r s t u v w"), (4, None), (4, "p q r s t u v w x")]
+    for order in (docs, docs[::-1], r.sample(docs, len(docs))):
+        df = frame(order).repartition(3)
+        assert result(neardup.near_duplicates(df, 2)) == merged(order, 2, 80)
