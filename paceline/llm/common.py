@@ -135,6 +135,17 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple
     return whole, rows
 
 
+def hash_bytes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes that ``offsets`` cut, none of them empty."""
+    if len(offsets) < 2:
+        return np.zeros(0, np.uint64)
+    own = data[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
+    first = offsets[:-1] - offsets[0]
+    lengths = np.diff(offsets)
+    place = np.arange(len(own)) - np.repeat(first, lengths)
+    return mix(np.add.reduceat(_factors(int(lengths.max()))[place] * own, first))
+
+
 def hash_terms(words: Iterable[str], keep: np.ndarray) -> np.ndarray:
     """Hashes of given words, as ``hash_words`` makes them."""
     raw = [w.encode() for w in words]

@@ -126,10 +126,40 @@ select page_id, octet_length(encode(html))::bigint as payload_bytes, ''{_BASE32}
 from p
 """
 
+COLLOCATIONS = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(p, '[^\x20\x09]+') as w
+  from (select lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) as p from documents)),
+n as (select lang, sum(len(w))::bigint as n from p group by 1),
+g as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from p, (select unnest(range(1, 5)) as k) where len(w) >= k),
+f as materialized (
+  select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*)::bigint as a from g group by 1, 2, 3 having count(*) >= 30),
+c as materialized (select lang, k, phrase, a, string_split(phrase, ' ') as w from f where k > 1),
+cut as (
+  select lang, phrase, a, j, array_to_string(w[1 : j], ' ') as x, array_to_string(w[j + 1 : k], ' ') as y
+  from (select *, unnest(range(1, k)) as j from c)),
+s as (
+  select cut.lang, cut.phrase, x.a as l, y.a as r, (2000000::hugeint * cut.a // (x.a + y.a))::bigint as score,
+         row_number() over (partition by cut.lang, cut.phrase order by 2000000::hugeint * cut.a // (x.a + y.a), j) as place
+  from cut join f x on x.lang = cut.lang and x.phrase = cut.x join f y on y.lang = cut.lang and y.phrase = cut.y),
+inner_parts as (
+  select lang, array_to_string(w[i : i + m - 1], ' ') as phrase, max(a) as more
+  from (select lang, w, a, m, unnest(range(1, k - m + 2)) as i from c, (select unnest(range(2, 4)) as m) where k > m) group by 1, 2),
+kept as (
+  select c.lang, c.phrase, c.a, s.l, s.r, s.score
+  from c join s on s.lang = c.lang and s.phrase = c.phrase and s.place = 1
+  left join inner_parts i on i.lang = c.lang and i.phrase = c.phrase
+  where i.more is null or 100 * i.more < 80 * c.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select ranked.lang, rank, phrase, a, l, r, n, score from ranked join n on n.lang = ranked.lang where rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": near_duplicates_sql(2, 80),
     "op4_warc": WARC,
     "op6_url_filter": url_filter_sql(),
     "op9_decontamination": DECONTAMINATION,
     "op10_quality_rules": QUALITY,
+    "op12_collocations": COLLOCATIONS,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paceline.llm import decontaminate, langid, neardup, packing, pii, quality, tokens, toxicity, urls, warc
+from paceline.llm import chat, collocations, decontaminate, langid, merkle, neardup, packing, pii, quality, tokens, toxicity, urls, warc
 from paceline.llm.common import read
 
 
@@ -79,6 +79,21 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def manifest_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read(spark, sf_dir, "documents"))
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
+    return chat.digest(chat.render(rows.union(extra), chat.TEMPLATE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": languages,
     "op2_token_counts": token_counts,
@@ -90,4 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity_scores,
     "op9_decontamination": decontamination,
     "op10_quality_rules": quality_rules,
+    "op11_merkle_manifest": manifest_proofs,
+    "op12_collocations": phrase_collocations,
+    "op13_chat_format": chat_digests,
 }

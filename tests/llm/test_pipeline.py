@@ -74,4 +74,4 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 
 def test_queries_are_named_after_the_operators():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
