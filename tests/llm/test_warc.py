@@ -71,13 +71,28 @@ def test_empty_table(spark):
 
 def test_damage_is_noticed(spark, tmp_path):
     archive = warc.write_archive(pages_of(spark, PAGES))
-    bad = warc.Archive(str(tmp_path))
-    spark.read.parquet(archive.headers).write.parquet(bad.headers)
-    spark.read.parquet(archive.payloads).withColumn("payload", F.concat("payload", F.lit(b"!"))).write.parquet(bad.payloads)
+    bad = warc.Archive(str(tmp_path), 3)
+    warc._write_dealt(spark.read.parquet(archive.headers), bad.headers, 3)
+    spark.read.parquet(archive.hot_headers).write.parquet(bad.hot_headers)
+    warc._write_dealt(spark.read.parquet(archive.payloads).withColumn("payload", F.concat("payload", F.lit(b"!"))), bad.payloads, 3)
     with pytest.raises(Exception, match="damaged payload"):
         warc.read_archive(spark, bad).collect()
 
 
+def test_hot_payloads_are_spread_and_no_payload_moves_again(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_HOT", 5)
+    monkeypatch.setattr(warc, "HOT", 20)
+    rows = [(i, f"http://x/{i}", "hot" if i % 3 else f"page {i}") for i in range(200)] + [(None, None, "hot"), (300, "u", "warm")] + [(301, "u", "warm")] * 4
+    archive = warc.write_archive(pages_of(spark, rows))
+    assert spark.read.parquet(archive.hot_headers).count() == sum(h == "hot" for _, _, h in rows)
+    records = warc.read_archive(spark, archive)
+    assert rows_of(warc.describe(records)) == brute(rows)
+    # The tables dealt by digest meet where they lie; only the hot payloads' shares move.
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(digest#\d+, share#\d+", plan)
+    assert not re.search(r"Exchange hashpartitioning\(digest#\d+, \d+\)", plan)
+
+
 def test_files(spark, tmp_path):
     records = warc.read_archive(spark, warc.write_archive(pages_of(spark, PAGES)))
     warc.export_files(records, f"{tmp_path}/files", records_per_file=3)
