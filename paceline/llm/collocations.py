@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +34,11 @@ TOP = 2000
 
 #: Hash bins of leading pairs, and the suffixes a task should get.  The bins are
 #: counted on the driver, so their number bounds what is sent there (8 bytes each).
-#: With some 250,000 words a bin or more, raise it: results do not depend on it.
-BINS, SUFFIXES = 1 << 16, 1_000_000
+#: With some 100,000 words a bin or more, raise it: results do not depend on it.
+BINS, SUFFIXES = 1 << 16, 500_000
 
 #: Words a task turns into suffixes at a time; equal suffixes among them are one row.
-WORDS = 1_500_000
+WORDS = 600_000
 
 #: Partial top lists of a language before the last one.
 SPREAD = 64
@@ -110,6 +112,16 @@ def _suffixes(codes: np.ndarray, pieces: np.ndarray, longest: int) -> tuple[np.n
     return at, rows[at]
 
 
+def _bytes_of(values: pa.Array) -> bytes:
+    """The bytes of all values, end to end."""
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    return values.buffers()[2][int(ends[0]) : int(ends[-1])].to_pybytes()
+
+
+def _unpacked(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 def _pair_hash(lang: np.ndarray, words: np.ndarray, hashes: np.ndarray, lang_hashes: np.ndarray) -> np.ndarray:
     return mix(mix(lang_hashes[lang] + hashes[words[:, 0]]) + hashes[words[:, 1]])
 
@@ -144,6 +156,7 @@ def count_words(docs: DataFrame, longest: int, bins: int = BINS) -> DataFrame:
             h = _pair_hash(lang[at], suffixes, _hash_words(words), _hash_langs(langs))
             in_bin += np.bincount((h % np.uint64(bins)).astype(np.int64), minlength=bins)
         used = np.flatnonzero(in_bin)
+        # A batch of the bins of the whole task.
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(used), pa.string()), pa.nulls(len(used), pa.string()), pa.array(used, pa.int32()), pa.array(in_bin[used])],
             ["lang", "word", "bin", "c"],
@@ -167,51 +180,65 @@ def routes(sizes: np.ndarray, suffixes: int = SUFFIXES) -> tuple[np.ndarray, np.
 
 
 def route_suffixes(docs: DataFrame, sizes: np.ndarray, longest: int, suffixes: int = SUFFIXES) -> DataFrame:
-    """(route, cut, cuts, langs, words, codes): blocks of suffixes with the words they use.
+    """(route, cut, cuts, langs, words, n, codes): blocks of ``n`` suffixes with the words they use.
 
     ``codes`` holds a column per word of the suffixes (0 where there is none, else 1 +
-    the place in ``words``), before them one of languages and after them one of counts.
+    the place in ``words``, each with a line end), before them one of languages and after
+    them one of counts; both are compressed.
     """
     route, cuts = routes(sizes, suffixes)
-    bins = len(sizes)
+    bins, most = len(sizes), int(cuts.max(initial=1))
 
     def rows(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
         for words, codes, pieces, lang, langs in _read(batches, WORDS):
             at, suffix = _suffixes(codes, pieces, longest)
             if not len(at):
                 continue
             lang, hashes = lang[at], _hash_words(words)
+            lines = pc.binary_join_element_wise(words, pa.scalar(b"", words.type), pa.scalar(b"\n", words.type))
             h = _pair_hash(lang, suffix, hashes, _hash_langs(langs))
             b = (h % np.uint64(bins)).astype(np.int64)
             deeper = np.concatenate([hashes, np.zeros(1, np.uint64)])
             for d in range(2, longest):
                 h = mix(h + deeper[suffix[:, d]])
             cut = ((h >> np.uint64(8)) % cuts[b].astype(np.uint64)).astype(np.int64)
-            order = np.lexsort([*suffix.T[::-1], lang, cut, route[b]])
-            key = np.column_stack([route[b], cut, lang, suffix])[order]
-            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-            times, key, many = np.diff(np.append(first, len(key))), key[first], cuts[b][order][first]
-            edges = np.flatnonzero(np.append(True, (key[1:, :2] != key[:-1, :2]).any(axis=1)))
-            for lo, hi in zip(edges, np.append(edges[1:], len(key)), strict=True):
-                used, local = np.unique(key[lo:hi, 3:], return_inverse=True)
-                local = local.reshape(hi - lo, longest) + (0 if used[0] < 0 else 1)
-                used = used[used >= 0]
-                table = np.column_stack([key[lo:hi, 2], local, times[lo:hi]])
+            # By target, in it by hash: equal suffixes lie together, but for colliding hashes,
+            # which leave them apart and the counts right.
+            target = route[b] * most + cut
+            _, rank = np.unique(target, return_inverse=True)
+            order = np.argsort((rank.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
+            suffix, lang, target = suffix[order], lang[order], target[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (suffix[1:] != suffix[:-1]).any(axis=1) | (lang[1:] != lang[:-1]) | (target[1:] != target[:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(order)))
+            suffix, lang, target, b, cut = suffix[first], lang[first], target[first], b[order[first]], cut[order[first]]
+            seen, place = np.zeros(len(words) + 1, bool), np.zeros(len(words) + 1, np.int64)
+            edges = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+            for lo, hi in zip(edges, np.append(edges[1:], len(target)), strict=True):
+                of = suffix[lo:hi] + 1
+                seen[:] = False
+                seen[of] = True
+                used = np.flatnonzero(seen[1:])
+                place[used + 1] = np.arange(1, len(used) + 1)
+                local = place[of]
+                table = np.column_stack([lang[lo:hi], local, times[lo:hi]])
                 kind = np.uint16 if table.max() < 1 << 16 else np.uint32
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([key[lo, 0]]),
-                        pa.array([key[lo, 1]]),
-                        pa.array([int(many[lo])]),
+                        pa.array([int(route[b[lo]])]),
+                        pa.array([int(cut[lo])]),
+                        pa.array([int(cuts[b[lo]])]),
                         pa.array([langs], pa.list_(pa.string())),
-                        pa.ListArray.from_arrays([0, len(used)], words.take(pa.array(used)).cast(pa.binary())),
+                        pa.array([pack(_bytes_of(lines.take(pa.array(used))))], pa.binary()),
                         pa.array([hi - lo], pa.int64()),
-                        pa.array([np.ascontiguousarray(table.T.astype(kind)).tobytes()], pa.binary()),
+                        pa.array([pack(np.ascontiguousarray(table.T.astype(kind)).tobytes())], pa.binary()),
                     ],
                     ["route", "cut", "cuts", "langs", "words", "n", "codes"],
                 )
 
-    schema = "route bigint, cut bigint, cuts bigint, langs array<string>, words array<binary>, n bigint, codes binary"
+    schema = "route bigint, cut bigint, cuts bigint, langs array<string>, words binary, n bigint, codes binary"
     return docs.mapInArrow(rows, schema)
 
 
@@ -242,29 +269,30 @@ def equal_partitions(codes: np.ndarray, weights: np.ndarray, least: list[int]) -
 
 def _count_route(table: pa.Table, least: int, longest: int) -> pa.Table:
     """(lang, phrase, size, c) of the phrases of two words or more in a route's suffixes."""
-    table = table.combine_chunks()
     tongues: dict[str, int] = {}
     columns, words = [], []
-    for langs, n, raw in zip(table["langs"].to_pylist(), table["n"].to_pylist(), table["codes"].to_pylist(), strict=True):
+    for langs, n, packed in zip(table["langs"].to_pylist(), table["n"].to_pylist(), table["codes"].to_pylist(), strict=True):
+        raw = _unpacked(packed)
         flat = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n * (longest + 2) else np.uint32).reshape(longest + 2, n)
-        own = np.array([tongues.setdefault(x, len(tongues) + 1) for x in langs], np.int64)
-        columns.append(np.vstack([own[flat[0]], flat[1:].astype(np.int64)]))
+        own = np.array([tongues.setdefault(x, len(tongues) + 1) for x in langs], np.int32)
+        columns.append(np.vstack([own[flat[0]], flat[1:].astype(np.int32)]))
     # Words of all blocks get one numbering; 0 stays the end of a suffix.
-    listed = table["words"].combine_chunks()
-    listed = listed.chunk(0) if isinstance(listed, pa.ChunkedArray) else listed
-    words = listed.flatten().dictionary_encode()
-    number = np.asarray(words.indices).astype(np.int64) + 1
-    start = np.asarray(listed.offsets) - listed.offsets[0].as_py()
+    for packed in table["words"].to_pylist():
+        words.append(pa.array(_unpacked(packed).split(b"\n")[:-1], pa.binary()))
+    start = np.cumsum([0, *map(len, words)])
+    words = pa.chunked_array(words).dictionary_encode().unify_dictionaries()
+    number = np.concatenate([np.asarray(c.indices) for c in words.chunks]) + np.int32(1)
+    spelt = words.chunk(0).dictionary.to_pylist()
     for k, c in enumerate(columns):
-        lookup = np.append(0, number[start[k] : start[k + 1]])
+        lookup = np.append(np.int32(0), number[start[k] : start[k + 1]])
         c[1:-1] = lookup[c[1:-1]]
-    codes = np.hstack(columns).T
-    weights, codes = codes[:, -1], codes[:, :-1]
+    codes = np.ascontiguousarray(np.hstack(columns).T)
+    weights, codes = codes[:, -1].astype(np.int64), codes[:, :-1]
     # A bin that is cut by later words has only its longest phrases whole.
     whole = table["cuts"][0].as_py() == 1
     bounds = [1] + [least if whole else 1] * (longest - 1) + [least]
     found = [(d - 1, r, c) for d, r, c in equal_partitions(codes, weights, bounds) if d > 2]
-    names, spelt = list(tongues), words.dictionary.to_pylist()
+    names = list(tongues)
     return pa.table(
         {
             "lang": pa.array([names[codes[r, 0] - 1] for _, r, _ in found], pa.string()),
