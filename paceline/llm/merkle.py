@@ -84,27 +84,28 @@ def raised(hashes: list[str], arity: int) -> list[str]:
     return [digest("".join(hashes[k : k + arity])) for k in range(0, len(hashes), arity)]
 
 
-_NODES = "tree bigint, level int, place bigint, hash string"
+_NODES = "tree bigint, level int, place bigint, hash string, n bigint"
 
 
 def build(leaves: DataFrame, arity: int = ARITY, wide: int = WIDE) -> DataFrame:
-    """(tree, level, place, hash) of all nodes of the trees with these leaves (tree, place, hash).
+    """(tree, level, place, hash, n) of all nodes of the trees with these leaves (tree, place, hash,
+    and ``n``, the leaves of the tree).
 
     While many nodes of a level remain, every ``arity`` of them in a row have a parent, the
     last ones too if they are fewer.  Rounds grow with the logarithm of the leaves to the base ``wide``.
     """
     height = next(h for h in range(1, 64) if arity**h >= wide)
     wide = arity**height
-    sizes = leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
-    now = leaves.select("tree", F.lit(0).alias("level"), "place", "hash").join(sizes, "tree")
-    out, base = leaves.select("tree", F.lit(0).alias("level"), "place", "hash"), 0
+    now = leaves.select("tree", F.lit(0).alias("level"), "place", "hash", "n")
+    out, base = now, 0
 
     def up(table: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(table["place"]))
         hashes = table["hash"].take(pa.array(order)).to_pylist()
-        tree, n = table["tree"][0].as_py(), table["n"][0].as_py()
+        tree, leaves = table["tree"][0].as_py(), table["n"][0].as_py()
         level, place = table["level"][0].as_py(), table["place"][int(order[0])].as_py()
-        # Nodes the level has in all: one of them is the root, however it lies.
+        # Nodes the level has in all: a single one is the root.
+        n = -(-leaves // arity**level)
         got: tuple[list, list, list] = ([], [], [])
         for _ in range(height):
             if n <= 1:
@@ -119,6 +120,7 @@ def build(leaves: DataFrame, arity: int = ARITY, wide: int = WIDE) -> DataFrame:
                 "level": pa.array(got[0], pa.int32()),
                 "place": pa.array(got[1], pa.int64()),
                 "hash": pa.array(got[2], pa.string()),
+                "n": pa.array([leaves] * len(got[0]), pa.int64()),
             }
         )
 
@@ -127,8 +129,7 @@ def build(leaves: DataFrame, arity: int = ARITY, wide: int = WIDE) -> DataFrame:
         made = materialize(made, "nodes")
         out, base = out.union(made), base + height
         # Blocks of a tree whose root is not reached yet go on.
-        sizes = sizes.withColumn("n", F.ceil(F.col("n") / F.lit(wide)).cast("bigint")).filter("n > 1")
-        now = made.filter(F.col("level") == base).join(sizes, "tree")
+        now = made.filter((F.col("level") == base) & (F.col("n") > arity**base))
         if now.isEmpty():
             return out
 
@@ -182,11 +183,10 @@ def prove(
 ) -> DataFrame:
     """Rows (tree, place and ``columns``, names with types) made by ``expand`` from the leaves' proofs.
 
-    ``leaves``: tree, place, hash and what else ``expand`` reads.  ``expand(table, proofs, root)``
+    ``leaves``: tree, place, hash, n and what else ``expand`` reads.  ``expand(table, proofs, root)``
     gets a leaf partition, each row's proof and the tree's root, and gives lists of ``columns``.
     """
-    sizes = leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
-    parted = leaves.join(sizes, "tree").withColumn("part", F.floor(F.col("place") / F.lit(part)).cast("bigint"))
+    parted = leaves.withColumn("part", F.floor(F.col("place") / F.lit(part)).cast("bigint"))
     parted = materialize(parted, "leaves")
     depth = lambda n: levels(n, arity)
 
@@ -208,7 +208,7 @@ def prove(
 
     wanted = parted.select("tree", "part", "place", "n").groupBy("tree", "part").applyInArrow(lacks, "tree bigint, part bigint, level int, place bigint, copy bigint")
     copies = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.pow(F.lit(float(arity)), F.col("level") + 1) / F.lit(part * FETCHERS))).cast("bigint")
-    copied = nodes.join(sizes, "tree").withColumn("most", F.ceil(F.col("n") / F.lit(part)).cast("bigint"))
+    copied = nodes.withColumn("most", F.ceil(F.col("n") / F.lit(part)).cast("bigint"))
     copied = copied.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(copies, F.col("most")) - 1))).drop("n", "most")
     fetched = wanted.join(copied, ["tree", "level", "place", "copy"]).select("tree", "part", "level", "place", "hash")
 
@@ -248,7 +248,7 @@ def audit(docs: DataFrame, arity: int = ARITY, wide: int = WIDE, part: int = PAR
     rows = docs.select(doc_id.alias("doc_id"), text("lang").alias("lang"), leaf(n_chars).alias("hash"), F.when(touched, leaf(more)).alias("tampered"))
     rows = numbered(rows, "lang", ["doc_id", "hash"], "rows")
     langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0))
-    langs = numbered(langs, "all", ["lang"], "langs").select(F.col("lang").alias("of"), F.col("place").alias("tree"))
+    langs = numbered(langs, "all", ["lang"], "langs").select(F.col("lang").alias("of"), F.col("place").alias("tree"), "n")
     langs = materialize(langs, "trees")
     leaves = materialize(rows.join(langs, F.col("lang").eqNullSafe(F.col("of"))).drop("of", "lang"), "placed")
 
@@ -256,6 +256,7 @@ def audit(docs: DataFrame, arity: int = ARITY, wide: int = WIDE, part: int = PAR
     heads = nodes.groupBy("tree").agg(F.max_by("hash", "level").alias("subroot"))
     tops = heads.select(F.lit(TOP).cast("bigint").alias("tree"), F.col("tree").alias("place"), F.col("subroot").alias("hash"))
     tops = materialize(tops, "tops")
+    tops = tops.withColumn("n", F.lit(tops.count()).cast("bigint"))
     flat = lambda proof: "".join(h for before, after in proof for h in (*before, *after))
 
     def way(table, proofs, root):
