@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +42,9 @@ DEEPER = 4
 #: (12.8 of 128, standard deviation 3.4); a pair is given up beyond 4.2 deviations.
 MOST_DIFFERENT = 27
 
+#: The most bits, as a power of two, of the filter of texts that are read again.
+FILTER_BITS = 27
+
 #: Sets of one family that are compared in one task, on each side.
 BLOCK_SETS = 500
 
@@ -82,7 +84,7 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, width: int) -> DataFrame:
-    """row_key, doc_id, text_hash, n_shingles, digest (of the full set), hashes (HASHES x 4 bytes)."""
+    """row_key, doc_id, text_hash, n_shingles, digest (of the full set), hashes (HASHES x 2 bytes)."""
 
     def rows(batches):
         from pyspark import TaskContext
@@ -120,8 +122,9 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 
 def _scramble(low: np.ndarray) -> np.ndarray:
-    """Minima are small numbers; mixed, every bit of them is as good as another."""
-    return (mix(low.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    """Minima are small numbers; mixed, every bit of them is as good as another.  16 bits are kept:
+    different ones are taken for equal at 1 in 65,536, which only adds candidates."""
+    return (mix(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
 def _sketches(hashes: np.ndarray) -> np.ndarray:
@@ -135,7 +138,7 @@ def forest_rows(classes: DataFrame) -> DataFrame:
     def rows(batches):
         trees = np.arange(TREES, dtype=np.uint64)
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint32).reshape(-1, HASHES)
+            sig = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint16).reshape(-1, HASHES)
             n = len(sig)
             if not n:
                 continue
@@ -168,25 +171,66 @@ def forest_rows(classes: DataFrame) -> DataFrame:
 
 def neighbours(forest: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of rows up to REACH apart in the order of a tree, sharing its
-    first BASE hashes, whose sizes and sketches allow the similarity."""
+    first BASE hashes, whose sizes and sketches allow the similarity.
 
-    def rows(batches):
-        columns = [np.concatenate(c) for c in zip(*([np.asarray(x) for x in b.columns] for b in batches), strict=True)]
-        if not columns:
-            return
+    Rows are read as a stream, the last REACH carried over.  A partition also gives
+    its first and last rows; together, in order, they show the pairs across borders.
+    """
+    names = ["key", "rest", "id", "size", "s0", "s1"]
+
+    def pairs(columns: list[np.ndarray], since: int) -> np.ndarray:
+        """Of the pairs whose later row is at ``since`` or behind it, the two ids."""
         key, _, ids, size, s0, s1 = columns
+        found = [np.zeros((2, 0), np.int64)]
         for w in range(1, REACH + 1):
             i = np.flatnonzero(key[w:] == key[:-w])
+            i = i[i + w >= since]
             ok = (ids[i] != ids[i + w]) & _may_link(size[i], size[i + w], s0[i] ^ s0[i + w], s1[i] ^ s1[i + w], percent)
             i = i[ok]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(ids[i], ids[i + w])), pa.array(np.maximum(ids[i], ids[i + w]))], ["a", "b"]
-            )
+            found.append(np.stack([np.minimum(ids[i], ids[i + w]), np.maximum(ids[i], ids[i + w])]))
+        return np.concatenate(found, axis=1)
+
+    def batch_of(found: np.ndarray, border: list[np.ndarray] | None) -> pa.RecordBatch:
+        found = np.unique(found, axis=1)
+        n = found.shape[1]
+        m = len(border[0]) if border else 0
+        ends = [pa.array(np.append(x, np.zeros(m, np.int64)), mask=np.arange(n + m) >= n) for x in found]
+        rows = [pa.array(np.append(np.zeros(n, np.int64), border[k] if m else []).astype(np.int64), mask=np.arange(n + m) < n) for k in range(6)]
+        return pa.RecordBatch.from_arrays([*ends, *rows], ["a", "b", *names])
+
+    def scan(batches):
+        held, top = None, 0
+        for batch in batches:
+            now = [np.asarray(c) for c in batch.columns]
+            if not len(now[0]):
+                continue
+            joined = [np.concatenate(c) for c in zip(held, now, strict=True)] if held else now
+            carried = len(joined[0]) - len(now[0])
+            first = [c[: max(0, REACH - top)] for c in now]
+            top += len(first[0])
+            yield batch_of(pairs(joined, carried), first)
+            held = [c[-REACH:] for c in joined]
+        if held:
+            yield batch_of(np.zeros((2, 0), np.int64), held)
+
+    def across(table: pa.Table) -> pa.Table:
+        columns = [np.asarray(table[c]) for c in names]
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        # First and last rows of a small partition are the same ones.
+        columns = [c[order] for c in columns]
+        new = np.append(True, (np.diff(np.stack(columns[:3])) != 0).any(axis=0))
+        a, b = pairs([c[new] for c in columns], 0)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # id in the order lets a hot label spread over partitions like any other rows.
     ordered = forest.repartitionByRange(parts, "key", "rest", "id").sortWithinPartitions("key", "rest", "id")
-    return ordered.mapInArrow(rows, "a bigint, b bigint").distinct()
+    schema = ", ".join(f"{c} bigint" for c in ("a", "b", *names))
+    found = ordered.mapInArrow(scan, schema)
+    found = materialize(found, "neighbours")
+    # 2 * REACH rows of each partition, so one task can hold them.
+    borders = found.filter("key is not null").select(*names).groupBy().applyInArrow(across, "a bigint, b bigint")
+    return found.filter("a is not null").select("a", "b").union(borders).distinct()
 
 
 def _may_link(m: np.ndarray, n: np.ndarray, x0: np.ndarray, x1: np.ndarray, percent: int) -> np.ndarray:
@@ -211,7 +255,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = list(shingle_sets(batch.column("text"), width))
             right = [_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
             sets = [s for s, ok in zip(sets, right, strict=True) if ok]
-            hashes = np.array([_scramble(min_hashes(s)) for s in sets], np.uint32).reshape(-1, HASHES)
+            hashes = np.array([_scramble(min_hashes(s)) for s in sets], np.uint16).reshape(-1, HASHES)
             bits = _sketches(hashes)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -223,11 +267,28 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 ["id", "shingles", "s0", "s1"],
             )
 
-    # The ids grow with the corpus, so they are never broadcast.
-    texts = _slim(docs).join(wanted.hint("merge"), ["doc_id", "text_hash"])
+    texts = _perhaps(_slim(docs), wanted).join(wanted.hint("merge"), ["doc_id", "text_hash"])
     return texts.select("id", "text", "digest").mapInArrow(rows, "id bigint, shingles array<bigint>, s0 bigint, s1 bigint")
 
 
+def _perhaps(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` that may be in ``wanted``, so that hardly any others are moved to meet it.
+
+    A bit per hash of (doc_id, text_hash) is sent to every task: some 64 bits for a row, and
+    2 ** FILTER_BITS (16 MB) at most.  Beyond 10 ** 8 rows it lets most through, and what
+    follows is right all the same.
+    """
+    bits = 1 << min(FILTER_BITS, max(15, (64 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(bits)) + 1
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = wanted.groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__map"))
+    marked = texts.withColumn("__bucket", bucket).withColumn("__bit", bit)
+    byte = "conv(hex(substring(__map, cast(__bit div 8 as int) + 1, 1)), 16, 10)"
+    # bits / 32,768 rows of 4 KB.
+    met = marked.join(F.broadcast(maps), "__bucket")
+    return met.filter(f"getbit(cast({byte} as int), cast(__bit % 8 as int)) = 1").drop("__bucket", "__bit", "__map")
+
+
 def _similar(pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
     """Stars over the pairs (a, b) whose full sets are similar enough."""
     ids = np.asarray(sets["id"])
@@ -257,8 +318,10 @@ def _similar(pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
 def families(pairs: DataFrame) -> DataFrame:
     """(node, family, block, blocks): what candidates connect, cut into blocks of about BLOCK_SETS."""
     found = connected_components(pairs)
-    size = found.groupBy("component").count()
-    placed = found.join(size, "component").withColumn("blocks", F.ceil(F.col("count") / F.lit(BLOCK_SETS)).cast("int"))
+    # Only the large ones meet their sizes; those are few.
+    large = found.groupBy("component").count().filter(F.col("count") > BLOCK_SETS)
+    blocks = F.coalesce(F.ceil(F.col("count") / F.lit(BLOCK_SETS)).cast("int"), F.lit(1))
+    placed = found.join(large, "component", "left").withColumn("blocks", blocks)
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
     return materialize(placed.select("node", F.col("component").alias("family"), block, "blocks"), "families")
 
@@ -297,25 +360,41 @@ def leftovers(family: DataFrame, parts: DataFrame, sets: DataFrame, percent: int
     x = here.filter("component <> main").select("family", F.col("side").alias("x"), every("blocks").alias("y"), "node", "component")
     y = here.select("family", every("outside").alias("x"), F.col("block").alias("y"), "node", "component")
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        m, n = (np.asarray(pc.list_value_length(t["shingles"])) for t in (left, right))
-        (p, c, u0, u1), (q, d, v0, v1) = ([np.asarray(t[k]) for k in ("node", "component", "s0", "s1")] for t in (left, right))
+    def near(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Places (left, right) of pairs of different components that size and sketch leave open."""
+        (c, m, u0, u1), (d, n, v0, v1) = ([np.asarray(t[k]) for k in ("component", "size", "s0", "s1")] for t in (left, right))
         found = [np.zeros((2, 0), np.int64)]
-        for i in range(len(p)):
+        for i in range(len(c)):
             j = np.flatnonzero((d != c[i]) & _may_link(n, m[i], v0 ^ u0[i], v1 ^ u1[i], percent))
-            found.append(np.stack([np.full(len(j), p[i]), q[j]]))
-        a, b = np.concatenate(found, axis=1)
-        used = np.isin(np.concatenate([p, q]), np.concatenate([a, b]))
-        both = pa.concat_tables([t.select(["node", "shingles"]) for t in (left, right)]).filter(pa.array(used))
-        _, once = np.unique(np.asarray(both["node"]), return_index=True)
-        return _similar(pa.table({"a": a, "b": b}), both.take(once).rename_columns(["id", "shingles"]), percent)
+            found.append(np.stack([np.full(len(j), i), j]))
+        i, j = np.concatenate(found, axis=1)
+        return i, j
 
-    with_sets = lambda t, keys: t.join(sets, t["node"] == sets["id"]).drop("id").toDF(*keys, *t.columns[3:], "shingles", "s0", "s1")
-    return (
-        with_sets(x, ("f1", "x1", "y1")).groupBy("f1", "x1", "y1")
-        .cogroup(with_sets(y, ("f2", "x2", "y2")).groupBy("f2", "x2", "y2"))
-        .applyInArrow(compare, "a bigint, b bigint")
-    )
+    def open_ones(left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j = near(left, right)
+        columns = [*names, "side"]
+        return pa.concat_tables([t.rename_columns(columns).take(np.unique(k)) for t, k in ((left, i), (right, j))])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j = near(left, right)
+        both = pa.concat_tables([t.select(["node", "shingles"]) for t in (left, right)])
+        _, once = np.unique(np.asarray(both["node"]), return_index=True)
+        pairs = pa.table({"a": left["node"].take(i), "b": right["node"].take(j)})
+        return _similar(pairs, both.take(once).rename_columns(["id", "shingles"]), percent)
+
+    # Sketches meet first; sets are moved only where a pair is left open.
+    size = F.size("shingles").cast("bigint").alias("size")
+    sketches = sets.select(F.col("id").alias("node"), size, "s0", "s1")
+    names = ["family", "x", "y", "node", "component", "size", "s0", "s1"]
+    # Columns of both sides get names of their own, for the two may come from one table.
+    apart = lambda t, k, names: t.toDF(*(f"{c}_{k}" if c in ("family", "x", "y") else c for c in names))
+    by = lambda t, k: t.groupBy(f"family_{k}", f"x_{k}", f"y_{k}")
+    sides = [apart(t.join(sketches, "node").select(*names, F.lit(k).alias("side")), k, [*names, "side"]) for k, t in enumerate((x, y))]
+    schema = "family bigint, x int, y int, node bigint, component bigint, size bigint, s0 bigint, s1 bigint, side int"
+    still = by(sides[0], 0).cogroup(by(sides[1], 1)).applyInArrow(open_ones, schema)
+    still = materialize(still, "open").join(sets.select(F.col("id").alias("node"), "shingles"), "node")
+    halves = [apart(t, k, t.columns) for k, t in enumerate(still.filter(F.col("side") == k).select(*names[:5], "shingles", *names[5:]) for k in (0, 1))]
+    return by(halves[0], 0).cogroup(by(halves[1], 1)).applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -331,16 +410,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     """
     signed = materialize(sign(docs, width), "signed")
     known = signed.filter("doc_id is not null and digest is not null")
-    # Equal sets form a class; its smallest row_key is its id.
-    smallest = known.groupBy("digest").agg(F.min("row_key").alias("id"), F.min("doc_id").alias("least"))
-    stands = lambda c: F.when(F.col("row_key") == F.col("id"), F.col(c)).alias(c)
-    member = materialize(
-        known.join(smallest, "digest").select(
-            "row_key", "doc_id", "n_shingles", "id", "least", *map(stands, ("text_hash", "digest", "hashes"))
-        ),
+    # Equal sets form a class; its smallest row_key is its id, and that row stands for it.
+    first = F.min(F.struct("row_key", "doc_id", "text_hash", "n_shingles", "hashes")).alias("first")
+    classes = materialize(
+        known.groupBy("digest").agg(first, F.min("doc_id").alias("least")).select("digest", "least", F.col("first.row_key").alias("id"), "first.*").drop("row_key"),
         "classes",
     )
-    classes = member.filter("hashes is not null")
+    named = classes.select("digest", "id", "least")
+    member = materialize(known.select("row_key", "doc_id", "n_shingles", "digest").join(named, "digest").drop("digest"), "members")
     pairs = materialize(neighbours(forest_rows(classes), percent), "candidates")
     family = families(pairs)
     wanted = family.select(F.col("node").alias("id")).join(classes.select("id", "doc_id", "text_hash", "digest"), "id")

@@ -126,3 +126,37 @@ def test_a_repeated_id_with_other_texts(spark, frame):
     for order in (docs, docs[::-1], r.sample(docs, len(docs))):
         df = frame(order).repartition(3)
         assert result(neardup.near_duplicates(df, 2)) == merged(order, 2, 80)
+
+
+def test_neighbours_across_the_borders_of_partitions(spark, monkeypatch):
+    # All rows of one tree share their first hashes: every pair up to REACH apart must come.
+    n = 400
+    schema = "key bigint, rest bigint, id bigint, size bigint, s0 bigint, s1 bigint"
+    forest = spark.createDataFrame([(1, i // 3, i, 10, 0, 0) for i in range(n)] + [(2, 0, 5000, 10, 0, 0)], schema)
+    got = {tuple(r) for r in neardup.neighbours(forest, 80).collect()}
+    assert got >= {(i, i + w) for i in range(n) for w in range(1, neardup.REACH + 1) if i + w < n}
+
+
+def test_the_filter_lets_all_wanted_texts_through(spark, frame):
+    docs = frame([(i, f"text {i}") for i in range(3000)])
+    slim = neardup._slim(docs)
+    wanted = slim.filter("doc_id % 10 = 3").select("doc_id", "text_hash")
+    through = {r[0] for r in neardup._perhaps(slim, wanted).select("doc_id").collect()}
+    assert set(range(3, 3000, 10)) <= through and len(through) < 400
+
+
+def test_near_copies_in_a_crowd_of_variants(frame):
+    # 2,500 texts with a fifth of their words in common, and 300 near copies of some of them.
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    shared = [r.choice(vocabulary) for _ in range(40)]
+    texts = [shared + [r.choice(vocabulary) for _ in range(60)] for _ in range(2500)]
+    copies = [list(texts[k]) for k in range(300)]
+    for w in copies:
+        w[r.randrange(5, 95)] = "changed"
+    docs = [(i, " ".join(w)) for i, w in enumerate(texts + copies)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(docs), 2).collect()}
+    sets = {i: shingles(t, 2) for i, t in docs}
+    near = {k: 2500 + k for k in range(300) if 100 * len(sets[k] & sets[2500 + k]) >= 80 * len(sets[k] | sets[2500 + k])}
+    assert len(near) > 250
+    assert all(got[b] == a for a, b in near.items())
