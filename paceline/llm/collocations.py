@@ -276,13 +276,14 @@ def _count_route(table: pa.Table, least: int, longest: int) -> pa.Table:
         flat = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n * (longest + 2) else np.uint32).reshape(longest + 2, n)
         own = np.array([tongues.setdefault(x, len(tongues) + 1) for x in langs], np.int32)
         columns.append(np.vstack([own[flat[0]], flat[1:].astype(np.int32)]))
-    # Words of all blocks get one numbering; 0 stays the end of a suffix.
+    # Words of all blocks get one numbering; 0 stays the end of a suffix.  Each keeps its line end.
     for packed in table["words"].to_pylist():
-        words.append(pa.array(_unpacked(packed).split(b"\n")[:-1], pa.binary()))
+        raw = _unpacked(packed)
+        ends = np.append(0, np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1)
+        words.append(pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)]))
     start = np.cumsum([0, *map(len, words)])
     words = pa.chunked_array(words).dictionary_encode().unify_dictionaries()
     number = np.concatenate([np.asarray(c.indices) for c in words.chunks]) + np.int32(1)
-    spelt = words.chunk(0).dictionary.to_pylist()
     for k, c in enumerate(columns):
         lookup = np.append(np.int32(0), number[start[k] : start[k + 1]])
         c[1:-1] = lookup[c[1:-1]]
@@ -293,10 +294,12 @@ def _count_route(table: pa.Table, least: int, longest: int) -> pa.Table:
     bounds = [1] + [least if whole else 1] * (longest - 1) + [least]
     found = [(d - 1, r, c) for d, r, c in equal_partitions(codes, weights, bounds) if d > 2]
     names = list(tongues)
+    used = np.unique(np.concatenate([codes[r, 1 : d + 1] for d, r, _ in found])) if found else np.zeros(0, np.int32)
+    spelt = dict(zip(used.tolist(), words.chunk(0).dictionary.take(pa.array(used - 1)).to_pylist(), strict=True))
     return pa.table(
         {
             "lang": pa.array([names[codes[r, 0] - 1] for _, r, _ in found], pa.string()),
-            "phrase": pa.array([b" ".join(spelt[w - 1] for w in codes[r, 1 : d + 1]).decode() for d, r, _ in found], pa.string()),
+            "phrase": pa.array([b" ".join(spelt[w][:-1] for w in codes[r, 1 : d + 1].tolist()).decode() for d, r, _ in found], pa.string()),
             "size": pa.array([d for d, _, _ in found], pa.int32()),
             "c": pa.array([c for _, _, c in found], pa.int64()),
         }
