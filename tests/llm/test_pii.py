@@ -99,7 +99,8 @@ def test_given_documents_and_empty_tables(frame, texts):
     rows = pii.replace_entities(frame(texts)).collect()
     before = dict(texts)
     strict = re.compile(r"[\w.]+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|AKIA\w{16}|(?<=password=)\w+|(?<=token = \")\w+")
-    planted = {m for t in before.values() if t for m in strict.findall(t)}
+    # Sixteen digits are a card only with a right check digit; other numbers stay.
+    planted = {m for t in before.values() if t for m in strict.findall(t) if not re.fullmatch(r"\d{16}", m) or luhn(m)}
     assert planted
     for r in rows:
         assert (r["text"] == before[r["doc_id"]]) == (r["n_replaced"] == 0)
