@@ -33,8 +33,8 @@ def digits_to_int(text: Column) -> Column:
 
 
 def parse_day(text: Column) -> Column:
-    """A date from year-month-day text, zero-padded or not."""
-    return F.to_date(text, "yyyy-M-d")
+    """A date from year-month-day text, zero-padded or not; null from any other text."""
+    return F.try_to_timestamp(text, F.lit("yyyy-M-d")).cast("date")
 
 
 def win_flag(finish: Column) -> Column:

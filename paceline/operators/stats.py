@@ -10,10 +10,10 @@ from paceline.schemas import CIRCUIT_STATS
 
 
 def circuit_stats(results: DataFrame) -> DataFrame:
-    """Each driver's record over ``results``, which hold one circuit's races."""
+    """Each driver's record over ``results``, which hold one circuit's races; rows without a driver are no one's."""
     wins = F.coalesce(F.sum(win_flag(F.col("finish"))), F.lit(0))
     races = F.count("race_date")
-    return results.groupBy("driver_id").agg(
+    return results.filter(F.col("driver_id").isNotNull()).groupBy("driver_id").agg(
         F.avg("finish").alias("avg_finish_circuit"),
         F.min("finish").alias("best_finish_circuit"),
         F.coalesce(F.sum("points"), F.lit(0)).alias("total_points_circuit"),
@@ -63,7 +63,7 @@ def circuit_stats_as_of(results: DataFrame) -> DataFrame:
 
 
 def average_grid(results: DataFrame) -> DataFrame:
-    return results.groupBy("driver_id").agg(F.avg("grid").alias("avg_grid"))
+    return results.filter(F.col("driver_id").isNotNull()).groupBy("driver_id").agg(F.avg("grid").alias("avg_grid"))
 
 
 def winners(results: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -72,6 +72,70 @@ def result_documents(spark, sf_dir) -> DataFrame:
     return _through_json(rows, "results", ["season", "round"], body)
 
 
+def _result_rows(spark, sf_dir) -> DataFrame:
+    raw = star.read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag", "l_linestatus"
+    )
+    return raw.join(star.races(spark, sf_dir), raw.l_orderkey == F.col("race_id")).join(
+        star.drivers(spark, sf_dir).drop("s_acctbal"), raw.l_suppkey == F.col("driver_id")
+    )
+
+
+#: Races whose results one document holds.
+RACES_A_DOCUMENT = 4
+
+
+def recaptured_texts(spark, sf_dir) -> DataFrame:
+    """Texts of documents with the results of up to four races each, some requests answered again.
+
+    Every fifth request has a newer answer: each race a day later, only drivers on even
+    lines, which leaves some races without any.  Every seventh one has a still newer text
+    that is cut short.  Every eleventh line lacks its driver's id, every thirteenth race its date.
+    """
+    result = F.struct(
+        "l_linenumber",
+        F.when(F.col("l_tax") == 0, "").otherwise((F.col("l_partkey") % 20 + 1).cast("string")).alias("grid"),
+        F.when(F.col("l_returnflag") == "R", "R").otherwise(F.col("l_linenumber").cast("string")).alias("position"),
+        F.col("l_linestatus").alias("status"),
+        (F.col("l_quantity") + 0.5).cast("string").alias("points"),
+        F.struct(
+            F.when((F.col("race_id") + F.col("l_linenumber")) % 11 != 0, F.col("driver_id").cast("string")).alias("driverId"),
+            F.lit("Supplier").alias("givenName"),
+            F.col("driver_id").cast("string").alias("familyName"),
+        ).alias("Driver"),
+        F.struct(
+            F.col("constructor_id").cast("string").alias("constructorId"), F.col("constructor_name").alias("name")
+        ).alias("Constructor"),
+    )
+    rows = _result_rows(spark, sf_dir).withColumn("round", F.floor(F.col("race_id") / RACES_A_DOCUMENT).cast("int"))
+    # A race has few results and a document few races, so both lists stay short.
+    races = rows.groupBy("season", "round", "race_id", "circuit_id", "race_date").agg(F.collect_list(result).alias("of"))
+
+    def document(day: Column, kept: Column) -> Column:
+        race = F.struct(
+            F.col("circuit_id").alias("raceName"),
+            F.when(F.col("race_id") % 13 != 0, F.date_format(day, "yyyy-M-d")).alias("date"),
+            F.struct(F.col("circuit_id").alias("circuitId")).alias("Circuit"),
+            kept.alias("Results"),
+        )
+        listed = F.struct(F.struct(F.struct(F.collect_list(race).alias("Races")).alias("RaceTable")).alias("MRData"))
+        return F.to_json(listed)
+
+    first = document(F.col("race_date"), F.col("of"))
+    second = document(F.date_add("race_date", 1), F.filter("of", lambda r: r["l_linenumber"] % 2 == 0))
+    answers = races.groupBy("season", "round").agg(first.alias("first"), second.alias("second"))
+    texts = F.array(
+        F.struct(F.lit(1).alias("at"), F.col("first").alias("value")),
+        F.struct(F.lit(2).alias("at"), F.when(F.col("round") % 5 == 0, F.col("second")).alias("value")),
+        F.struct(F.lit(3).alias("at"), F.when(F.col("round") % 7 == 0, F.substring("first", 1, 20)).alias("value")),
+    )
+    asked = answers.select("season", "round", F.explode(texts).alias("t")).filter("t.value is not null")
+    captured = F.struct(
+        F.lit(None).cast("date").alias("issued"), F.col("t.at").alias("at"), F.concat(F.lit("capture "), F.col("t.at")).alias("capture")
+    )
+    return asked.select("season", "round", captured.alias(CAPTURED), F.lit("made").alias("file_path"), F.col("t.value").alias("value"))
+
+
 def qualifying_documents(spark, sf_dir) -> DataFrame:
     """Each line as the one qualifying result of a document; open lines' races
     have no qualifying."""

@@ -41,11 +41,42 @@ from paceline.sources.dimensions import resolve_circuit
 LONG_HORIZON, SHORT_HORIZON = 14, 3
 
 
+def forecasts_as_of(weather: DataFrame, as_of_date: str) -> DataFrame:
+    """What was known on a day: of the forecasts made by then the last for each place and day.
+
+    A table without ``issued`` has one forecast for each, known all along.
+    """
+    if "issued" not in weather.columns:
+        return weather
+    keys = ["city", "country", "forecast_date"]
+    rest = [c for c in weather.columns if c not in (*keys, "issued")]
+    made = weather.filter(F.col("issued") <= F.lit(as_of_date).cast("date"))
+    best = made.groupBy(*keys).agg(F.max(F.struct("issued", *rest)).alias("best"))
+    return best.select(*keys, *(F.col(f"best.{c}").alias(c) for c in rest))
+
+
+def join_forecasts_as_of(races: DataFrame, weather: DataFrame, as_of: str) -> DataFrame:
+    """``races`` (city, country, race_date and a day ``as_of``), each with its day's last forecast
+    made by its own as-of day: ``issued`` and the forecast, null where none was made.
+
+    An equality join on place and day; a day has no more forecasts than were made for it,
+    and one is kept for each as-of day before races meet them.
+    """
+    keys = ["city", "country", "race_date", as_of]
+    made = weather.withColumnRenamed("forecast_date", "race_date")
+    rest = [c for c in made.columns if c not in ("city", "country", "race_date", "issued")]
+    asked = races.select(*keys).distinct()
+    known = asked.join(made, ["city", "country", "race_date"]).filter(F.col("issued") <= F.col(as_of))
+    best = known.groupBy(*keys).agg(F.max(F.struct("issued", *rest)).alias("best"))
+    best = best.select(*keys, "best.issued", *(F.col(f"best.{c}").alias(c) for c in rest))
+    return races.join(best, keys, "left")
+
+
 def weather_or_default(
     races: DataFrame, weather: DataFrame, as_of_date: str, horizon: int = LONG_HORIZON
 ) -> DataFrame:
-    """Races with their day's forecast; defaults out of reach or where none is."""
-    reachable = within_days(weather, "forecast_date", as_of_date, horizon).withColumnRenamed(
+    """Races with their day's forecast known on ``as_of_date``; defaults out of reach or where none is."""
+    reachable = within_days(forecasts_as_of(weather, as_of_date), "forecast_date", as_of_date, horizon).withColumnRenamed(
         "forecast_date", "race_date"
     )
     joined = races.join(reachable, ["city", "country", "race_date"], "left")
@@ -63,7 +94,7 @@ def race_day_forecast(
     "out of reach" (not 0 to 3 days ahead) or "no forecast".
     """
     reachable = within_days(
-        weather, "forecast_date", as_of_date, SHORT_HORIZON
+        forecasts_as_of(weather, as_of_date), "forecast_date", as_of_date, SHORT_HORIZON
     ).withColumnRenamed("forecast_date", "race_date")
     ahead = days_until(F.col("race_date"), as_of_date)
     rows = (

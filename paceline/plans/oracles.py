@@ -27,6 +27,22 @@ PARTS = {
         join nation tn on s_nationkey = tn.n_nationkey
         join customer on o_custkey = c_custkey
         join nation cn on c_nationkey = cn.n_nationkey""",
+    "recaptured": """
+        select season, race_id // 4 as round, circuit_id as race_name, circuit_id,
+               case when race_id % 13 <> 0 then
+                   cast(race_date + case when (race_id // 4) % 5 = 0 then 1 else 0 end as date) end as race_date,
+               case when (race_id + line_no) % 11 <> 0 then cast(driver_id as varchar) end as driver_id,
+               'Supplier ' || driver_id as driver,
+               cast(constructor_id as varchar) as constructor_id, constructor_name,
+               cast(grid as bigint) as grid, cast(finish as bigint) as finish, status,
+               points + 0.5::double as points
+        from results where (race_id // 4) % 5 <> 0 or line_no % 2 = 0""",
+    "issued": """
+        select cast(cast(ts as date) + ahead as date) as day, cast(ts as date) as issued,
+               value + ahead as temperature, event_type as description,
+               event_type = 'error' as is_wet, (event_id % 101) / 100.0::double as rain_chance
+        from events, (values (0), (1)) d(ahead)
+        qualify row_number() over (partition by cast(ts as date), ahead order by event_id desc) = 1""",
     "races": """
         select cast(year(o_orderdate) as bigint) as season, o_orderkey as race_id,
                cast(o_orderdate as date) as race_date, n_name as circuit_id
@@ -295,6 +311,39 @@ BODIES = {
                value + ahead as temperature, event_type as description,
                event_type = 'error' as is_wet, (event_id % 101) / 100.0::double as rain_chance
         from ranked where rn = 1""",
+    "recaptured_results": """
+        select season, round, race_name, circuit_id, cast(race_date as varchar) as race_date,
+               driver_id, driver, constructor_id, constructor_name, grid, finish, status, points
+        from recaptured where driver_id is not null and race_date is not null""",
+    "rejected_results": """
+        select season, round, race_name, driver, finish, points,
+               concat_ws(', ', case when race_date is null then 'no race_date' end,
+                         case when driver_id is null then 'no driver_id' end) as reasons
+        from recaptured where driver_id is null or race_date is null""",
+    "captures_replaced": """
+        select distinct season, race_id // 4 as round, 'capture 1' as capture
+        from results where (race_id // 4) % 5 = 0""",
+    "forecasts_as_of": """
+        select 'city' as city, 'XX' as country, cast(day as varchar) as forecast_date,
+               temperature, description, is_wet, rain_chance
+        from issued where issued <= date '2024-01-05'
+        qualify row_number() over (partition by day order by issued desc) = 1""",
+    "forecast_as_of_join": """
+        with asked as (
+            select c.season, c.race_name, c.race_date, cast(c.race_date - cast(length(race_name) % 3 as integer) as date) as as_of
+            from calendar c)
+        select a.season, race_name, 'city' as city, 'XX' as country, cast(race_date as varchar) as race_date,
+               cast(as_of as varchar) as as_of, cast(issued as varchar) as issued,
+               temperature, description, is_wet, rain_chance
+        from asked a left join issued i on i.day = a.race_date and i.issued <= a.as_of
+        qualify row_number() over (partition by race_name order by issued desc nulls last) = 1""",
+    "stats_without_unknown_drivers": """
+        select driver_id, avg(finish) as avg_finish_circuit,
+               cast(min(finish) as bigint) as best_finish_circuit,
+               cast(sum(points) as bigint) as total_points_circuit,
+               cast(sum(win) as bigint) as wins_circuit, count(*) as races_at_circuit,
+               cast(sum(win) as double) / count(*) as win_rate_circuit, avg(grid) as avg_grid
+        from hist where circuit_id = 'NATION_7' and line_no <> 3 group by driver_id""",
     "json_props": "select event_id, cast(props::json->>'k' as bigint) as k from events",
     "quarantine_props": """
         select event_id,
@@ -597,6 +646,13 @@ BODIES = {
         select 'driver' as kind, driver as name, points, wins from driver_table
         union all
         select 'team', constructor_name, constructor_points, constructor_wins from team_table""",
+    "sink_season_tables": """
+        select 'current_season' as kind, circuit_id as name, cast(points as double) as points
+        from results where season = 2001 and race_date <= date '2001-02-01'
+        union all select 'driver_standings', driver, cast(points as double) from driver_table
+        union all select 'constructor_standings', constructor_name, cast(constructor_points as double) from team_table
+        union all select 'upcoming_races', race_name, null
+        from calendar where race_date between date '2024-01-05' and date '2024-01-08'""",
     "rank_desc": """
         select driver_id, coalesce(win_rate_circuit, 0) * 100 as win_probability from stats
         order by win_probability desc, driver_id""",

@@ -17,7 +17,8 @@ from paceline.operators.neighbours import nearest, recall
 from paceline.operators.split import hash_split
 from paceline.operators.windows import history_features
 from paceline.plans import derived, jobs, matrices, star
-from paceline.schemas import CIRCUIT_STATS, FEATURES, FORM
+from paceline.plans.tables import Tables
+from paceline.schemas import CIRCUIT_STATS, DOCUMENTS, FEATURES, FORM
 from paceline.session import materialize, shared_dir
 from paceline.sources import dimensions, sinks
 from paceline.sources import documents as docs
@@ -135,6 +136,61 @@ def newest_forecasts(spark, sf):
     return docs.newest(docs.flatten(derived.overlapping_weather_documents(spark, sf), "weather"), "weather")
 
 
+def _recaptured(spark, sf) -> DataFrame:
+    """Rows of the newest captures of documents that were captured up to three times."""
+    documents = docs.parse_texts(derived.recaptured_texts(spark, sf), "value", DOCUMENTS["results"])
+    documents = materialize(docs.readable(documents, "results"), "documents")
+    return docs.flatten(docs.current(documents, "results"), "results").drop(docs.CAPTURED)
+
+
+@query
+def recaptured_results(spark, sf):
+    """A corrected date and drivers who are gone: only what the newest capture says is left."""
+    return docs.accepted(_recaptured(spark, sf), "results")
+
+
+@query
+def rejected_results(spark, sf):
+    """Rows that lack what they must have, and what that is."""
+    rows = docs.rejected(_recaptured(spark, sf), "results")
+    return rows.select("season", "round", "race_name", "driver", "finish", "points", F.array_join(docs.REASONS, ", ").alias("reasons"))
+
+
+@query
+def captures_replaced(spark, sf):
+    """The captures that a newer one of their request replaces; texts that can't be read replace none."""
+    documents = docs.parse_texts(derived.recaptured_texts(spark, sf), "value", DOCUMENTS["results"])
+    return docs.superseded(docs.manifest(docs.readable(documents, "results"), "results"), "results")
+
+
+def _issued(spark, sf) -> DataFrame:
+    """Two-day forecasts made every day in one place, all that were ever made."""
+    return docs.issued_forecasts(docs.flatten(derived.overlapping_weather_documents(spark, sf), "weather"))
+
+
+@query
+def forecasts_as_of(spark, sf):
+    """Forecasts known on a day: later ones change nothing."""
+    return jobs.forecasts_as_of(_issued(spark, sf), star.WEATHER_AS_OF)
+
+
+@query
+def forecast_as_of_join(spark, sf):
+    """Each race with the forecast that was known on its own as-of day, a day before or on it."""
+    races = star.event_calendar(spark, sf).withColumn("country", F.lit("XX"))
+    ahead = F.pmod(F.length("race_name"), F.lit(3)).cast("int")
+    return jobs.join_forecasts_as_of(races.withColumn("as_of", F.date_sub("race_date", ahead)), _issued(spark, sf), "as_of")
+
+
+@query
+def stats_without_unknown_drivers(spark, sf):
+    """Circuit records and average grids where some rows do not say whose they are."""
+    named = F.when(F.col("line_no") != 3, F.col("driver_id")).alias("driver_id")
+    rows = _history(spark, sf).select(named, "circuit_id", "race_date", "finish", "points", "grid")
+    rows = materialize(filters.at_circuit(rows, star.CIRCUIT), "known")
+    return stats.circuit_stats(rows).join(stats.average_grid(rows), "driver_id")
+
+
 @query
 def driver_name_concat(spark, sf):
     name = scalars.full_name(F.col("c_mktsegment"), F.col("c_name"))
@@ -515,21 +571,27 @@ def upcoming_forecasts(spark, sf):
     )
 
 
-@query
-def season_so_far(spark, sf):
+def _sessions(spark, sf, rows) -> tuple[DataFrame, DataFrame]:
+    """The season's events, and the results of their sessions."""
     events = star.races(spark, sf, star.SEASON, star.SEASON).select(
         "season",
         F.col("race_id").alias("round"),
         F.col("circuit_id").alias("track_name"),
         "race_date",
     )
-    sessions = star.season_results(spark, sf).select(
+    sessions = rows.select(
         "season",
         F.col("race_id").alias("round"),
         F.col("driver_id").cast("string").alias("driver_number"),
         F.col("finish").cast("double").alias("position"),
         F.col("points").cast("double").alias("points"),
     )
+    return events, sessions
+
+
+@query
+def season_so_far(spark, sf):
+    events, sessions = _sessions(spark, sf, star.season_results(spark, sf))
     return jobs.season_so_far(events, sessions, star.SEASON, star.AS_OF)
 
 
@@ -734,7 +796,7 @@ def sink_ranking(spark, sf):
     rates = rank_rates(spark, sf)
     path = _sink(spark)
     sinks.write_ranking(rates, path)
-    return spark.read.schema(rates.schema).parquet(path)
+    return sinks.published(spark, path, "ranking", rates.schema)
 
 
 @query
@@ -744,7 +806,7 @@ def sink_season_page(spark, sf):
     tables = {"driver_standings": star.driver_standings_of(rows), "constructor_standings": star.constructor_standings_of(rows)}
     path = _sink(spark)
     sinks.write_season_tables(tables, path)
-    drivers, teams = (spark.read.schema(t.schema).json(f"{path}/{n}") for n, t in tables.items())
+    drivers, teams = (sinks.published(spark, path, n, t.schema) for n, t in tables.items())
     return drivers.select(F.lit("driver").alias("kind"), F.col("driver").alias("name"), "points", "wins").unionByName(
         teams.select(
             F.lit("team").alias("kind"),
@@ -757,7 +819,35 @@ def sink_season_page(spark, sf):
 
 @query
 def sink_report(spark, sf):
-    report = metrics.class_report(star.read(spark, sf, "labels"), "quality", "toxic")
+    labels = star.read(spark, sf, "labels")
+    report = metrics.class_report(labels, "quality", "toxic")
+    path = _sink(spark)
+    sinks.write_model_report({"class_report": report, "accuracy": metrics.accuracy(labels, "quality", "toxic")}, path)
+    return sinks.published(spark, path, "class_report", report.schema)
+
+
+@query
+def sink_season_tables(spark, sf):
+    """All four tables of the season page, published together as JSON, back in one table."""
+    rows = materialize(star.season_results(spark, sf), "results")
+    t = Tables(
+        results=rows, qualifying=None, drivers=None, entries=None, weather=None, circuit_aliases=None, circuit_features=None,
+        driver_standings=star.driver_standings_of(rows), constructor_standings=star.constructor_standings_of(rows),
+        calendar=star.event_calendar(spark, sf),
+    )
+    events, sessions = _sessions(spark, sf, rows)
+    tables = jobs.season_tables(t, events, sessions, star.SEASON, star.AS_OF)
+    tables["upcoming_races"] = jobs.upcoming_races(t.calendar, star.WEATHER_AS_OF)
     path = _sink(spark)
-    report.write.parquet(f"{path}/class_report")
-    return spark.read.schema(report.schema).parquet(f"{path}/class_report")
+    sinks.write_season_tables(tables, path)
+    shapes = {
+        "current_season": ("track_name", "points"), "driver_standings": ("driver", "points"),
+        "constructor_standings": ("constructor_name", "constructor_points"), "upcoming_races": ("race_name", None),
+    }
+    out = None
+    for kind, (name, number) in shapes.items():
+        back = sinks.published(spark, path, kind, tables[kind].schema)
+        number = F.col(number) if number else F.lit(None)
+        part = back.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), number.cast("double").alias("points"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.sources import dimensions
-from paceline.sources.documents import read_table, with_race
+from paceline.sources.documents import read_forecasts, read_table, with_race
 
 
 @dataclass
@@ -17,6 +17,7 @@ class Tables:
 
     ``results`` needs season, race_date, circuit_id, driver_id, constructor_id,
     grid, finish, points, the order columns and a unique text ``row_key``;
+    ``weather`` with a day ``issued`` is taken as of the day asked about;
     of several rows of ``qualifying`` for a driver and day the lowest position counts.
     """
 
@@ -52,5 +53,5 @@ def from_landing(spark: SparkSession, landing: str) -> Tables:
         calendar=dimensions.calendar(spark),
         circuit_aliases=dimensions.circuit_aliases(spark),
         circuit_features=dimensions.circuit_features(spark),
-        weather=table("weather"),
+        weather=read_forecasts(spark, landing),
     )

@@ -7,7 +7,13 @@ read or set aside, whatever the file's layout: files named ``.jsonl`` or
 file is looked at whole, and is taken line by line if its first line is a
 document by itself.
 
-A document captured again replaces its older rows (``newest``).
+A capture is one answer to a request (the values of a kind's path columns).  A
+file is a capture by itself; files ``<capture>__<page>.json`` of one request are
+one capture together, and a capture named after a day (``2024-07-02__...``) tells
+when a forecast was made.  The newest capture of a request that has a document
+that can be read stands for it whole: what older ones say is gone, rows that the
+newest no longer holds too (``manifest``, ``current``).  Rows without a value they
+must have are set aside with the reasons (``accepted``, ``rejected``).
 """
 
 from __future__ import annotations
@@ -42,6 +48,22 @@ KEYS = {
     "session_results": ["season", "round", "driver_number"],
 }
 
+#: Values without which a row is none, and what is made of them can't be told apart.
+MANDATORY = {
+    "drivers": ["season", "driver_id"],
+    "entries": ["season", "circuit_id", "driver_id"],
+    "driver_standings": ["season", "driver_id"],
+    "constructor_standings": ["season", "constructor_id"],
+    "schedule": ["season", "round", "circuit_id", "race_date"],
+    "results": ["season", "round", "circuit_id", "race_date", "driver_id"],
+    "qualifying": ["season", "round", "driver_id"],
+    "weather": ["city", "country", "forecast_date"],
+    "event_schedule": ["season", "round"],
+    "session_results": ["season", "round", "driver_number"],
+}
+
+REASONS = "reasons"
+
 _LINE_ENDINGS = (".jsonl", ".ndjson")
 _LINES = "*{" + ",".join(_LINE_ENDINGS) + "}"
 # Every other name: it parts from each of those endings at some character from its end.
@@ -87,10 +109,17 @@ def _struct_fields(fields: str) -> str:
 
 
 def _captured(kind: str) -> Column:
-    """What tells which of two captures is newer: of forecasts the day they were
-    made, then when the file was written."""
-    issued = F.col("forecast_date") if kind == "weather" else F.lit(None).cast("date")
-    return F.struct(issued.alias("issued"), F.col("_metadata.file_modification_time").alias("at"), "file_path")
+    """What tells captures apart, and which of two is newer: of forecasts the day they
+    were made, then when the file was written.
+
+    A forecast that does not say when it was made was made on its first day.
+    """
+    file = F.col("_metadata.file_path")
+    # Files of one capture have all but what follows the last "__" in common.
+    capture = F.regexp_replace(file, r"__[^/]*$", "")
+    said = F.try_to_timestamp(F.regexp_extract(capture, r"([^/]*)$", 1).substr(1, 10), F.lit("yyyy-MM-dd")).cast("date")
+    issued = F.coalesce(said, F.col("forecast_date")) if kind == "weather" else F.lit(None).cast("date")
+    return F.struct(issued.alias("issued"), F.col("_metadata.file_modification_time").alias("at"), capture.alias("capture"))
 
 
 def _texts(reader, landing: str, kind: str) -> DataFrame:
@@ -165,8 +194,8 @@ def flatten_driver_standings(documents: DataFrame) -> DataFrame:
         F.col("s.Driver.driverId").alias("driver_id"),
         full_name(F.col("s.Driver.givenName"), F.col("s.Driver.familyName")).alias("driver"),
         _first("s.Constructors")["constructorId"].alias("constructor_id"),
-        F.col("s.points").cast("double").alias("points"),
-        F.col("s.wins").cast("int").alias("wins"),
+        F.col("s.points").try_cast("double").alias("points"),
+        F.col("s.wins").try_cast("int").alias("wins"),
     )
 
 
@@ -178,15 +207,15 @@ def flatten_constructor_standings(documents: DataFrame) -> DataFrame:
         "season",
         F.col("s.Constructor.constructorId").alias("constructor_id"),
         F.col("s.Constructor.name").alias("constructor_name"),
-        F.col("s.points").cast("double").alias("constructor_points"),
-        F.col("s.wins").cast("int").alias("constructor_wins"),
+        F.col("s.points").try_cast("double").alias("constructor_points"),
+        F.col("s.wins").try_cast("int").alias("constructor_wins"),
     )
 
 
 def flatten_schedule(documents: DataFrame) -> DataFrame:
     return documents.select("season", F.explode("MRData.RaceTable.Races").alias("r")).select(
         "season",
-        F.col("r.round").cast("int").alias("round"),
+        F.col("r.round").try_cast("int").alias("round"),
         F.col("r.raceName").alias("race_name"),
         F.col("r.Circuit.circuitId").alias("circuit_id"),
         parse_day(F.col("r.date")).alias("race_date"),
@@ -218,7 +247,7 @@ def flatten_results(documents: DataFrame) -> DataFrame:
             digits_to_int(F.col("r.grid")).alias("grid"),
             digits_to_int(F.col("r.position")).alias("finish"),
             F.col("r.status").alias("status"),
-            F.col("r.points").cast("double").alias("points"),
+            F.col("r.points").try_cast("double").alias("points"),
         )
     )
 
@@ -230,7 +259,7 @@ def flatten_qualifying(documents: DataFrame) -> DataFrame:
         "season",
         "round",
         F.col("q.Driver.driverId").alias("driver_id"),
-        F.col("q.position").cast("int").alias("position"),
+        F.col("q.position").try_cast("int").alias("position"),
     )
 
 
@@ -309,9 +338,105 @@ def newest(rows: DataFrame, kind: str) -> DataFrame:
     )
 
 
+# Captures: one answer to a request, replaced as a whole
+
+
+def manifest(documents: DataFrame, kind: str) -> DataFrame:
+    """A row per capture of the readable ``documents``: its request, ``capture``, when it was written, and its documents."""
+    capture = F.col(f"{CAPTURED}.capture").alias("capture")
+    return documents.groupBy(*path_columns(kind), capture).agg(
+        F.max(f"{CAPTURED}.at").alias("at"), F.count(F.lit(1)).alias("documents")
+    )
+
+
+def latest(captures: DataFrame, kind: str) -> DataFrame:
+    """The capture that stands for each request, of a manifest: the one written last."""
+    best = F.max(F.struct("at", "capture"))
+    return captures.groupBy(*path_columns(kind)).agg(best.alias("best")).select(*path_columns(kind), "best.capture")
+
+
+def superseded(captures: DataFrame, kind: str) -> DataFrame:
+    """The captures of a manifest that a newer one of their request replaces."""
+    last = latest(captures, kind)
+    same = captures["capture"] == last["capture"]
+    for c in path_columns(kind):
+        same = same & captures[c].eqNullSafe(last[c])
+    return captures.join(last, same, "left_anti").select(*path_columns(kind), "capture").distinct()
+
+
+def _without(rows: DataFrame, old: DataFrame, request: dict[str, Column]) -> DataFrame:
+    old = old.toDF(*(f"__old_{c}" for c in old.columns))
+    same = F.col(f"{CAPTURED}.capture") == F.col("__old_capture")
+    for name, value in request.items():
+        same = same & value.eqNullSafe(F.col(f"__old_{name}"))
+    return rows.join(old, same, "left_anti")
+
+
+def current(documents: DataFrame, kind: str) -> DataFrame:
+    """Readable documents without those of superseded captures."""
+    old = superseded(manifest(documents, kind), kind)
+    return _without(documents, old, {c: F.col(c) for c in path_columns(kind)})
+
+
+def current_rows(rows: DataFrame, kind: str, captures: DataFrame) -> DataFrame:
+    """As ``current``, for flat rows and the manifest of the documents they come from.
+
+    A capture that gave no rows replaces its request's older rows all the same.
+    """
+    # A row of a forecast has the day it is for; what it was asked for is its document's.
+    of = [c for c in path_columns(kind) if c in rows.columns and not (kind == "weather" and c == "forecast_date")]
+    return _without(rows, superseded(captures, kind), {c: F.col(c) for c in of})
+
+
+# Rows that lack what they must have
+
+
+def _reasons(kind: str) -> Column:
+    lacking = [
+        F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), F.lit(f"no {c}")) for c in MANDATORY[kind]
+    ]
+    return F.array_compact(F.array(*lacking))
+
+
+def accepted(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows with all values that one of their kind must have."""
+    return rows.filter(F.size(_reasons(kind)) == 0)
+
+
+def rejected(rows: DataFrame, kind: str) -> DataFrame:
+    """The other rows, with ``reasons``."""
+    return rows.withColumn(REASONS, _reasons(kind)).filter(F.size(REASONS) > 0)
+
+
+def _current_rows_of(spark: SparkSession, landing: str, kind: str) -> DataFrame:
+    return flatten(current(readable(read_documents(spark, landing, kind), kind), kind), kind)
+
+
 def read_table(spark: SparkSession, landing: str, kind: str) -> DataFrame:
-    """The flat table of a kind: its readable documents, the newest row of each key."""
-    return newest(flatten(readable(read_documents(spark, landing, kind), kind), kind), kind)
+    """The flat table of a kind: the rows of each request's newest capture, the newest row of each key."""
+    return newest(accepted(_current_rows_of(spark, landing, kind), kind), kind)
+
+
+def read_rejects(spark: SparkSession, landing: str, kind: str) -> DataFrame:
+    """The rows that ``read_table`` leaves out for what they lack."""
+    return rejected(_current_rows_of(spark, landing, kind), kind).drop(CAPTURED)
+
+
+# Forecasts as of a day
+
+
+def issued_forecasts(rows: DataFrame) -> DataFrame:
+    """Flat forecasts with ``issued``, the day they were made; of those made on one day the newest."""
+    keys = ["city", "country", "forecast_date", "issued"]
+    rest = [c for c in rows.columns if c not in (*keys, CAPTURED)]
+    dated = rows.withColumn("issued", F.col(f"{CAPTURED}.issued"))
+    best = dated.groupBy(*keys).agg(F.max(F.struct(CAPTURED, *rest)).alias("best"))
+    return best.select(*keys, *(F.col(f"best.{c}").alias(c) for c in rest))
+
+
+def read_forecasts(spark: SparkSession, landing: str) -> DataFrame:
+    """All forecasts ever made, with the day they were made."""
+    return issued_forecasts(accepted(_current_rows_of(spark, landing, "weather"), "weather"))
 
 
 def with_race(rows: DataFrame, schedule: DataFrame) -> DataFrame:

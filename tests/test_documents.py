@@ -187,14 +187,78 @@ def test_a_document_over_several_lines_with_more_after_it_is_set_aside(spark, tm
     assert [r["round"] for r in docs.quarantine(documents, "results").collect()] == [2]
 
 
-def test_a_second_capture_changes_no_count(spark, tmp_path):
-    one, two, _ = one_and_two()
-    again = races(race("First", "2023-03-05", "sand", [result("ann", "1", "1", "26")]))
-    for i, body in enumerate([one, two, again]):
-        write(tmp_path, f"results/season=2023/round=1/{i}.json", body)
-        os.utime(tmp_path / f"results/season=2023/round=1/{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
-    got = {r["driver_id"]: r["points"] for r in docs.read_table(spark, str(tmp_path), "results").collect()}
-    assert got == {"ann": 26.0, "bob": 18.0}
+def at(path, seconds):
+    os.utime(path, (1_700_000_000 + seconds, 1_700_000_000 + seconds))
+
+
+def test_a_capture_replaces_the_older_ones_of_its_request(spark, tmp_path):
+    # A corrected date, a driver who is gone, one whose points changed; another round stays.
+    old = races(race("First", "2023-03-05", "sand", [result(d, "1", "1", "25") for d in ("ann", "bob", "cat")]))
+    new = races(race("First", "2023-03-06", "sand", [result("ann", "1", "1", "26"), result("bob", "1", "1", "25")]))
+    for i, (path, body) in enumerate([("round=1/0", old), ("round=2/0", old), ("round=1/1", new), ("round=1/2", "{broken"), ("round=1/3", {"error": "no"})]):
+        write(tmp_path, f"results/season=2023/{path}.json", body)
+        at(tmp_path / f"results/season=2023/{path}.json", i)
+    got = docs.read_table(spark, str(tmp_path), "results").collect()
+    assert sorted((r["round"], r["driver_id"], str(r["race_date"]), r["points"]) for r in got) == [
+        (1, "ann", "2023-03-06", 26.0), (1, "bob", "2023-03-06", 25.0),
+        (2, "ann", "2023-03-05", 25.0), (2, "bob", "2023-03-05", 25.0), (2, "cat", "2023-03-05", 25.0),
+    ]
+    # The two that can't be read replaced nothing.
+    documents = docs.readable(docs.read_documents(spark, str(tmp_path), "results"), "results")
+    gone = docs.superseded(docs.manifest(documents, "results"), "results").collect()
+    assert [(r["round"], r["capture"].rsplit("/", 1)[1]) for r in gone] == [(1, "0.json")]
+
+
+def test_a_capture_may_have_several_files_or_no_rows(spark, tmp_path):
+    one, two, three = one_and_two()
+    for i, (path, body) in enumerate([("1/a__0", three), ("1/b__0", one), ("1/b__1", two), ("2/a", one), ("2/b", races())]):
+        write(tmp_path, f"results/season=2023/round={path}.json", body)
+        at(tmp_path / f"results/season=2023/round={path}.json", i)
+    got = docs.read_table(spark, str(tmp_path), "results").collect()
+    assert sorted((r["round"], r["driver_id"]) for r in got) == [(1, "ann"), (1, "bob")]
+
+
+def test_rows_without_what_they_must_have_are_set_aside(spark, tmp_path):
+    nameless = {**result("x", "1", "1", "5"), "Driver": {"givenName": "No", "familyName": "Id"}}
+    blank = {**result("x", "1", "1", "5"), "Driver": {"driverId": " "}}
+    write(tmp_path, "results/season=2023/round=1/a.json", races(race("First", "2023-03-05", "sand", [result("ann", "1", "1", "25"), nameless, blank])))
+    write(tmp_path, "results/season=2023/round=2/a.json", races(race("Second", "soon", "sand", [result("ann", "1", "1", "25")])))
+    assert [(r["round"], r["driver_id"]) for r in docs.read_table(spark, str(tmp_path), "results").collect()] == [(1, "ann")]
+    rejects = docs.read_rejects(spark, str(tmp_path), "results").collect()
+    assert sorted((r["round"], r["driver"], r["reasons"]) for r in rejects if r["driver"]) == [
+        (1, "No Id", ["no driver_id"]), (2, "Ann Smith", ["no race_date"])
+    ]
+    assert len(rejects) == 3
+
+
+def forecast(path, temperature, days=1):
+    day = {"day": {"avgtemp_c": temperature, "daily_will_it_rain": 0, "daily_chance_of_rain": 0, "condition": {"text": path}}}
+    return {"forecast": {"forecastday": [day] * days}}
+
+
+def test_a_forecast_made_later_changes_nothing(spark, tmp_path):
+    from paceline.plans import jobs
+
+    folder = "weather/city=x/country=y/forecast_date="
+    for path, temperature, days in [
+        ("2024-07-01/doc", 10.0, 5), ("2024-07-02/doc", 12.0, 2), ("2024-07-05/2024-07-03__doc", 30.0, 1), ("2024-07-04/doc", 40.0, 3),
+        ("2024-07-03/2024-07-02__doc", 13.0, 1),
+    ]:
+        write(tmp_path, f"{folder}{path}.json", forecast(path, temperature, days))
+    weather = docs.read_forecasts(spark, str(tmp_path))
+    races_ = spark.createDataFrame([("x", "y", f"2024-07-0{d}") for d in range(2, 7)], "city string, country string, day string")
+    races_ = races_.selectExpr("city", "country", "to_date(day) as race_date")
+    got = lambda day: {str(r["race_date"])[-1]: r["temperature"] for r in jobs.weather_or_default(races_, weather, day).collect()}
+    assert got("2024-07-01") == {"2": 10.0, "3": 10.0, "4": 10.0, "5": 10.0, "6": 25.0}
+    assert got("2024-07-02") == {"2": 12.0, "3": 13.0, "4": 10.0, "5": 10.0, "6": 25.0}
+    assert got("2024-07-03") == {"2": 25.0, "3": 13.0, "4": 10.0, "5": 30.0, "6": 25.0}
+    assert got("2024-07-04") == {"2": 25.0, "3": 25.0, "4": 40.0, "5": 40.0, "6": 40.0}
+    each = races_.selectExpr("*", "date_sub(race_date, 1) as as_of").unionByName(races_.selectExpr("*", "race_date as as_of"))
+    joined = {(str(r["race_date"])[-1], str(r["as_of"])[-1]): r["temperature"] for r in jobs.join_forecasts_as_of(each, weather, "as_of").collect()}
+    assert joined == {
+        ("2", "1"): 10.0, ("3", "2"): 13.0, ("4", "3"): 10.0, ("5", "4"): 40.0, ("6", "5"): 40.0,
+        ("2", "2"): 12.0, ("3", "3"): 13.0, ("4", "4"): 40.0, ("5", "5"): 40.0, ("6", "6"): 40.0,
+    }
 
 
 def test_of_overlapping_forecasts_the_newest_day_counts(spark, tmp_path):

@@ -108,7 +108,7 @@ def landing(tmp_path_factory):
     }
     write(
         root,
-        "weather/city=Silverstone/country=GB/forecast_date=2024-07-04/doc.json",
+        "weather/city=Silverstone/country=GB/forecast_date=2024-07-04/2024-07-02__doc.json",
         {"forecast": {"forecastday": [{"day": day}]}},
     )
     return str(root)
@@ -227,9 +227,10 @@ def test_season_tables_and_sinks(spark, tables, landing, tmp_path):
     )
     page = jobs.season_tables(tables, events, sessions, 2024, AS_OF)
     sinks.write_season_tables(page, str(tmp_path / "page"))
-    assert spark.read.json(str(tmp_path / "page/current_season")).count() == 8 * 6
-    assert spark.read.json(str(tmp_path / "page/driver_standings")).count() == 6
-    assert spark.read.json(str(tmp_path / "page/upcoming_races")).count() == 1
+    read = lambda name: sinks.published(spark, str(tmp_path / "page"), name)
+    assert read("current_season").count() == 8 * 6
+    assert read("driver_standings").count() == 6
+    assert read("upcoming_races").count() == 1
     assert jobs.recent_performance(tables.driver_standings, 2024).count() == 6
 
     sinks.write_results(tables.results, str(tmp_path / "results"))
@@ -239,5 +240,24 @@ def test_season_tables_and_sinks(spark, tables, landing, tmp_path):
     ranking = spark.createDataFrame([("Ann", "Red", 50.0)], "driver string, constructor_name string, win_probability double")
     sinks.write_ranking(ranking, str(tmp_path / "ranking"))
     sinks.write_model_report({"importances": ranking}, str(tmp_path / "report"))
-    assert spark.read.parquet(str(tmp_path / "ranking")).count() == 1
-    assert spark.read.parquet(str(tmp_path / "report/importances")).count() == 1
+    assert sinks.published(spark, str(tmp_path / "ranking"), "ranking").count() == 1
+    assert sinks.published(spark, str(tmp_path / "report"), "importances").count() == 1
+
+
+def test_a_failure_in_the_middle_leaves_the_old_result(spark, tmp_path):
+    path = str(tmp_path / "page")
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "page/_published").mkdir(parents=True)
+        sinks.published(spark, path, "one")
+    tables = lambda n, broken=False: {
+        "one": spark.range(n), "two": spark.range(n).withColumn("x", F.raise_error(F.lit("no")) if broken else F.lit("x"))
+    }
+    sinks.publish(tables(3), path)
+    with pytest.raises(Exception, match="no"):
+        sinks.publish(tables(4, broken=True), path)
+    assert [sinks.published(spark, path, n).count() for n in ("one", "two")] == [3, 3]
+    sinks.publish(tables(5), path)
+    assert [sinks.published(spark, path, n).count() for n in ("one", "two")] == [5, 5]
+    sinks.forget_older(spark, path)
+    assert sinks.published(spark, path, "one").count() == 5
+    assert len([p for p in (tmp_path / "page").iterdir() if p.name.startswith("version=")]) == 1
