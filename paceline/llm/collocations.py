@@ -6,9 +6,10 @@ it gets by multikey three-way quicksort to the depth of four words: the size of
 equal partition is the count of the phrase its words spell, and a partition that
 is smaller than the least count is left unsorted.
 
-Bins of leading pairs are counted first.  Small ones share a task; one with more
-suffixes than a task should hold is cut by its third and fourth words, and the
-counts of its shorter phrases are summed over the pieces.
+Bins of two and of three leading words are counted first.  Small ones share a task.
+One with more suffixes than a task should hold is cut by its third word, and where
+three words alone are too many, by the fourth; the counts of what a cut goes through
+are summed over the pieces.
 """
 
 from __future__ import annotations
@@ -32,11 +33,14 @@ LONGEST, LEAST, INSIDE = 4, 30, 80
 #: Phrases reported for each language.
 TOP = 2000
 
-#: Hash bins of leading pairs, and the suffixes a task should get.  The bins are
-#: counted on the driver, so their number bounds what is sent there (8 bytes each).
+#: Hash bins of leading pairs and of triples, and the suffixes a task should get.  The bins are
+#: counted on the driver, so their number bounds what is sent there (16 bytes each).
 #: With some 100,000 words a bin or more, raise it: results do not depend on it.
 BINS, SUFFIXES = 1 << 16, 500_000
 
+#: Partitions of fewer suffixes are sorted whole instead of being parted further.
+SMALL = 2048
+
 #: Words a task turns into suffixes at a time; equal suffixes among them are one row.
 WORDS = 600_000
 
@@ -122,8 +126,15 @@ def _unpacked(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def _pair_hash(lang: np.ndarray, words: np.ndarray, hashes: np.ndarray, lang_hashes: np.ndarray) -> np.ndarray:
-    return mix(mix(lang_hashes[lang] + hashes[words[:, 0]]) + hashes[words[:, 1]])
+def _prefix_hashes(lang: np.ndarray, words: np.ndarray, hashes: np.ndarray, lang_hashes: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each suffix's language with its first two words, first three, and so on."""
+    hashes = np.append(hashes, np.uint64(0))
+    h = mix(lang_hashes[lang] + hashes[words[:, 0]])
+    out = []
+    for d in range(1, words.shape[1]):
+        h = mix(h + hashes[words[:, d]])
+        out.append(h)
+    return out
 
 
 def _hash_words(words: pa.Array) -> np.ndarray:
@@ -135,10 +146,11 @@ def _hash_langs(langs: list[str]) -> np.ndarray:
 
 
 def count_words(docs: DataFrame, longest: int, bins: int = BINS) -> DataFrame:
-    """(lang, word, bin, c): the count of each word, and the suffixes in each bin (with neither lang nor word)."""
+    """(lang, word, bin, c): the count of each word, and the suffixes in each bin (with neither lang nor
+    word) of leading pairs, from 0, and of leading triples, from ``bins``."""
 
     def rows(batches):
-        in_bin = np.zeros(bins, np.int64)
+        in_bin = np.zeros(2 * bins, np.int64)
         for words, codes, pieces, lang, langs in _read(batches, WORDS):
             keys, c = np.unique(lang.astype(np.int64) * len(words) + codes, return_counts=True)
             for k in range(0, len(keys), 50_000):
@@ -153,8 +165,9 @@ def count_words(docs: DataFrame, longest: int, bins: int = BINS) -> DataFrame:
                     ["lang", "word", "bin", "c"],
                 )
             at, suffixes = _suffixes(codes, pieces, longest)
-            h = _pair_hash(lang[at], suffixes, _hash_words(words), _hash_langs(langs))
-            in_bin += np.bincount((h % np.uint64(bins)).astype(np.int64), minlength=bins)
+            hashes = _prefix_hashes(lang[at], suffixes, _hash_words(words), _hash_langs(langs))
+            for k, h in enumerate(hashes[:2]):
+                in_bin += np.bincount((h % np.uint64(bins)).astype(np.int64) + k * bins, minlength=2 * bins)
         used = np.flatnonzero(in_bin)
         # A batch of the bins of the whole task.
         yield pa.RecordBatch.from_arrays(
@@ -180,14 +193,17 @@ def routes(sizes: np.ndarray, suffixes: int = SUFFIXES) -> tuple[np.ndarray, np.
 
 
 def route_suffixes(docs: DataFrame, sizes: np.ndarray, longest: int, suffixes: int = SUFFIXES) -> DataFrame:
-    """(route, cut, cuts, langs, words, n, codes): blocks of ``n`` suffixes with the words they use.
+    """(route, cut, whole, langs, words, n, codes): blocks of ``n`` suffixes with the words they use.
 
     ``codes`` holds a column per word of the suffixes (0 where there is none, else 1 +
     the place in ``words``, each with a line end), before them one of languages and after
-    them one of counts; both are compressed.
+    them one of counts; both are compressed.  ``sizes``: of the bins of pairs, then of
+    triples.  All suffixes that share their first ``whole`` words are in one piece.
     """
-    route, cuts = routes(sizes, suffixes)
-    bins, most = len(sizes), int(cuts.max(initial=1))
+    bins = len(sizes) // 2
+    route, cuts = routes(sizes[:bins], suffixes)
+    deeper = np.maximum(1, -(-sizes[bins:] // suffixes))
+    most = int(cuts.max(initial=1)) * (1 + int(deeper.max(initial=1)))
 
     def rows(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -197,12 +213,14 @@ def route_suffixes(docs: DataFrame, sizes: np.ndarray, longest: int, suffixes: i
                 continue
             lang, hashes = lang[at], _hash_words(words)
             lines = pc.binary_join_element_wise(words, pa.scalar(b"", words.type), pa.scalar(b"\n", words.type))
-            h = _pair_hash(lang, suffix, hashes, _hash_langs(langs))
-            b = (h % np.uint64(bins)).astype(np.int64)
-            deeper = np.concatenate([hashes, np.zeros(1, np.uint64)])
-            for d in range(2, longest):
-                h = mix(h + deeper[suffix[:, d]])
-            cut = ((h >> np.uint64(8)) % cuts[b].astype(np.uint64)).astype(np.int64)
+            by = _prefix_hashes(lang, suffix, hashes, _hash_langs(langs))
+            b, triple, h = (by[0] % np.uint64(bins)).astype(np.int64), (by[min(1, longest - 2)] % np.uint64(bins)).astype(np.int64), by[-1]
+            parted = cuts[b] > 1
+            again = parted & (deeper[triple] > 1)
+            high = lambda x, n: ((x >> np.uint64(24)) % n.astype(np.uint64)).astype(np.int64)
+            cut = np.where(parted, high(by[min(1, longest - 2)], cuts[b]), 0) * (1 + int(deeper.max()))
+            cut += np.where(again, 1 + high(h, deeper[triple]), 0)
+            whole = 2 + parted.astype(np.int64) + again
             # By target, in it by hash: equal suffixes lie together, but for colliding hashes,
             # which leave them apart and the counts right.
             target = route[b] * most + cut
@@ -213,7 +231,8 @@ def route_suffixes(docs: DataFrame, sizes: np.ndarray, longest: int, suffixes: i
             new[1:] = (suffix[1:] != suffix[:-1]).any(axis=1) | (lang[1:] != lang[:-1]) | (target[1:] != target[:-1])
             first = np.flatnonzero(new)
             times = np.diff(np.append(first, len(order)))
-            suffix, lang, target, b, cut = suffix[first], lang[first], target[first], b[order[first]], cut[order[first]]
+            suffix, lang, target = suffix[first], lang[first], target[first]
+            b, cut, whole = b[order[first]], cut[order[first]], whole[order[first]]
             seen, place = np.zeros(len(words) + 1, bool), np.zeros(len(words) + 1, np.int64)
             edges = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
             for lo, hi in zip(edges, np.append(edges[1:], len(target)), strict=True):
@@ -229,16 +248,16 @@ def route_suffixes(docs: DataFrame, sizes: np.ndarray, longest: int, suffixes: i
                     [
                         pa.array([int(route[b[lo]])]),
                         pa.array([int(cut[lo])]),
-                        pa.array([int(cuts[b[lo]])]),
+                        pa.array([int(whole[lo])]),
                         pa.array([langs], pa.list_(pa.string())),
                         pa.array([pack(_bytes_of(lines.take(pa.array(used))))], pa.binary()),
                         pa.array([hi - lo], pa.int64()),
                         pa.array([pack(np.ascontiguousarray(table.T.astype(kind)).tobytes())], pa.binary()),
                     ],
-                    ["route", "cut", "cuts", "langs", "words", "n", "codes"],
+                    ["route", "cut", "whole", "langs", "words", "n", "codes"],
                 )
 
-    schema = "route bigint, cut bigint, cuts bigint, langs array<string>, words binary, n bigint, codes binary"
+    schema = "route bigint, cut bigint, whole bigint, langs array<string>, words binary, n bigint, codes binary"
     return docs.mapInArrow(rows, schema)
 
 
@@ -248,12 +267,16 @@ def equal_partitions(codes: np.ndarray, weights: np.ndarray, least: list[int]) -
 
     Multikey three-way quicksort: rows are dealt by the column at hand into smaller than,
     equal to and larger than its median; the equal ones go on with the next column.
-    Zero is the end of a row.  Partitions below the least count are abandoned.
+    Zero is the end of a row.  Partitions below the least count are abandoned, small ones
+    sorted whole.
     """
     depth = codes.shape[1]
     todo = [(np.arange(len(codes)), 0)]
     while todo:
         rows, d = todo.pop()
+        if len(rows) < SMALL:
+            yield from _sorted_whole(codes, weights, least, rows, d)
+            continue
         keys = codes[rows, d]
         pivot = np.partition(keys, len(keys) // 2)[len(keys) // 2]
         for side in (keys < pivot, keys > pivot):
@@ -267,6 +290,23 @@ def equal_partitions(codes: np.ndarray, weights: np.ndarray, least: list[int]) -
                 todo.append((same, d + 1))
 
 
+def _sorted_whole(codes: np.ndarray, weights: np.ndarray, least: list[int], rows: np.ndarray, d: int) -> Iterator[tuple[int, int, int]]:
+    """As ``equal_partitions``, of rows that agree before column ``d``: sorted, equal runs of each depth counted."""
+    for k in range(d, codes.shape[1]):
+        # What does not go on, or is too rare already, is left behind.
+        rows = rows[codes[rows, k] > 0]
+        if not len(rows):
+            return
+        rows = rows[np.lexsort(codes[rows, d : k + 1].T[::-1])]
+        own = codes[rows, d : k + 1]
+        first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]).any(axis=1)))
+        counts = np.add.reduceat(weights[rows], first)
+        enough = counts >= least[k]
+        for at, n in zip(rows[first[enough]].tolist(), counts[enough].tolist(), strict=True):
+            yield k + 1, at, n
+        rows = rows[np.repeat(enough, np.diff(np.append(first, len(rows))))]
+
+
 def _count_route(table: pa.Table, least: int, longest: int) -> pa.Table:
     """(lang, phrase, size, c) of the phrases of two words or more in a route's suffixes."""
     tongues: dict[str, int] = {}
@@ -289,9 +329,9 @@ def _count_route(table: pa.Table, least: int, longest: int) -> pa.Table:
         c[1:-1] = lookup[c[1:-1]]
     codes = np.ascontiguousarray(np.hstack(columns).T)
     weights, codes = codes[:, -1].astype(np.int64), codes[:, :-1]
-    # A bin that is cut by later words has only its longest phrases whole.
-    whole = table["cuts"][0].as_py() == 1
-    bounds = [1] + [least if whole else 1] * (longest - 1) + [least]
+    # Of shorter phrases than are whole here there may be more elsewhere, so none is abandoned.
+    whole = table["whole"][0].as_py()
+    bounds = [1, *(least if d >= whole or whole == 2 else 1 for d in range(1, longest + 1))]
     found = [(d - 1, r, c) for d, r, c in equal_partitions(codes, weights, bounds) if d > 2]
     names = list(tongues)
     used = np.unique(np.concatenate([codes[r, 1 : d + 1] for d, r, _ in found])) if found else np.zeros(0, np.int32)
@@ -312,7 +352,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, b
     slim = docs.select(_language(F.col("lang")).alias("lang"), F.col("text").cast("string").alias("text"))
     slim = widened(docs.sparkSession, slim)
     counted = materialize(count_words(slim, longest, bins), "words")
-    sizes = np.zeros(bins, np.int64)
+    sizes = np.zeros(2 * bins, np.int64)
     for row in counted.filter("bin is not null").select("bin", "c").collect():
         sizes[row["bin"]] = row["c"]
     words = counted.filter("bin is null")

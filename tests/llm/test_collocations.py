@@ -47,7 +47,7 @@ def corpus(r, n):
     return docs + [(None, None, "en"), (7, "", None), (8, " . ,", "de")] + [(9, "One Very common PASSAGE of words", "en")] * 90
 
 
-@pytest.mark.parametrize("suffixes", [1_000_000, 200])
+@pytest.mark.parametrize("suffixes", [1_000_000, 200, 30])
 def test_equals_brute_force_whatever_the_routing(spark, monkeypatch, suffixes):
     docs = corpus(random.Random(3), 250)
     monkeypatch.setattr(col, "WORDS", 700)
@@ -69,7 +69,9 @@ def test_one_long_text_of_one_word(spark):
     assert row["phrase"] == "w w w w" and row["a"] == 399_997 and row["n"] == 400_000 and row["l"] == 400_000 and row["r"] == 399_998
 
 
-def test_equal_partitions():
+@pytest.mark.parametrize("small", [1, 50, 10_000])
+def test_equal_partitions(monkeypatch, small):
+    monkeypatch.setattr(col, "SMALL", small)
     r = random.Random(5)
     rows = np.array([[r.randrange(1, 4), r.randrange(0, 4), 0] for _ in range(500)])
     rows[:, 2] = np.where(rows[:, 1] > 0, [r.randrange(0, 3) for _ in rows], 0)
