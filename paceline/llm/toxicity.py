@@ -1,10 +1,12 @@
 """Toxicity: a logistic classifier over words and word beginnings, regularised
 with counterfactuals.
 
-For sentences of the labelled rows that name a group of people, the group is
-swapped for others of its kind.  The label stays, so the score should: squared
-changes of the score are added to the loss.  What is said about a group can
-then count, the mention of one cannot.
+Counterfactuals are made from sentences of the labelled rows.  In one that names a
+group of people the term gives way to every other of its kind; in any other, terms
+of a kind are put in, so there are counterfactuals whatever the sentences name.  The
+label stays, so the score should: squared changes of the score between two terms of a
+kind are added to the loss.  What is said about a group can then count, the mention
+of one cannot.
 """
 
 from __future__ import annotations
@@ -29,15 +31,15 @@ FEATURES, DEVIATIONS = 4000, 4.5
 #: Lengths in bytes of word beginnings that count beside whole words.
 BEGINNINGS = (4, 5, 6)
 
-#: Distinct sets of group terms in labelled sentences that are swapped at most, the most frequent first.
-SWAPPED = 2000
+#: Labelled sentences that counterfactuals are made from at most, those of least hash.
+SENTENCES = 400
 
 #: Weights of the two penalties: size of the weights, and change under a swap.
-L2, COUNTERFACTUAL = 1e-2, 1.0
+L2, COUNTERFACTUAL = 1e-2, 100.0
 
 STEPS, RATE = 400, 0.05
 
-#: Terms for groups of people, by kind.  A term is swapped within its kind.
+#: Terms for groups of people, by kind and language.  A term is swapped within its row.
 GROUPS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys", "mothers", "fathers"),
     ("woman", "man", "girl", "boy", "mother", "father"),
@@ -48,6 +50,24 @@ GROUPS: tuple[tuple[str, ...], ...] = (
     ("immigrant", "citizen", "refugee", "foreigner", "local"),
     ("immigrants", "citizens", "refugees", "foreigners", "locals"),
     ("disabled", "blind", "deaf", "autistic", "elderly", "young", "old"),
+    ("frauen", "männer", "mädchen", "jungen", "mütter", "väter"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische", "arabische"),
+    ("schwule", "lesbische", "bisexuelle", "heterosexuelle"),
+    ("einwanderer", "bürger", "flüchtlinge", "ausländer", "einheimische"),
+    ("behinderte", "blinde", "taube", "autistische", "alte", "junge"),
+    ("femmes", "hommes", "filles", "garçons", "mères", "pères"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes"),
+    ("gays", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("immigrés", "citoyens", "réfugiés", "étrangers", "habitants"),
+    ("handicapés", "aveugles", "sourds", "autistes", "vieux", "jeunes"),
+    ("mujeres", "hombres", "niñas", "niños", "madres", "padres"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos", "árabes"),
+    ("gais", "lesbianas", "bisexuales", "heterosexuales"),
+    ("inmigrantes", "ciudadanos", "refugiados", "extranjeros", "vecinos"),
+    ("discapacitados", "ciegos", "sordos", "autistas", "viejos", "jóvenes"),
 )
 TERMS = tuple(t for g in GROUPS for t in g)
 
@@ -75,6 +95,8 @@ class Classifier:
     features: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
+    #: Counterfactual pairs (of one sentence, with two terms of a kind) that the fit compared.
+    swaps: int = 0
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
@@ -93,40 +115,66 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
+@dataclass
+class Counterfactuals:
+    """Labelled sentences, and terms to put into them, by their features' columns.
+
+    ``owner``, ``column``: which features the sentences have; ``kinds``: of each kind its
+    terms' columns.
+    """
+
+    sentences: int
+    owner: np.ndarray
+    column: np.ndarray
+    kinds: list[list[np.ndarray]]
+
+    def pairs(self) -> int:
+        return self.sentences * sum(len(k) * (len(k) - 1) // 2 for k in self.kinds)
+
+    def penalty(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        """Mean squared change of the score between two terms of a kind in one sentence, and its gradients."""
+        n_features, total, gw, gb = len(w), 0.0, np.zeros(len(w)), 0.0
+        pairs = self.pairs()
+        plain = b + np.bincount(self.owner, w[self.column], self.sentences)
+        for kind in self.kinds:
+            held = np.zeros((len(kind), n_features), bool)
+            for i, columns in enumerate(kind):
+                held[i, columns] = True
+            used = np.flatnonzero(held.any(axis=0))
+            # A sentence's own terms of the kind give way to the one put in.
+            own = np.isin(self.column, used)
+            rest = plain - np.bincount(self.owner[own], w[self.column[own]], self.sentences)
+            p = 1 / (1 + np.exp(-np.clip(rest[:, None] + (held[:, used] @ w[used])[None, :], -30, 30)))
+            total += (len(kind) * (p**2).sum(axis=1) - p.sum(axis=1) ** 2).sum()
+            d = 2 * (len(kind) * p - p.sum(axis=1, keepdims=True)) * p * (1 - p)
+            gw[used] += held[:, used].T @ d.sum(axis=0)
+            back = d.sum(axis=1)
+            gw += np.bincount(self.column[~own], back[self.owner[~own]], n_features)
+            gb += back.sum()
+        return total / pairs, gw / pairs, gb / pairs
+
+
 def fit_weights(
     owner: np.ndarray,
     column: np.ndarray,
     labels: np.ndarray,
     row_weights: np.ndarray,
     n_features: int,
-    swaps: list[tuple[np.ndarray, np.ndarray, float]],
+    swaps: Counterfactuals | None,
     counterfactual: float = COUNTERFACTUAL,
 ) -> tuple[np.ndarray, float]:
-    """Logistic loss on rows (``owner``, ``column``: which features they have) plus both penalties.
-
-    ``swaps``: features gone, features come, and how much each swap counts.
-    """
+    """Logistic loss on rows (``owner``, ``column``: which features they have) plus both penalties."""
     n = len(labels)
     w, b = np.zeros(n_features), float(np.log((row_weights[labels == 1].sum() + 0.5) / (row_weights[labels == 0].sum() + 0.5)))
     share = row_weights / row_weights.sum()
-    changes = np.zeros((len(swaps), n_features)) if swaps else None
-    for i, (gone, come, _) in enumerate(swaps):
-        np.add.at(changes[i], gone, -1.0)
-        np.add.at(changes[i], come, 1.0)
-    counts = np.array([s[2] for s in swaps])
-    counts = counts / counts.sum() if len(swaps) else counts
-    # Only features of group terms take part in swaps.
-    used = np.flatnonzero(np.abs(changes).sum(axis=0)) if swaps else np.zeros(0, int)
-    if swaps:
-        changes = changes[:, used]
     m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for t in range(1, STEPS + 1):
         z = b + np.bincount(owner, w[column], n)
         d = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        g = np.bincount(column, d[owner], n_features) + L2 * w / np.sqrt(n)
-        if swaps:
-            g[used] += 2 * counterfactual * changes.T @ (counts * (changes @ w[used]))
-        gb = d.sum()
+        g, gb = np.bincount(column, d[owner], n_features) + L2 * w / np.sqrt(n), d.sum()
+        if swaps is not None and counterfactual and swaps.pairs():
+            _, more, more_b = swaps.penalty(w, b)
+            g, gb = g + counterfactual * more, gb + counterfactual * more_b
         m, v = m + 0.1 * (g - m), v + 0.001 * (g * g - v)
         mb, vb = mb + 0.1 * (gb - mb), vb + 0.001 * (gb * gb - vb)
         rate = RATE * (1 - t / (STEPS + 1))
@@ -201,13 +249,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Classifie
         .limit(FEATURES)
         .select("feature")
     )
-    words = F.transform(
-        F.split(F.lower("text"), r"[.!?\n]+"), lambda s: F.array_sort(F.array_distinct(F.regexp_extract_all(s, F.lit(rf"\b({'|'.join(TERMS)})\b"), F.lit(1))))
-    )
-    sentences = (
-        sample.select(F.explode(words).alias("terms")).filter(F.size("terms") > 0).groupBy("terms").count()
-        .orderBy(F.desc("count"), "terms").limit(SWAPPED).collect()
-    )
     chosen = np.array([r[0] for r in best.collect()], np.int64).view(np.uint64)
     chosen = np.unique(np.concatenate([chosen, *[term_features(t) for t in TERMS]]))
     of_sample = facts.join(F.broadcast(docs.sparkSession.createDataFrame(pa.table({"feature": chosen.view(np.int64)}))), "feature")
@@ -218,15 +259,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Classifie
     row_ids, labels = row_ids[order], labels[order]
     owner = np.searchsorted(row_ids, np.asarray(table["row"]))
     column = np.searchsorted(chosen, np.asarray(table["feature"]).view(np.uint64))
+    # Sentences of the sample, those of least hash; each once, whatever it names.
+    pieces = sample.select(F.explode(F.split("text", r"[.!?\n]+")).alias("s")).filter(F.length(F.trim("s")) > 0)
+    sentences = [r[0] for r in pieces.select("s").distinct().orderBy(F.xxhash64("s"), "s").limit(SENTENCES).collect()]
+    raw = [x.encode() for x in sentences]
+    hashes, of = features_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    place = np.minimum(np.searchsorted(chosen, hashes), len(chosen) - 1)
+    pair = np.unique(of[chosen[place] == hashes] * len(chosen) + place[chosen[place] == hashes])
     weights = np.where(labels == 1, ones / n[1], zeros / n[0])
     at = lambda t: np.searchsorted(chosen, term_features(t))
-    swaps = []
-    for terms, count in sentences:
-        for group in GROUPS:
-            for gone in set(terms) & set(group):
-                swaps += [(at(gone), at(come), float(count)) for come in group if come not in terms]
+    # A mention also gives way to none.
+    none = np.zeros(0, np.int64)
+    swaps = Counterfactuals(len(raw), pair // len(chosen), pair % len(chosen), [[at(t) for t in kind] + [none] for kind in GROUPS])
     w, b = fit_weights(owner, column, labels, weights, len(chosen), swaps)
-    return Classifier(chosen, w, b)
+    return Classifier(chosen, w, b, swaps.pairs())
 
 
 def score(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:

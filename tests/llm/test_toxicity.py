@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from paceline.llm import queries, toxicity
+from paceline.llm import langid, queries, toxicity
 from paceline.llm.common import ALNUM, hash_terms
 
 LABELS = "doc_id bigint, toxic int"
@@ -46,6 +46,44 @@ def test_swaps_take_the_score_off_a_mention(spark, frame, monkeypatch):
     assert with_[4] > 0.5 > with_[1]
 
 
+def test_the_query_learns_from_counterfactuals_in_four_languages(spark, sf_dir, frame):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(~langid.held_out())
+    c = toxicity.fit(docs, labels)
+    assert c.swaps > 100_000
+    # Neutral mentions score alike, and near a sentence that names no group.
+    frames = ["the {} came to the meeting today", "die {} kamen heute zum treffen", "les {} sont venus au rendez-vous", "los {} llegaron hoy a la cita"]
+    asked = [(i, f.format(t)) for i, (f, t) in enumerate((f, t) for f in frames for t in ("", *toxicity.TERMS))]
+    got = [r["score"] for r in toxicity.score(frame(asked), c).orderBy("doc_id").collect()]
+    each = len(toxicity.TERMS) + 1
+    for k in range(4):
+        part = got[k * each : (k + 1) * each]
+        assert max(part) - min(part) <= 0.05
+
+
+def test_penalty_gradients(spark):
+    r = np.random.default_rng(1)
+    kinds = [[np.array([0]), np.array([1, 2]), np.array([3])], [np.array([4]), np.array([5])]]
+    owner, column = np.array([0, 0, 1, 1, 2]), np.array([0, 6, 7, 5, 6])
+    c = toxicity.Counterfactuals(3, owner, column, kinds)
+    w, b = r.normal(size=8), 0.3
+    value, gw, gb = c.penalty(w, b)
+    sigma = lambda z: 1 / (1 + np.exp(-z))
+    total = 0.0
+    for s in range(3):
+        for kind in kinds:
+            used = set(np.concatenate(kind).tolist())
+            rest = b + sum(w[f] for o, f in zip(owner, column, strict=True) if o == s and f not in used)
+            p = [sigma(rest + w[t].sum()) for t in kind]
+            total += sum((x - y) ** 2 for i, x in enumerate(p) for y in p[:i])
+    assert np.isclose(value, total / c.pairs()) and c.pairs() == 3 * 4
+    for k in range(8):
+        e = np.zeros(8)
+        e[k] = 1e-6
+        assert np.isclose((c.penalty(w + e, b)[0] - c.penalty(w - e, b)[0]) / 2e-6, gw[k], atol=1e-6)
+    assert np.isclose((c.penalty(w, b + 1e-6)[0] - c.penalty(w, b - 1e-6)[0]) / 2e-6, gb, atol=1e-6)
+
+
 def test_held_out_quality(spark, sf_dir):
     rows = queries.toxicity_scores(spark, sf_dir)
     assert set(rows.columns) == {"doc_id", "held_out", "score", "predicted"}
