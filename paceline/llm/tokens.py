@@ -27,6 +27,9 @@ LIMIT = 2048
 #: Entries of each table a worker keeps; a full one is emptied.
 CACHE = 500_000
 
+#: Symbols of a word whose prefixes are shared with other words, and of a word that is remembered whole.
+SHARED, REMEMBERED = 64, 256
+
 
 class WordPrefixes:
     """Token counts of all prefixes of a word (a sequence of byte symbols).
@@ -37,6 +40,10 @@ class WordPrefixes:
     a count and a last token each (``opened``), filled from shorter to longer and
     shared by all words that begin alike.  A word that ends takes one more step,
     to a last token with the end mark.
+
+    The table is a tree: a prefix is its parent's node and one symbol, so it takes
+    the room of one entry however long.  Beyond SHARED symbols words hardly share
+    anything; there only the last entries are kept, as many as a token may reach back.
     """
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str):
@@ -50,7 +57,8 @@ class WordPrefixes:
         self.spines: dict[tuple[str, int], list[tuple[str, float]]] = {}
         self.whole: dict[str, bool] = {}
         self.stands: dict[tuple[str, str], bool] = {}
-        self.opened: dict[str, tuple[int, str]] = {"": (0, "")}
+        self.nodes: dict[tuple[int, str], int] = {}
+        self.opened: list[tuple[int, str]] = [(0, "")]
         for token in vocabulary:
             self.is_whole(token)
 
@@ -108,12 +116,13 @@ class WordPrefixes:
         return found
 
     def _step(self, word: str, i: int, states: list[tuple[int, str]], mark: str) -> tuple[int, str]:
-        """Count and last token of word[:i], by those of its shorter prefixes."""
+        """Count and last token of word[:i], by those of its shorter prefixes, the last of ``states`` being word[: i - 1]'s."""
         whole, stands = self.whole, self.stands
-        for j in range(i - self.longest if i > self.longest else 0, i):
+        before = i - len(states)
+        for j in range(max(before, i - self.longest), i):
             token = word[j:i] + mark
             if whole.get(token):
-                count, last = states[j]
+                count, last = states[j - before]
                 if not j:
                     return 1, token
                 fits = stands.get((last, token))
@@ -121,30 +130,40 @@ class WordPrefixes:
                     fits = self.may_follow(last, token)
                 if fits:
                     return count + 1, token
-        raise ValueError(f"no token ends at {i} of {word!r}")
+        raise ValueError(f"no token ends at {i} of a word of {len(word)} symbols")
 
-    def states(self, word: str) -> list[tuple[int, str]]:
-        """The table's entries for word[:0], word[:1], ... and all of it."""
-        opened = self.opened
+    def states(self, word: str) -> Iterator[list[tuple[int, str]]]:
+        """The table's entries for word[:0], word[:1], ... and all of it, each with those it may build on before it."""
+        nodes, opened = self.nodes, self.opened
         if len(opened) > CACHE:
-            opened.clear()
-            opened[""] = (0, "")
-        out = [opened[""]]
+            nodes.clear()
+            del opened[1:]
+        last, node = [opened[0]], 0
+        yield last
         for i in range(1, len(word) + 1):
-            state = opened.get(word[:i])
-            if state is None:
-                state = opened[word[:i]] = self._step(word, i, out, "")
-            out.append(state)
-        return out
+            if i <= SHARED:
+                step = (node, word[i - 1])
+                node = nodes.get(step, -1)
+                if node < 0:
+                    node = nodes[step] = len(opened)
+                    opened.append(self._step(word, i, last, ""))
+                state = opened[node]
+            else:
+                state = self._step(word, i, last, "")
+            last.append(state)
+            if len(last) > 2 * self.longest:
+                del last[: -self.longest]
+            yield last
 
     def count(self, word: str) -> int:
         """Tokens of a word."""
-        return self._step(word, len(word), self.states(word[:-1]), self.end)[0]
+        for last in self.states(word[:-1]):
+            pass
+        return self._step(word, len(word), last, self.end)[0]
 
     def counts(self, word: str) -> list[int]:
         """Tokens of word[:1], word[:2], ... each taken as a whole word."""
-        states = self.states(word)
-        return [self._step(word, i, states, self.end)[0] for i in range(1, len(word) + 1)]
+        return [self._step(word, i, last, self.end)[0] for i, last in enumerate(self.states(word[:-1]), start=1)]
 
 
 #: Letters, marks and signs up to Armenian: here Python and the library agree on
@@ -191,9 +210,14 @@ class TextPrefixes:
         totals, words = self.totals, self.split(text.lower())
         if len(totals) > CACHE:
             totals.clear()
+        long = 0
         for w in set(words).difference(totals):
-            totals[w] = self.words.count(w if w.isascii() else "".join([self.signs[b] for b in w.encode()]))
-        return sum(map(totals.__getitem__, words))
+            n = self.words.count(w if w.isascii() else "".join([self.signs[b] for b in w.encode()]))
+            if len(w) <= REMEMBERED:
+                totals[w] = n
+            else:
+                long += n * words.count(w)
+        return long + sum(totals[w] for w in words if len(w) <= REMEMBERED) if long else sum(map(totals.__getitem__, words))
 
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """Runs of ordinary text and, marked true, special strings; leftmost first."""
@@ -208,6 +232,8 @@ class TextPrefixes:
 
     def _piece(self, symbols: str) -> list[int]:
         got = self.piece_cache.get(symbols)
+        if len(symbols) > REMEMBERED:
+            return self.words.counts(symbols)
         if got is None:
             if len(self.piece_cache) > CACHE:
                 self.piece_cache.clear()
@@ -249,10 +275,11 @@ class TextPrefixes:
         if len(cache) > CACHE:
             cache.clear()
         chunks = text.replace("\n", " ").split(" ")
+        own: dict[str, tuple[bytes, int, str]] = {}
         for c in set(chunks):
             if c not in cache:
-                cache[c] = self.chunk(c)
-        return [cache[c] for c in chunks]
+                (cache if len(c) <= REMEMBERED else own)[c] = self.chunk(c)
+        return [cache[c] if c in cache else own[c] for c in chunks]
 
     def __call__(self, text: str) -> np.ndarray:
         """counts[0..n] for the n characters of ``self.form(text)``."""

@@ -68,6 +68,22 @@ test_any_prefix.p = tokens.TextPrefixes(PATH)
 test_any_prefix.lib = Tokenizer.from_file(PATH)
 
 
+def test_a_word_of_a_million_letters(library):
+    import random
+    import resource
+
+    r = random.Random(3)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyzéñ") for _ in range(1_000_000))
+    own = tokens.TextPrefixes(PATH)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert own.total(word + " and the rest") == len(library.encode(word + " and the rest", add_special_tokens=False).ids)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # KB, the library's share included
+    short = word[:3000]
+    check = own(short)
+    for p in (1, 63, 64, 65, 66, 200, 255, 256, 257, 1000, 2999, 3000):
+        assert check[p] == len(library.encode(short[:p], add_special_tokens=False).ids)
+
+
 def test_truncation_and_budgets(frame, library):
     df = tokens.truncate(frame(CASES[:7]), PATH, budget=5)
     for r in df.collect():
