@@ -15,6 +15,10 @@ from paceline.llm.queries import tokenizer_path
 from paceline.session import materialize
 
 
+#: The key of the surrogates, for tests and checks; give a secret of your own to real runs.
+SURROGATE_KEY = "a key for tests"
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier scores 0.5 or more."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~langid.held_out())
@@ -34,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates, n_chars following the text."""
-    replaced = pii.replace_entities(docs).drop("n_replaced")
+    replaced = pii.replace_entities(docs, key=SURROGATE_KEY).drop("n_replaced")
     return replaced.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
