@@ -20,6 +20,8 @@ from paceline.session import materialize
 TITLES = {
     "m": ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Signor", "господин"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Signora", "госпожа"),
+    # Of these the given name's ending decides.
+    "": ("Dr", "Prof", "Dra"),
 }
 
 #: Names are put together from a start, a middle and an end.  Cyrillic family names stand
@@ -48,13 +50,18 @@ _GROUPED = (
 )
 _CARD = [rf"(?<![\p{{L}}\d]){g}(?![\p{{L}}\d])" for g in _GROUPED]
 _SECRET_KEY = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)"
+_SECRET_HEAD = rf"{_SECRET_KEY}[\"']?[ \t]*[=:][ \t]*"
+#: A part of a name: letters, with hyphens and apostrophes inside, or an initial.
+_NAME_PART = r"\p{Lu}(?:\p{L}*(?:['’-](?!s(?!\p{L}))\p{L}+)+|\p{L}+|\.)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 
 #: What is looked for, in the order in which overlapping readings are preferred.
 PATTERNS: dict[str, str] = {
-    "secret": rf"{_SECRET_KEY}\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_-]{{8,}}[\"']?",
+    "secret": rf"{_SECRET_HEAD}(?:\"[^\"\n]{{8,}}\"|'[^'\n]{{8,}}'|[\"']?[^\s\"'<>,;]{{7,}}[^\s\"'<>,;.!?)]\b?)",
     "key": r"\bAKIA[0-9A-Z]{12,20}\b",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.?\s{{1,3}}{_NAME_PART}(?:[ \t\x{{a0}}]{{1,3}}{_NAME_PART}){{0,3}}",
+    "ip6": rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\w:])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -100,10 +107,30 @@ def cards(text: Column) -> Column:
     return F.when(text.rlike(r"\d{3}[ -]?\d{4}"), found).otherwise(F.lit(""))
 
 
-def reading(cards: Column) -> Column:
-    """The pattern that finds the entities of a text with these ``cards``."""
-    own = F.concat(F.lit(_NO_CARD + r"|(?<![\p{L}\d])(?:"), cards, F.lit(r")(?![\p{L}\d])"))
-    return F.when(cards == "", F.lit(_NO_CARD)).otherwise(own)
+def known_names(text: Column) -> Column:
+    """The names of two parts or more that stand after a title somewhere in a text, as alternatives of a
+    pattern, longest first; '' if there are none.  Without their title they are the same person's."""
+    titled = F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0))
+    bare = F.array_distinct(F.transform(titled, _bare))
+    full = F.filter(bare, lambda x: x.rlike(r"\s\p{L}{2,}[^\s]*$") & x.rlike(r"^\p{L}{2,}"))
+    longest = F.sort_array(F.transform(full, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), asc=False)
+    found = F.array_join(F.transform(longest, lambda x: F.regexp_replace(x["x"], r"([.|()\[\]{}*+?^$\\])", r"\\$1")), "|")
+    has = F.lit(False)
+    for title in (t for g in TITLES.values() for t in g):
+        has = has | text.contains(title)
+    return F.when(has, found).otherwise(F.lit(""))
+
+
+def _bare(raw: Column) -> Column:
+    """A name without its title."""
+    return F.regexp_replace(raw, rf"^(?:{_TITLE})\.?\s{{1,3}}", "")
+
+
+def reading(cards: Column, names: Column) -> Column:
+    """The pattern that finds the entities of a text with these ``cards`` and known ``names``."""
+    own = F.when(cards == "", F.lit("")).otherwise(F.concat(F.lit(r"|(?<![\p{L}\d])(?:"), cards, F.lit(r")(?![\p{L}\d])")))
+    known = F.when(names == "", F.lit("")).otherwise(F.concat(F.lit(r"|(?<!\p{L})(?:"), names, F.lit(r")(?![\p{L}])")))
+    return F.concat(F.lit(_NO_CARD), own, known)
 
 
 def kind_of(raw: Column) -> Column:
@@ -122,7 +149,7 @@ def _pick(h: Column, at: int, options: tuple[str, ...]) -> Column:
 
 def _same_shape(value: Column, h: Column) -> Column:
     """Digits for digits, letters for letters of the same case (a to f within hexadecimal values), the rest kept."""
-    hexadecimal = value.rlike("^[0-9a-f]+$")
+    hexadecimal = value.rlike("^[0-9a-f:]+$")
     n = lambda i: F.conv(F.substring(h, F.pmod(i * 2, F.lit(63)) + 1, F.lit(2)), 16, 10).cast("int")
     letters, capitals = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     # A first digit other than 0 stays other than 0, as numbers keep their length.
@@ -149,6 +176,22 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(d, F.lit(0), lambda a, x: a + x)
 
 
+def iban_rest(iban: Column) -> Column:
+    """An account number's remainder by 97, 1 if it is valid: first four signs last, letters as 10 to 35."""
+    signs = F.split(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4)), "")
+    digit = lambda c: c.rlike("[0-9]")
+    return F.aggregate(
+        signs, F.lit(0), lambda a, c: F.when(digit(c), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    )
+
+
+def _iban(value: Column, h: Column) -> Column:
+    """The country kept, and check digits that are right."""
+    country, body = F.substring(value, 1, 2), _same_shape(F.substring(value, F.lit(5), F.length(value)), h)
+    check = F.lit(98) - iban_rest(F.concat(country, F.lit("00"), body))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+
+
 def _card(value: Column, h: Column) -> Column:
     """The first digit kept, in the range of cards with 2 first; a last digit that checks."""
     n = F.length(value)
@@ -162,7 +205,8 @@ def _card(value: Column, h: Column) -> Column:
 
 def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
     """The surrogate of an entity at an attempt.  Names get another middle every
-    fourth attempt, so there are enough of them for any number of values."""
+    fourth attempt, numbers and secrets another sign every eighth, so there are
+    enough of them for any number of values."""
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, value, F.lit(str(attempt))), 256)
     octet = lambda at, low, n: (F.conv(F.substring(h, at, 4), 16, 10).cast("int") % n + low).cast("string")
     user, domain = F.split_part(value, F.lit("@"), F.lit(1)), F.split_part(value, F.lit("@"), F.lit(2))
@@ -176,17 +220,21 @@ def surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
         _same_shape(user, h), F.lit("@"), _same_shape(F.regexp_replace(domain, r"\.[a-z]+$", ""), F.sha2(h, 256)), top))
     # Public addresses: first number 11 to 98, none of it private or reserved.
     out = out.when(kind == "ip", F.concat_ws(".", octet(1, 11, 88), octet(5, 0, 256), octet(9, 0, 256), octet(13, 1, 254)))
-    out = out.when(kind == "card", _card(value, h))
+    out = out.when(kind == "card", _card(value, h)).when(kind == "iban", _iban(value, h))
+    # What makes a key one stays.
+    out = out.when(kind == "key", F.concat(F.lit("AKIA"), _same_shape(F.substring(value, F.lit(5), F.length(value)), h)))
     for tag, parts in _GIVEN.items():
         out = out.when(kind == f"given_{tag}", names(parts))
     for tag, parts in _FAMILY.items():
         out = out.when(kind == f"family_{tag}", names(parts))
-    return out.otherwise(_same_shape(value, h))
+    more = F.substring(F.conv(F.substring(h, 50, 12), 16, 10), 1, attempt // 8)
+    return out.otherwise(F.concat(_same_shape(value, h), more))
 
 
 def _feminine(raw: Column) -> Column:
-    """Whether a name stands after a woman's title."""
-    return raw.rlike(rf"^(?:{'|'.join(TITLES['f'])})(?:\.| )")
+    """Whether a name stands after a woman's title, or after one that tells nothing and ends like a woman's."""
+    neutral = rf"^(?:{'|'.join(TITLES[''])})(?:\.|\s)"
+    return raw.rlike(rf"^(?:{'|'.join(TITLES['f'])})(?:\.|\s)") | raw.rlike(neutral) & _bare(raw).rlike(r"^\p{L}+[aаяe]\s")
 
 
 def _stem(family: Column) -> Column:
@@ -196,28 +244,32 @@ def _stem(family: Column) -> Column:
 
 
 def _entities(mentions: DataFrame) -> DataFrame:
-    """Mentions (raw, kind) with ``parts``: the values to be replaced and their kinds, one or, in names, two."""
-    raw, kind = F.col("raw"), F.col("kind")
+    """Mentions (raw, titled, kind) with ``parts``: the values to be replaced, their kinds and, in names, the
+    number of the word.  Initials are no values and stay.  ``titled`` is a name with the title it has elsewhere."""
+    raw, titled, kind = F.col("raw"), F.col("titled"), F.col("kind")
     digits = F.regexp_replace(raw, r"\D", "")
     country = F.regexp_extract(raw, r"^\+\d{1,3}(?=[ .(-])", 0)
     value = (
         F.when(kind == "email", F.lower(raw))
-        .when(kind == "secret", F.regexp_extract(raw, rf"{_SECRET_KEY}\s*[=:]\s*[\"']?([A-Za-z0-9+/_-]+)", 1))
+        .when(kind == "secret", F.regexp_extract(raw, rf"^{_SECRET_HEAD}[\"']?(.*?)[\"']?$", 1))
         .when(kind == "phone", F.regexp_replace(F.expr("substring(raw, length(country) + 1)"), r"\D", ""))
         .when(kind == "iban", F.replace(raw, F.lit(" "), F.lit("")))
         .when(kind.isin("card", "ssn"), digits)
         .otherwise(raw)
     )
-    gender = F.when(_feminine(raw), F.lit("f")).otherwise(F.lit("m"))
-    words = F.split(F.regexp_extract(raw, r"^\p{L}+\.? (.*)$", 1), " ")
-    tag = F.when(F.element_at(words, -1).rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-    part = lambda k, v: F.struct(k.alias("kind"), v.alias("value"))
-    last = F.element_at(words, -1)
-    family = part(F.concat(F.lit("family_"), tag), F.when(tag == "cyrillic", _stem(last)).otherwise(last))
-    given = part(F.concat_ws("_", F.lit("given"), gender, tag), F.element_at(words, 1))
-    parts = F.when((kind == "name") & (F.size(words) > 1), F.array(given, family)).when(kind == "name", F.array(family))
+    gender = F.when(_feminine(titled), F.lit("f")).otherwise(F.lit("m"))
+    words = F.split(_bare(raw), r"\s+")
+    script = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    part = lambda k, v, nr: F.struct(k.alias("kind"), v.alias("value"), nr.alias("nr"))
+
+    def of_word(w: Column, i: Column) -> Column:
+        family = part(F.concat(F.lit("family_"), script(w)), F.when(script(w) == "cyrillic", _stem(w)).otherwise(w), i)
+        return F.when(i == F.size(words) - 1, family).otherwise(part(F.concat_ws("_", F.lit("given"), gender, script(w)), w, i))
+
+    named = F.filter(F.transform(words, of_word), lambda p: ~p["value"].rlike(r"^\p{L}\.?$"))
+    parts = F.when(kind == "name", named)
     return mentions.withColumn("country", F.when(kind == "phone", country).otherwise(F.lit(""))).withColumn(
-        "parts", parts.otherwise(F.array(part(kind, value)))
+        "parts", parts.otherwise(F.array(part(kind, value, F.lit(0))))
     )
 
 
@@ -247,8 +299,8 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _render(raw: Column, kind: Column, to: Column) -> Column:
-    """A mention with its parts' surrogates ``to`` put where the values were."""
-    one = F.get(to, F.lit(0))
+    """A mention with its parts' surrogates ``to`` (by the parts' numbers) put where the values were."""
+    one = F.element_at(to, F.lit(0))
     country = F.col("country")
     rest = F.expr("substring(raw, length(country) + 1)")
     # Digits (or, for account numbers, all but spaces) are taken from the surrogate in order.
@@ -259,14 +311,18 @@ def _render(raw: Column, kind: Column, to: Column) -> Column:
             F.concat(a["s"], F.when(c.rlike(keep), c).otherwise(F.substring(one, a["i"], F.lit(1)))).alias("s"),
             (a["i"] + F.when(c.rlike(keep), 0).otherwise(1)).alias("i"),
         ),
-        lambda a: a["s"],
+        # A surrogate may be longer than what it stands for.
+        lambda a: F.concat(a["s"], F.substring(one, a["i"], F.length(one))),
     )
-    title = F.regexp_extract(raw, r"^\p{L}+\.? ", 0)
-    ending = F.when(_feminine(raw) & raw.rlike(r"\p{IsCyrillic}\p{L}*$"), F.lit(FEMININE)).otherwise(F.lit(""))
-    head = F.regexp_extract(raw, rf"^({_SECRET_KEY}\s*[=:]\s*[\"']?)", 1)
+    title = F.regexp_extract(raw, rf"^(?:{_TITLE})\.?\s{{1,3}}", 0)
+    bare = _bare(raw)
+    words, gaps = F.split(bare, r"\s+"), F.regexp_extract_all(bare, F.lit(r"\s+"), F.lit(0))
+    put = F.transform(words, lambda w, i: F.concat(F.coalesce(F.try_element_at(to, i), w), F.coalesce(F.get(gaps, i), F.lit(""))))
+    ending = F.when(_feminine(F.col("titled")) & raw.rlike(r"\p{IsCyrillic}\p{L}*$"), F.lit(FEMININE)).otherwise(F.lit(""))
+    head = F.regexp_extract(raw, rf"^({_SECRET_HEAD}[\"']?)", 1)
     tail = F.regexp_extract(raw, r"[\"']$", 0)
     return (
-        F.when(kind == "name", F.concat(title, F.array_join(to, " "), ending))
+        F.when(kind == "name", F.concat(title, F.array_join(put, ""), ending))
         .when(kind == "secret", F.concat(head, one, tail))
         .when(kind == "email", F.when(raw == F.upper(raw), F.upper(one)).otherwise(one))
         .when(kind == "iban", fill(raw, " "))
@@ -275,47 +331,58 @@ def _render(raw: Column, kind: Column, to: Column) -> Column:
     )
 
 
-def replace_entities(docs: DataFrame, key: str = "paceline", text: str = "text") -> DataFrame:
+def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text`` and the column n_replaced (long).
 
-    Texts without an entity stay byte for byte, null stays null.  Equal values
-    get equal surrogates wherever they stand; rows that repeat are replaced
-    alike.  An empty table gives no rows; a column n_replaced is replaced.
+    ``key`` is a secret: who knows it can look surrogates up.  Texts without an entity
+    stay byte for byte, null stays null; numbers that look like cards or accounts and do
+    not check are none.  Equal values get equal surrogates wherever they stand; names of
+    two parts or more that follow a title in a text are found in it without the title
+    too.  Rows that repeat are replaced alike.  An empty table gives no rows; a column
+    n_replaced is replaced.
     """
     names = [c for c in docs.columns if c != "n_replaced"]
     t = F.col(text)
-    found = F.when(may_hold(t), F.regexp_extract_all(t, reading(F.col("__cards")), F.lit(0)))
+    pattern = reading(F.col("__cards"), F.col("__names"))
+    found = F.when(may_hold(t), F.regexp_extract_all(t, pattern, F.lit(0)))
     tagged = docs.select(*names).withColumn("__cards", F.when(may_hold(t), cards(t)).otherwise(F.lit("")))
+    tagged = tagged.withColumn("__names", F.when(may_hold(t), known_names(t)).otherwise(F.lit("")))
     tagged = tagged.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
     tagged = materialize(tagged.withColumn("__key", F.monotonically_increasing_id()), "tagged")
     plain = tagged.filter(F.size("__found") == 0)
     hit = tagged.filter(F.size("__found") > 0)
-    mentions = hit.select("__key", F.posexplode("__found").alias("at", "raw")).withColumn("kind", kind_of(F.col("raw")))
+    # A name without its title is that of the first mention that has it.
+    with_title = lambda x: F.filter("__found", lambda y: y.endswith(x) & y.rlike(rf"^(?:{_TITLE})\.?\s"))
+    pair = F.transform("__found", lambda x: F.struct(x.alias("raw"), F.coalesce(F.get(with_title(x), F.lit(0)), x).alias("titled")))
+    named_only = F.when(F.col("__names") == "", F.transform("__found", lambda x: F.struct(x.alias("raw"), x.alias("titled")))).otherwise(pair)
+    mentions = hit.select("__key", F.posexplode(named_only).alias("at", "m")).select("__key", "at", "m.raw", "m.titled")
+    mentions = mentions.withColumn("kind", F.coalesce(kind_of(F.col("raw")), F.lit("name")))
+    # Account numbers that do not check stay as they are.
+    mentions = mentions.filter((F.col("kind") != "iban") | (iban_rest(F.replace("raw", F.lit(" "), F.lit(""))) == 1))
     mentions = _entities(mentions)
-    parts = mentions.select("__key", "at", "raw", F.col("kind").alias("mention"), "country", F.posexplode("parts").alias("nr", "part"))
+    parts = mentions.select("__key", "at", "raw", "titled", F.col("kind").alias("mention"), "country", F.explode("parts").alias("part"))
     parts = materialize(
-        parts.select("__key", "at", "raw", "mention", "country", "nr", F.col("part.kind").alias("kind"), F.col("part.value").alias("value")),
-        "mentions",
+        parts.select("__key", "at", "raw", "titled", "mention", "country", "part.nr", "part.kind", "part.value"), "mentions"
     )
     named = parts.join(assign(parts, key), ["kind", "value"])
     done = (
         named.groupBy("__key", "at")
         .agg(
             F.first("raw").alias("raw"),
+            F.first("titled").alias("titled"),
             F.first("mention").alias("mention"),
             F.first("country").alias("country"),
-            F.transform(F.array_sort(F.collect_list(F.struct("nr", "surrogate"))), lambda x: x["surrogate"]).alias("to"),
+            F.map_from_entries(F.collect_list(F.struct("nr", "surrogate"))).alias("to"),
         )
         .withColumn("new", _render(F.col("raw"), F.col("mention"), F.col("to")))
         .groupBy("__key")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("__new"))
-    )
-    between = F.split(t, reading(F.col("__cards")), -1)
-    filled = F.array_join(
-        F.transform(F.arrays_zip(F.col("__between"), F.col("__new")), lambda x: F.concat(x["__between"], F.coalesce(x["__new"], F.lit("")))), ""
+        .agg(F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("__new"))
     )
-    replaced = hit.join(done, "__key").withColumn("__between", between).withColumn(text, filled)
+    between = F.split(t, pattern, -1)
+    piece = lambda x, i: F.concat(x, F.coalesce(F.try_element_at("__new", i), F.get("__found", i), F.lit("")))
+    filled = F.array_join(F.transform("__between", piece), "")
+    replaced = hit.join(done, "__key", "left").withColumn("__between", between).withColumn(text, filled)
     zero = F.lit(0).cast("bigint").alias("n_replaced")
     return plain.select(*names, zero).unionByName(
-        replaced.select(*names, F.size("__found").cast("bigint").alias("n_replaced"))
+        replaced.select(*names, F.coalesce(F.size("__new"), F.lit(0)).cast("bigint").alias("n_replaced"))
     )

@@ -39,7 +39,7 @@ def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text"), key="a key for tests")
 
 
 def judged_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
