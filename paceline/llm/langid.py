@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.llm.common import text_blocks, widened
@@ -21,10 +21,17 @@ from paceline.llm.common import text_blocks, widened
 #: Bytes in a window, filter widths, filters of each width, numbers that stand for a byte.
 LENGTH, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 
-#: Labelled texts the network is fitted on at most, and windows of each of them.
-TRAIN_TEXTS, TRAIN_WINDOWS = 2000, 4
+#: Labelled texts of each language the network is fitted on at most, and windows of each of them.
+TRAIN_TEXTS, TRAIN_WINDOWS = 500, 4
 
-EPOCHS, BATCH, RATE, SEED = 8, 128, 0.01, 7
+#: Steps of the optimiser, whatever the sample; after each EASE of them the rate falls.
+STEPS, EASE, BATCH, RATE, SEED = 500, 63, 128, 0.01, 7
+
+#: Bytes of one text that are cut into windows at a time, a multiple of LENGTH.
+PART = 1024 * LENGTH
+
+#: Shares of a language whose least hashes are found apart before they meet.
+SPREAD = 64
 
 UNDETERMINED = "und"
 
@@ -150,7 +157,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], languages: list[str]) -> Network:
-    """Adam on the first LENGTH bytes of each text."""
+    """STEPS steps of Adam on the first LENGTH bytes of each text, round after round in a new order."""
     names = sorted(set(languages))
     net = Network.random(names)
     r = np.random.default_rng(SEED)
@@ -162,25 +169,25 @@ def train(texts: list[str], languages: list[str]) -> Network:
     x, y = np.array(xs), np.array(ys)
     first = [np.zeros_like(p) for p in net.parameters()]
     second = [np.zeros_like(p) for p in net.parameters()]
-    t = 0
-    for epoch in range(EPOCHS if len(x) > 2000 else 4 * EPOCHS):
-        order = r.permutation(len(x))
-        for at in range(0, len(x), BATCH):
-            t += 1
-            pick = order[at : at + BATCH]
-            _, gradients = net.step(x[pick], y[pick])
-            for p, g, m, v in zip(net.parameters(), gradients, first, second, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= RATE / (1 + epoch) ** 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
+    order = np.zeros(0, np.int64)
+    for t in range(1, STEPS + 1):
+        while len(order) < min(BATCH, len(x)):
+            order = np.concatenate([order, r.permutation(len(x))])
+        pick, order = order[:BATCH], order[BATCH:]
+        _, gradients = net.step(x[pick], y[pick])
+        for p, g, m, v in zip(net.parameters(), gradients, first, second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= RATE / (1 + (t - 1) // EASE) ** 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
     return net
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", most: int = TRAIN_TEXTS) -> Network | None:
-    """A network from at most ``most`` rows with a letter and a language; None if there are none.
+    """A network from at most ``most`` rows of each language, with a letter; None if there are none.
 
-    The sample is the rows of least hash, the same whatever the partitions; of each,
-    TRAIN_WINDOWS windows at places its hash gives are sent to the driver.
+    The sample is a language's rows of least hash, the same whatever the partitions, so a
+    rare language is learnt from all its rows.  Of each row, TRAIN_WINDOWS windows at places
+    its hash gives are sent to the driver.
     """
     rows = (
         labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -188,11 +195,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", most: int =
         .withColumn("h", F.xxhash64("text", "lang"))
     )
     # Copies count once, so a text that fills the table does not fill the sample.
-    least = rows.select("h").distinct().orderBy("h").limit(most)
+    hashes = rows.select("lang", "h").distinct().withColumn("share", F.pmod("h", F.lit(SPREAD)))
+    some = hashes.withColumn("n", F.row_number().over(Window.partitionBy("lang", "share").orderBy("h"))).filter(F.col("n") <= most)
+    least = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= most).select("h")
     start = lambda k: F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.lit(1), F.length("text") - LENGTH)) + 1
     pieces = F.array_distinct(F.array(*[F.substring("text", start(k), F.lit(LENGTH)) for k in range(TRAIN_WINDOWS)]))
     sample = (
-        rows.join(F.broadcast(least), "h", "left_semi")  # no more than ``most`` rows
+        rows.join(F.broadcast(least), "h", "left_semi")  # no more than ``most`` rows a language
         .select("h", "lang", pieces.alias("pieces"))
         .dropDuplicates(["h"])
         .select("h", "lang", F.posexplode("pieces"))
@@ -223,11 +232,16 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
             if net:
                 column = batch.column("__text")
                 for first, end, data, offsets in text_blocks(column):
-                    windows, owner = windows_of(data, offsets)
-                    logs = net.log_odds(windows, tables)
                     n = end - first
-                    total = np.stack([np.bincount(owner, logs[:, k], n) for k in range(logs.shape[1])], axis=1)
-                    p = _softmax(total / np.maximum(1, np.bincount(owner, minlength=n))[:, None])
+                    total, seen = np.zeros((n, len(net.languages))), np.zeros(n)
+                    # A long text is a block by itself and is read some windows at a time.
+                    step = PART if n == 1 else max(PART, len(data))
+                    for at in range(0, max(1, len(data)), step):
+                        windows, owner = windows_of(data[at : at + step], np.clip(offsets - at, 0, min(step, len(data) - at)))
+                        logs = net.log_odds(windows, tables)
+                        total += np.stack([np.bincount(owner, logs[:, k], n) for k in range(logs.shape[1])], axis=1)
+                        seen += np.bincount(owner, minlength=n)
+                    p = _softmax(total / np.maximum(1, seen)[:, None])
                     best[first:end], score[first:end] = p.argmax(axis=1), p.max(axis=1)
                 no = [i for i, t in enumerate(column.to_pylist()) if not t or not _LETTER.search(t)]
                 best[no], score[no] = len(names) - 1, 0

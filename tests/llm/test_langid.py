@@ -76,6 +76,21 @@ def test_edge_cases(frame):
     assert {r["lang_pred"] for r in langid.identify(frame(cases), none).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learnt(spark):
+    import random
+
+    r = random.Random(6)
+    common, rare = ["the", "and", "house", "river", "light", "stone"], ["ŵyth", "llŷn", "ddŵr", "gŵyl", "tŷ", "môr"]
+    say = lambda words: " ".join(r.choice(words) for _ in range(40))
+    rows = [(i, say(rare if i % 250 == 0 else common), "cy" if i % 250 == 0 else "en") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = langid.fit(df)
+    assert net.languages == ["cy", "en"]
+    asked = [(1, say(rare), None), (2, say(common), None), (3, (say(rare) + " ") * 12_000, None), (4, (say(common) + " ") * 12_000, None)]
+    got = langid.identify(spark.createDataFrame(asked, "doc_id bigint, text string, lang string"), net).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "cy", 2: "en", 3: "cy", 4: "en"}
+
+
 def test_held_out_rows_are_not_learnt_from(frame):
     import zlib
 
