@@ -67,8 +67,7 @@ def _read(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Ar
     parts, pieces, langs, n, piece = [], [], [], 0, 0
 
     def run():
-        joined = pa.chunked_array(parts, pa.large_binary()).dictionary_encode().unify_dictionaries().combine_chunks()
-        joined = joined.chunk(0) if isinstance(joined, pa.ChunkedArray) else joined
+        joined = pa.concat_arrays(parts).dictionary_encode()
         return joined.dictionary, np.asarray(joined.indices), np.concatenate(pieces), np.concatenate(langs), list(tongues)
 
     for batch in batches:
@@ -322,8 +321,8 @@ def _count_route(table: pa.Table, least: int, longest: int) -> pa.Table:
         ends = np.append(0, np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1)
         words.append(pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)]))
     start = np.cumsum([0, *map(len, words)])
-    words = pa.chunked_array(words).dictionary_encode().unify_dictionaries()
-    number = np.concatenate([np.asarray(c.indices) for c in words.chunks]) + np.int32(1)
+    words = pa.concat_arrays(words).dictionary_encode()
+    number = np.asarray(words.indices) + np.int32(1)
     for k, c in enumerate(columns):
         lookup = np.append(np.int32(0), number[start[k] : start[k + 1]])
         c[1:-1] = lookup[c[1:-1]]
@@ -335,7 +334,7 @@ def _count_route(table: pa.Table, least: int, longest: int) -> pa.Table:
     found = [(d - 1, r, c) for d, r, c in equal_partitions(codes, weights, bounds) if d > 2]
     names = list(tongues)
     used = np.unique(np.concatenate([codes[r, 1 : d + 1] for d, r, _ in found])) if found else np.zeros(0, np.int32)
-    spelt = dict(zip(used.tolist(), words.chunk(0).dictionary.take(pa.array(used - 1)).to_pylist(), strict=True))
+    spelt = dict(zip(used.tolist(), words.dictionary.take(pa.array(used - 1)).to_pylist(), strict=True))
     return pa.table(
         {
             "lang": pa.array([names[codes[r, 0] - 1] for _, r, _ in found], pa.string()),
