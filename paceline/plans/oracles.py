@@ -425,6 +425,11 @@ BODIES = {
     "driver_history": """
         select row_key, points_before, wins_before, avg_points_last5, avg_finish_last5, wins_last5
         from driver_totals join form using (row_key)""",
+    "kept_driver_history": """
+        select t.row_key, points_before, wins_before, avg_points_last5, avg_finish_last5, wins_last5
+        from driver_totals t join form using (row_key) where t.season = 2000""",
+    "kept_team_totals": """
+        select row_key, team_points_before, team_wins_before from team_totals_asof where season = 2000""",
     "circuit_stats": "select * from stats",
     "circuit_stats_fallback": """
         select driver_id, avg(finish) as avg_finish_circuit,

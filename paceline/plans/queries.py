@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paceline.functions import scalars
-from paceline.operators import features, filters, metrics, model, stats
+from paceline.operators import features, filters, kept, metrics, model, stats
 from paceline.operators.balance import balance
 from paceline.operators.neighbours import nearest, recall
 from paceline.operators.split import hash_split
@@ -354,6 +354,54 @@ def driver_history(spark, sf):
     return rows.select("row_key", *matrices.DRIVER_TOTALS, *FORM)
 
 
+def _rounds(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The history until the last season, and that in two rounds that share a day."""
+    rows = _history_table(spark, sf).withColumn("season", F.year("race_date"))
+    last = star.SEASON - 1
+    cut = F.col("race_date") < F.lit(f"{last}-06-15").cast("date")
+    # Half of the border day's races come with the first round.
+    early = cut | (F.col("race_date") == F.lit(f"{last}-06-15").cast("date")) & (F.col("race_id") % 2 == 0)
+    new = rows.filter(F.col("season") == last)
+    return rows.filter(F.col("season") < last), new.filter(early), new.filter(~early)
+
+
+def _kept(spark, state: DataFrame) -> DataFrame:
+    """A state, published and read back."""
+    path = _sink(spark)
+    sinks.publish({"state": state}, path)
+    return sinks.published(spark, path, "state", state.schema)
+
+
+@query
+def kept_driver_history(spark, sf):
+    """A season's totals and form from the state before it, advanced by two rounds."""
+    old, *rounds = _rounds(spark, sf)
+    # Rounds must follow each other in order, so the second begins with a new day.
+    day = F.col("race_date") <= F.lit(f"{star.SEASON - 1}-06-15").cast("date")
+    new = rounds[0].unionByName(rounds[1])
+    args = (["driver_id"], star.ORDER, matrices.DRIVER_TOTALS, matrices.FORM_COLUMNS)
+    state, out = _kept(spark, kept.fold(old, *args)), None
+    for rows in (new.filter(day), new.filter(~day)):
+        done, state = kept.advance(state, rows, *args)
+        state = _kept(spark, state)
+        out = done if out is None else out.unionByName(done)
+    return out.select("row_key", *matrices.DRIVER_TOTALS, *FORM)
+
+
+@query
+def kept_team_totals(spark, sf):
+    """A season's team totals from the state before it, advanced by two rounds that share a day."""
+    old, *rounds = _rounds(spark, sf)
+    args = (["constructor_id"], "race_date", matrices.TEAM_TOTALS)
+    state, out = _kept(spark, kept.fold_as_of(old, *args)), None
+    for rows in rounds:
+        done, state = kept.advance_as_of(state, rows, *args)
+        state = _kept(spark, state)
+        out = done if out is None else out.unionByName(done)
+    # What the shared day's second half adds is seen by later days alone, in either round.
+    return out.select("row_key", *matrices.TEAM_TOTALS)
+
+
 # Statistics
 
 

@@ -114,3 +114,28 @@ def test_a_hot_group_is_spread_and_few_groups_span(skewed):
     assert skewed.filter("driver = 0").count() > 450
     assert max(sizes) < 450
     assert spanning_groups(segmented, ["driver"]).count() < len(sizes)
+
+
+@pytest.mark.parametrize("cuts", [(10,), (1, 2, 25), (0, 20)])
+def test_kept_state_and_rounds_equal_a_recomputation(spark, cuts):
+    import random
+
+    from paceline.operators import kept
+
+    r = random.Random(3)
+    rows = [(r.choice("aaabc") if i < 30 else r.choice("ad"), i, r.choice([None, r.randrange(9)]), float(r.randrange(5))) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, at int, x bigint, y double")
+    args = (["g"], ["at"], {"sum_x": "x"}, {"avg_y": ("avg", "y"), "sum_last": ("sum", "x")})
+    whole = {(w["g"], w["at"]): tuple(w) for w in history_features(df, *args, n=3).collect()}
+    edges = [*cuts, 40]
+    state = kept.fold(df.filter(F.col("at") < edges[0]), *args, n=3)
+    days = kept.fold_as_of(df.filter(F.col("at") < edges[0]), ["g"], "at", {"sum_x": "x"})
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        new = df.filter((F.col("at") >= lo) & (F.col("at") < hi))
+        out, state = kept.advance(state, new, *args, n=3)
+        got = {(w["g"], w["at"]): tuple(w) for w in out.collect()}
+        assert got == {k: v for k, v in whole.items() if lo <= k[1] < hi}
+        out, days = kept.advance_as_of(days, new, ["g"], "at", {"sum_x": "x"})
+        assert {(w["g"], w["at"]): w["sum_x"] for w in out.collect()} == {k: v[4] for k, v in whole.items() if lo <= k[1] < hi}
+    end = kept.fold(df, *args, n=3)
+    assert sorted(map(tuple, state.select(*end.columns).collect())) == sorted(map(tuple, end.collect()))
