@@ -126,6 +126,68 @@ select page_id, octet_length(encode(html))::bigint as payload_bytes, ''{_BASE32}
 from p
 """
 
+def _climbed(name: str, key: str) -> str:
+    """Levels of trees: rows (key, level, pos, n, hash) from ``name``_0, each level from the one below."""
+    return f"""
+{name} as (
+  select * from {name}_0
+  union all
+  select a.{key}, a.level + 1, a.pos // 2, (a.n + 1) // 2, sha256(a.hash || coalesce(b.hash, ''))
+  from {name} a left join {name} b on b.{key} = a.{key} and b.pos = a.pos + 1 where a.pos % 2 = 0 and a.n > 1)"""
+
+
+_VALUE = "coalesce(octet_length(encode({0}::varchar))::varchar || ':' || {0}::varchar, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_VALUE.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text of up to 20 signs: bit by bit, the polynomial reversed."""
+    step = "case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end"
+    byte = f"list_reduce(list_prepend(xor(c, s), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: {step})"
+    signs = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {signs}), lambda c, s: {byte}), 4294967295)"
+
+
+MERKLE = f"""
+with recursive d as (
+  select row_number() over () as row, doc_id, lang, {_leaf("n_chars")} as leaf,
+         case when n_chars is not null and {_crc32("doc_id::varchar")} % 7 = 0 then {_leaf("(n_chars + 1)")} end as tampered
+  from documents),
+g as (select lang, row_number() over (order by encode(lang) nulls first) - 1 as tree, count(*) over () as trees from (select distinct lang from d)),
+p as (
+  select d.*, g.tree, g.trees, row_number() over (partition by g.tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by g.tree) as n
+  from d join g on d.lang is not distinct from g.lang),
+t_0 as (select tree, 0 as level, pos, n, leaf as hash from p),{_climbed("t", "tree")},
+s as (select tree, hash as subroot from t where n = 1),
+u_0 as (select 0 as top, 0 as level, tree as pos, count(*) over () as n, subroot as hash from s),{_climbed("u", "top")},
+way as (
+  select p.row, t.level, t.hash, p.pos // (2 ** t.level)::bigint % 2 = 1 as before
+  from p join t on t.tree = p.tree and t.pos = xor(p.pos // (2 ** t.level)::bigint, 1)
+  union all
+  select p.row, 1000 + u.level, u.hash, p.tree // (2 ** u.level)::bigint % 2 = 1
+  from p join u on u.pos = xor(p.tree // (2 ** u.level)::bigint, 1)),
+steps as (
+  select p.row, lv.level, way.hash, way.before from p join (select tree, max(level) as top from t group by 1) h on h.tree = p.tree
+  cross join (select max(level) as top from u) k
+  cross join (select unnest(range(0, 64)) as i) x
+  cross join lateral (select case when i < h.top then i when i - h.top < k.top then 1000 + i - h.top end as level) lv
+  left join way on way.row = p.row and way.level = lv.level where lv.level is not null),
+numbered as (select *, row_number() over (partition by row order by level) as nr, count(*) over (partition by row) as many from steps),
+f as (
+  select row, 0::bigint as nr, coalesce(tampered, leaf) as h from p
+  union all
+  select f.row, s.nr, sha256(case when s.hash is null then f.h when s.before then s.hash || f.h else f.h || s.hash end)
+  from f join numbered s on s.row = f.row and s.nr = f.nr + 1),
+last as (select row, arg_max(h, nr) as folded from f group by 1),
+said as (select row, sha256(string_agg(hash, '' order by level)) as proof from way group by 1)
+select doc_id, leaf, subroot, (select hash from u where n = 1) as root, coalesce(said.proof, sha256('')) as proof_sha256,
+       folded as folded_root, folded = (select hash from u where n = 1) as verified
+from p join s on s.tree = p.tree join last on last.row = p.row left join said on said.row = p.row
+"""
+
 COLLOCATIONS = r"""
 with p as (
   select coalesce(lang, 'und') as lang, regexp_extract_all(p, '[^\x20\x09]+') as w
@@ -161,5 +223,6 @@ ORACLES: dict[str, str] = {
     "op6_url_filter": url_filter_sql(),
     "op9_decontamination": DECONTAMINATION,
     "op10_quality_rules": QUALITY,
+    "op11_merkle_manifest": MERKLE,
     "op12_collocations": COLLOCATIONS,
 }
