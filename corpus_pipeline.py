@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from paceline.llm import decontaminate, langid, neardup, packing, pii, toxicity
 from paceline.llm.common import read
 from paceline.llm.queries import tokenizer_path
-from paceline.session import materialize
+from paceline.session import materialize, scratch
 
 
 #: The key of the surrogates, for tests and checks; give a secret of your own to real runs.
@@ -62,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        # A stage's own tables go once its result is written.
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
     return docs

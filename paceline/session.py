@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,23 +60,47 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/paceline/{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once their last reader is done.
 
     Results that are still lazy read them, so write those first.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_dir(spark))
+
+
+#: Tables written inside the scopes that are open now, innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end, but for those it is told to keep.
+
+    What is to outlive the scope must be written in it, as lazy results read its tables.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Later steps then neither recompute it nor lose it with an executor, read
     only the columns they need, and know its size when they pick a join.  Tables
-    stay until ``cleanup``.
+    stay until ``cleanup``, or until the end of ``scratch`` if it is not to ``keep`` them.
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
