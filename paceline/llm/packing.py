@@ -2,8 +2,9 @@
 tournament tree of bin capacities, in randomised groups of documents.
 
 Texts are tokenised once, in the tasks that read them; from there on only
-(document, start, length) rows travel.  Full sequences need no bin search; the
-rest of each document, shorter than a sequence, is packed inside its group.
+(document, start, length) rows travel.  Groups are drawn from what a document is,
+not from where it lies, so a task run again gives the same rows and another layout
+of the files the same packing.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ END_ID = 1
 #: follows the length distribution of the whole whatever source is hot.
 GROUP_DOCS = 4096
 
-_PIECES = "row_key bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+_PIECES = "doc_key bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
 #: Up to here all signs have been letters, numbers or neither for so long that
@@ -90,20 +91,17 @@ def pieces_of(n: int, sequence: int) -> Iterator[tuple[int, int]]:
 
 
 def cut(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: row_key, doc_id, start, length, ids_crc32, doc_tokens.
+    """One row per piece: doc_key, doc_id, start, length, ids_crc32, doc_tokens.
 
-    ``row_key`` tells rows of ``docs`` apart that repeat a doc_id.
+    ``doc_key`` is a hash of doc_id and text; rows alike in both have the same pieces.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches):
-        tokens, part, n = tokens_of(tokenizer_path), None, 0
+        tokens = tokens_of(tokenizer_path)
         for batch in batches:
-            if part is None:
-                from pyspark import TaskContext
-
-                part = TaskContext.get().partitionId()
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            keys, ids = batch.column("doc_key").to_pylist(), batch.column("doc_id").to_pylist()
+            texts = batch.column("text")
             at = 0
             while at < len(ids):  # bounded runs of texts
                 stop, size = at, 0
@@ -111,21 +109,22 @@ def cut(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
                     size += len(texts[stop].as_py() or "") + 1
                     stop += 1
                 out: list[tuple] = []
-                for doc_id, text in zip(ids[at:stop], texts.slice(at, stop - at).to_pylist(), strict=True):
+                run = slice(at, stop)
+                for key, doc_id, text in zip(keys[run], ids[run], texts.slice(at, stop - at).to_pylist(), strict=True):
                     raw = tokens(text or "") + end
-                    total, key = len(raw) // 4, (part << 40) + n
-                    n += 1
+                    total = len(raw) // 4
                     out += [
                         (key, doc_id, s, k, zlib.crc32(raw[4 * s : 4 * (s + k)]), total)
                         for s, k in pieces_of(total, sequence)
                     ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in zip(*out, strict=True)],
-                    ["row_key", "doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                    ["doc_key", "doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
                 at = stop
 
     slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    slim = slim.select(F.xxhash64("doc_id", "text").alias("doc_key"), "doc_id", "text")
     return widened(docs.sparkSession, slim).mapInArrow(rows, _PIECES)
 
 
@@ -171,18 +170,20 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pack(pieces: DataFrame, n_docs: int, sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``.
 
-    Documents are dealt into about n_docs / group_docs groups by a hash of their
-    row; each group is packed by itself.  A group's sequence ids start at
-    group * 2^32.  The result does not depend on the order of arrival.
+    Documents are dealt into about n_docs / group_docs groups by their key; each
+    group is packed by itself.  A group's sequence ids start at group * 2^32.
+    Rows alike in all columns are counted, then numbered, and each number is dealt
+    by itself: they spread over the groups however many they are.  The result
+    depends on the rows alone, not on their order or files.
     """
     groups = max(1, -(-n_docs // group_docs))
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("row_key", "ascending"), ("start", "ascending")])
+        table = table.sort_by([("doc_key", "ascending"), ("__copy", "ascending"), ("start", "ascending")])
         bins, offsets = first_fit_decreasing(table["length"].to_numpy(), sequence)
         group = table["__group"][0].as_py()
         return (
-            table.drop_columns(["__group", "row_key"])
+            table.drop_columns(["__group", "doc_key", "__copy"])
             .append_column("sequence_id", pa.array(bins + (group << 32), pa.int64()))
             .append_column("offset", pa.array(offsets, pa.int64()))
         )
@@ -191,7 +192,9 @@ def pack(pieces: DataFrame, n_docs: int, sequence: int = SEQUENCE, group_docs: i
         "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
         "sequence_id bigint, offset bigint"
     )
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("row_key"), F.lit(groups)))
+    alike = pieces.groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    copies = alike.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).drop("__copies")
+    dealt = copies.withColumn("__group", F.pmod(F.xxhash64("doc_key", "__copy"), F.lit(groups)))
     return dealt.groupBy("__group").applyInArrow(one, schema)
 
 

@@ -59,6 +59,16 @@ def test_pieces_and_sequences(frame, texts):
     assert packing.pack_documents(frame([]), PATH).collect() == []
 
 
+def test_the_same_packing_from_other_files(frame, texts):
+    """Order and partitions do not matter, whole repeated rows spread over the groups."""
+    cases = CASES + texts + [(99_999, "copied " * 300)] * 500
+    docs = frame(cases)
+    rows = [sorted(map(tuple, packing.pack_documents(d, PATH, group_docs=64).collect()), key=str) for d in (docs.coalesce(1), docs.orderBy("n_chars").repartition(7))]
+    assert rows[0] == rows[1]
+    groups = [r[5] >> 32 for r in rows[0] if r[0] == 99_999]
+    assert len(groups) == 500 and max(map(groups.count, set(groups))) < 125
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_first_fit_decreasing(lengths):
