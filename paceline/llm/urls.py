@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,11 @@ SOFT = {
     "slots": 1.0, "track": 1.0, "torrent": 1.0, "win": 1.0, "x": 1.0,
 }
 
-#: Weight of distinct soft terms from which a URL is blocked.
-ENOUGH = 2.0
+#: Weight of distinct soft terms, and their number, from which a URL is blocked.
+ENOUGH, SEVERAL = 2.0, 2
+
+#: Terms that a vocabulary read from a table may have; it is sent with every task.
+MOST_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -106,24 +110,67 @@ class Vocabulary:
         return sorted(strict), sorted(soft), sum(soft.values())
 
 
+def read_vocabulary(terms: DataFrame, most: int = MOST_TERMS) -> tuple[tuple[str, ...], dict[str, float]]:
+    """Strict terms and weighted soft terms of a table (term, weight); a null weight makes a term strict.
+
+    A-Z are lower-cased, null and empty terms left out.  A term given several times
+    is strict if one row says so, else has its largest weight.  The vocabulary goes
+    to every task, so more than ``most`` terms, or a weight that is negative or no
+    number, are refused.
+    """
+    term = F.translate(F.col("term").cast("string"), _UPPER, _LOWER)
+    rows = (
+        terms.select(term.alias("term"), F.col("weight").cast("double").alias("weight"))
+        .filter("term <> ''")
+        .groupBy("term")
+        .agg(F.bool_or(F.col("weight").isNull()).alias("strict"), F.max("weight").alias("weight"))
+        .limit(most + 1)
+        .collect()
+    )
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    soft = {r["term"]: r["weight"] for r in rows if not r["strict"]}
+    wrong = sorted(t for t, w in soft.items() if not w >= 0 or w == float("inf"))
+    if wrong:
+        raise ValueError(f"terms whose weight is negative or no number: {wrong[:5]}")
+    return tuple(sorted(r["term"] for r in rows if r["strict"])), soft
+
+
 _FOLD = str.maketrans(_UPPER, _LOWER)
 _INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-def term_hits(pages: DataFrame, strict: tuple[str, ...] = STRICT, soft: dict[str, float] | None = None, url: str = "url") -> DataFrame:
+def term_hits(
+    pages: DataFrame,
+    strict: tuple[str, ...] = STRICT,
+    soft: dict[str, float] | None = None,
+    url: str = "url",
+    decode: bool = False,
+) -> DataFrame:
     """``pages`` plus strict_terms, soft_terms (arrays) and soft_weight; a null url has no terms.
 
     The vocabulary is sent with the tasks; it is a parameter and does not grow with the data.
+    With ``decode``, terms are looked for in the URL as written and with its ``%XX`` read as
+    UTF-8, and count where they stand in either.
     """
     soft = SOFT if soft is None else soft
     added = ("strict_terms", "soft_terms", "soft_weight")
     own = [c for c in pages.columns if c not in added]
     source = pages.select(*[pages[c] for c in own], F.col(url).cast("string").alias("__url"))
 
+    def hits_of(find: Vocabulary, text: str) -> tuple[list[str], list[str], float]:
+        hits = find(text)
+        plain = unquote(text) if decode else text
+        if plain == text:
+            return hits
+        more = find(plain)
+        both = sorted({*hits[1], *more[1]})
+        return sorted({*hits[0], *more[0]}), both, sum(soft[t] for t in both)
+
     def rows(batches):
         find = Vocabulary(strict, soft)
         for batch in batches:
-            hits = [find(u or "") for u in batch.column("__url").to_pylist()]
+            hits = [hits_of(find, u or "") for u in batch.column("__url").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in own],
@@ -145,17 +192,20 @@ def judge(
     strict: tuple[str, ...] = STRICT,
     soft: dict[str, float] | None = None,
     enough: float = ENOUGH,
+    several: int = SEVERAL,
+    decode: bool = False,
 ) -> DataFrame:
     """``pages`` (with url) plus host, path, rule, verdict and the terms found.
 
-    A rule that fits decides.  Else one strict term blocks, or soft terms of
-    weight ``enough``; a null url is allowed.  Rows are independent; columns of
+    A rule that fits decides.  Else one strict term blocks, or ``several`` distinct
+    soft terms of weight ``enough`` together; a null url is allowed.  Rows are independent; columns of
     the added names are replaced.
     """
     host, path = split_url(F.col("url"))
-    hits = term_hits(pages, strict, soft).withColumn("host", host).withColumn("path", path)
+    hits = term_hits(pages, strict, soft, decode=decode).withColumn("host", host).withColumn("path", path)
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    found = (F.size("strict_terms") > 0) | (F.col("soft_weight") >= enough)
+    soft_found = (F.size("soft_terms") >= several) & (F.col("soft_weight") >= enough)
+    found = (F.size("strict_terms") > 0) | soft_found
     return hits.withColumn("rule", rule).withColumn(
         "verdict", F.coalesce(ruled, F.when(found, F.lit("block")).otherwise(F.lit("allow")))
     )

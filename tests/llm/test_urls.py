@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from paceline.llm import urls
 
 VOCABULARY = (("spam", "xx x", "bad-word"), {"free": 1.0, "bet": 1.5, "win": 1.0, "in": 0.5})
@@ -61,3 +63,36 @@ def test_rules_and_verdicts(spark):
     got = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(df).collect()}
     assert got == cases
     assert urls.judge(df.limit(0)).collect() == []
+
+
+def test_one_soft_term_is_not_several(spark):
+    df = spark.createDataFrame([(1, "http://y.org/heavy"), (2, "http://y.org/heavy-heavy"), (3, "http://y.org/heavy/light"), (4, "http://y.org/light/faint")], "page_id bigint, url string")
+    soft = {"heavy": 5.0, "light": 0.5, "faint": 0.5}
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, (), (), soft).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block", 4: "allow"}
+
+
+def test_encoded_terms(spark):
+    cases = [(1, "http://y.org/%73pam"), (2, "http://y.org/a%20spam%2fx"), (3, "http://y.org/%FFfree+%62et"), (4, "http://y.org/100%"), (5, None)]
+    df = spark.createDataFrame(cases, "page_id bigint, url string")
+    plain = {r["page_id"]: r["verdict"] for r in urls.judge(df, (), *VOCABULARY).collect()}
+    read = {r["page_id"]: (r["strict_terms"], r["soft_terms"], r["soft_weight"], r["verdict"]) for r in urls.judge(df, (), *VOCABULARY, decode=True).collect()}
+    assert plain == {1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow"}
+    assert read == {
+        1: (["spam"], [], 0.0, "block"),
+        2: (["spam"], [], 0.0, "block"),
+        3: ([], ["bet", "free"], 2.5, "block"),
+        4: ([], [], 0.0, "allow"),
+        5: ([], [], 0.0, "allow"),
+    }
+
+
+def test_vocabulary_of_a_table(spark):
+    rows = [("Spam", None), ("spam", 3.0), ("free", 1.0), ("FREE", 2.0), ("", 1.0), (None, None)]
+    table = spark.createDataFrame(rows, "term string, weight double")
+    assert urls.read_vocabulary(table) == (("spam",), {"free": 2.0})
+    assert urls.read_vocabulary(table.limit(0)) == ((), {})
+    with pytest.raises(ValueError, match="more than 1 terms"):
+        urls.read_vocabulary(table, most=1)
+    with pytest.raises(ValueError, match="negative"):
+        urls.read_vocabulary(spark.createDataFrame([("a", -1.0)], "term string, weight double"))
