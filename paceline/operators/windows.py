@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.operators.segments import ordered_segments, spanning_groups
+from paceline.session import materialize
 
 FORM_FUNCTIONS = {"avg": F.avg, "sum": F.sum}
 
@@ -118,13 +119,17 @@ def form_carried_over(
     form: dict[str, tuple[str, str]],
     n: int = 5,
     totals: dict[str, str] | None = None,
+    within: dict[str, dict[str, str]] | None = None,
 ) -> DataFrame:
     """Form that leaks over group borders, as the original computes it.
 
     Each row gets the rolling value (its last ``n`` rows, its own included) of
     the row before it in (group, order), so a group's first row receives the
     value of the *previous group's* last row.  ``totals`` are those of
-    ``history_features``, computed in the same pass.
+    ``history_features``, computed in the same pass.  ``within`` maps a further column to
+    totals over its groups in the order (by, order), as ``history_features`` gives them for
+    [column] and [*by, *order]: what its members in ``by`` before this one sum to, plus
+    this one's own total so far, so that the rows need no second order.
 
     The lag runs inside segments of (group, order); each segment's last value is
     handed to the next, which is one row per segment.
@@ -140,6 +145,11 @@ def form_carried_over(
         .select(
             "*",
             *_totals_in_piece(totals, piece),
+            *[
+                total
+                for column, sums in (within or {}).items()
+                for total in _totals_in_piece(sums, Window.partitionBy("seg", *by, column).orderBy(*order))
+            ],
             F.struct(*_form(form, piece.rowsBetween(1 - n, 0))).alias("rolled"),
         )
         .filter(~F.col("halo"))
@@ -170,8 +180,36 @@ def form_carried_over(
         )
     )
     rows = _add_openings(rows, segmented, spanning, by, totals)
+    for column, sums in (within or {}).items():
+        # A group of both may span segments only where its members' group does.
+        rows = _add_openings(rows, segmented, spanning_groups(segmented, [*by, column]), [*by, column], sums)
+        rows = _add_members_before(rows, df, by, column, sums)
     return rows.select(
-        *df.columns, *totals, *[F.col(f"given.{name}").alias(name) for name in form]
+        *df.columns,
+        *totals,
+        *[name for sums in (within or {}).values() for name in sums],
+        *[F.col(f"given.{name}").alias(name) for name in form],
+    )
+
+
+def _add_members_before(rows: DataFrame, df: DataFrame, by: list[str], column: str, sums: dict[str, str]) -> DataFrame:
+    """Add to each total what the members before this one in its group of ``column`` sum to.
+
+    A row per member, written so that its size picks the join.
+    """
+    keys = [column, *by]
+    members = df.groupBy(*keys).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    before = Window.partitionBy(column).orderBy(*by)
+    members = members.select(
+        *[F.col(c).alias(f"__{c}") for c in keys],
+        *[_running_sum(F.col(name), before).alias(f"{name}_members") for name in sums],
+    )
+    members = materialize(members, "members")
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(members, same, "left").withColumns(
+        {name: F.col(name) + F.coalesce(F.col(f"{name}_members"), F.lit(0)) for name in sums}
     )
 
 
@@ -186,4 +224,6 @@ def totals_as_of(df: DataFrame, by: list[str], day: str, totals: dict[str, str])
     opening = daily.select(
         *by, day, *[_running_sum(F.col(name), window).alias(name) for name in totals]
     )
+    # Written, so that its size is known: where it is small the rows stay where they are.
+    opening = materialize(opening, "totals_as_of")
     return df.join(opening, [*by, day])

@@ -33,7 +33,7 @@ from paceline.plans.matrices import (
     with_history_columns,
 )
 from paceline.plans.tables import Tables
-from paceline.schemas import FEATURES
+from paceline.schemas import FEATURES, FORM
 from paceline.session import materialize
 from paceline.sources.dimensions import resolve_circuit
 
@@ -208,7 +208,7 @@ class Prepared:
         """Training matrix, before cleaning."""
         t = self.tables
         stats = self.stats if self.variant == "faithful" else None
-        return train_matrix(self.past, stats, t.qualifying, t.circuit_features)
+        return train_matrix(self.past, stats, t.qualifying, t.circuit_features, t.key)
 
     def score(self, weather: DataFrame) -> DataFrame:
         """Scoring matrix, before cleaning; ``weather`` has the race's one row."""
@@ -232,20 +232,27 @@ def prepare(
     season: int,
     as_of_season: int | None = None,
     variant: str = "faithful",
+    only: str | None = None,
 ) -> Prepared:
+    """``only`` "train" or "score" says that the result serves for one of them, so that
+    nothing is written for the other."""
     as_of_season = season if as_of_season is None else as_of_season
-    columns = ["row_key", *t.order, "circuit_id", "driver_id", "constructor_id"]
+    columns = [*(t.key or ["row_key"]), *t.order, "circuit_id", "driver_id", "constructor_id"]
     columns += ["grid", "finish", "points", "win"]
-    # Read by every step below; behind it lie the parsing and joins of the sources.
-    past_all = materialize(
-        history(t.results, as_of_season).select(*dict.fromkeys(columns)), "history"
-    )
+    past_all = history(t.results, as_of_season).select(*dict.fromkeys(columns))
+    if not t.written:
+        # Read by every step below; behind it lie the parsing and joins of the sources.
+        past_all = materialize(past_all, "history")
     windowed = with_history_columns(past_all, t.order, variant)
     if variant == "corrected":
         windowed = circuit_stats_as_of(windowed)
     active = t.drivers.filter(F.col("season") == season)
-    # Read for training rows, circuit records, average grids and last form.
-    past = materialize(keep_members(windowed, active, "driver_id"), "past")
+    past = keep_members(windowed, active, "driver_id")
+    if only == "score":
+        past = past.select(*dict.fromkeys(["driver_id", *t.order, "grid", "finish", "points", *FORM]))
+    if only != "train":
+        # Read for training rows, circuit records, average grids and last form.
+        past = materialize(past, "past")
     stats = target_circuit_stats(t, past_all, past, circuit_id)
     return Prepared(t, past, stats, circuit_id, season, variant)
 

@@ -15,7 +15,7 @@ from paceline.functions.scalars import DEFAULT_WEATHER, win_flag
 from paceline.operators.filters import at_circuit, keep_members, last_seasons, latest_date_rows
 from paceline.operators.stats import average_grid, circuit_stats_or_overall
 from paceline.operators.windows import form_carried_over, history_features, totals_as_of
-from paceline.plans.tables import Tables
+from paceline.plans.tables import Tables, row_key
 from paceline.schemas import CIRCUIT_STATS, FEATURES, FORM
 from paceline.session import materialize
 from paceline.sources.dimensions import with_circuit_features
@@ -48,10 +48,9 @@ def with_team_totals(df: DataFrame, order: list[str], variant: str = "faithful")
 
 def with_history_columns(df: DataFrame, order: list[str], variant: str = "faithful") -> DataFrame:
     """Driver totals, form and team totals; all drivers must still be present."""
-    # Written, because the next step reads its rows twice to cut them into segments.
-    df = materialize(with_team_totals(df, order, variant), "team_totals")
     if variant == "faithful":
-        return form_carried_over(df, ["driver_id"], order, FORM_COLUMNS, totals=DRIVER_TOTALS)
+        return form_carried_over(df, ["driver_id"], order, FORM_COLUMNS, totals=DRIVER_TOTALS, within={"constructor_id": TEAM_TOTALS})
+    df = with_team_totals(df, order, variant)
     return history_features(df, ["driver_id"], order, DRIVER_TOTALS, FORM_COLUMNS)
 
 
@@ -80,18 +79,20 @@ def train_matrix(
     stats: DataFrame | None,
     qualifying: DataFrame,
     circuit_features: DataFrame,
+    key: list[str] | None = None,
 ) -> DataFrame:
     """One row per past result of an active driver: key, label, 18 features.
 
     ``stats`` is the target circuit's record per driver; without it the rows
-    already carry the record at their own circuit as of their day.
+    already carry the record at their own circuit as of their day.  ``key`` has the
+    columns that make the row's key, if that is not there yet.
     """
     rows = with_qualifying(active, qualifying)
     if stats is not None:
         rows = rows.join(stats.select("driver_id", *CIRCUIT_STATS), "driver_id", "left")
     rows = with_circuit_features(rows, circuit_features)
     return rows.select(
-        "row_key",
+        row_key(key) if key else "row_key",
         "driver_id",
         F.col("win").alias("label"),
         F.col("qualifying_position").cast("double").alias("qualifying_position"),

@@ -648,7 +648,7 @@ def season_so_far(spark, sf):
 
 def _train(spark, sf, variant="faithful"):
     t = star.tables(spark, sf)
-    return jobs.prepare(t, star.CIRCUIT, star.SEASON, variant=variant).train()
+    return jobs.prepare(t, star.CIRCUIT, star.SEASON, variant=variant, only="train").train()
 
 
 @query
@@ -666,7 +666,7 @@ def score_matrix(spark, sf):
     t = star.tables(spark, sf)
     race = t.calendar.filter(F.col("race_name") == star.RACE_NAME)
     weather = jobs.weather_or_default(race, t.weather, star.WEATHER_AS_OF)
-    return jobs.prepare(t, star.CIRCUIT, star.SEASON).score(weather)
+    return jobs.prepare(t, star.CIRCUIT, star.SEASON, only="score").score(weather)
 
 
 @query

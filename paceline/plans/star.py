@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.operators.stats import standings
-from paceline.plans.tables import Tables
+from paceline.plans.tables import Tables, row_key
 from paceline.session import materialize
 
 SEASON = 2001  # the season analysed; its history is 1998 to 2000
@@ -22,6 +22,7 @@ AS_OF = "2001-02-01"
 CIRCUIT = "NATION_7"
 RACE_NAME = "nation_7"
 ORDER = ["race_date", "race_id", "line_no", "part_id", "price_cents", "ship_date"]
+KEY = ["race_id", "driver_id", "line_no", "part_id", "price_cents", "ship_date"]
 WEATHER_AS_OF = "2024-01-05"
 
 
@@ -119,8 +120,7 @@ def results(spark, sf_dir, first: int | None = None, last: int | None = None) ->
         .join(races(spark, sf_dir, first, last), "race_id")
         .join(drivers(spark, sf_dir).drop("s_acctbal"), "driver_id")
     )
-    key = ["race_id", "driver_id", "line_no", "part_id", "price_cents", "ship_date"]
-    return rows.withColumn("row_key", F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
+    return rows.withColumn("row_key", row_key(KEY))
 
 
 def history_results(spark, sf_dir) -> DataFrame:
@@ -192,7 +192,8 @@ def entries(spark, sf_dir) -> DataFrame:
 def written_results(spark, sf_dir) -> DataFrame:
     """The season's and the history's results, joined once and written: what
     standings, entries, qualifying and history of one job are made from."""
-    return materialize(results(spark, sf_dir, SEASON - 3, SEASON), "results")
+    rows = materialize(results(spark, sf_dir, SEASON - 3, SEASON).drop("row_key"), "results")
+    return rows.withColumn("row_key", row_key(KEY))
 
 
 def _nation(spark, sf_dir) -> DataFrame:
@@ -267,4 +268,6 @@ def tables(spark, sf_dir) -> Tables:
         circuit_features=circuit_features(spark, sf_dir),
         weather=daily_weather(spark, sf_dir),
         order=ORDER,
+        key=KEY,
+        written=True,
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.sources import dimensions
@@ -19,6 +19,8 @@ class Tables:
     grid, finish, points, the order columns and a unique text ``row_key``;
     ``weather`` with a day ``issued`` is taken as of the day asked about;
     of several rows of ``qualifying`` for a driver and day the lowest position counts.
+    ``key`` names the columns that ``row_key`` is the text of, so that a text need not
+    go along through every step; ``written`` says that ``results`` is a written table.
     """
 
     results: DataFrame
@@ -32,6 +34,13 @@ class Tables:
     circuit_features: DataFrame
     weather: DataFrame
     order: list[str] = field(default_factory=lambda: ["race_date", "round"])
+    key: list[str] | None = None
+    written: bool = False
+
+
+def row_key(key: list[str]) -> Column:
+    """The text that names a row."""
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("row_key")
 
 
 def from_landing(spark: SparkSession, landing: str) -> Tables:
@@ -40,9 +49,8 @@ def from_landing(spark: SparkSession, landing: str) -> Tables:
     def table(kind: str) -> DataFrame:
         return read_table(spark, landing, kind)
 
-    results = table("results").withColumn(
-        "row_key", F.concat_ws("|", "season", "round", "race_date", "driver_id")
-    )
+    key = ["season", "round", "race_date", "driver_id"]
+    results = table("results").withColumn("row_key", row_key(key))
     return Tables(
         results=results,
         qualifying=with_race(table("qualifying"), table("schedule")),
@@ -54,4 +62,5 @@ def from_landing(spark: SparkSession, landing: str) -> Tables:
         circuit_aliases=dimensions.circuit_aliases(spark),
         circuit_features=dimensions.circuit_features(spark),
         weather=read_forecasts(spark, landing),
+        key=key,
     )

@@ -102,5 +102,5 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _scopes and not keep:
         _scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -139,3 +139,33 @@ def test_kept_state_and_rounds_equal_a_recomputation(spark, cuts):
         assert {(w["g"], w["at"]): w["sum_x"] for w in out.collect()} == {k: v[4] for k, v in whole.items() if lo <= k[1] < hi}
     end = kept.fold(df, *args, n=3)
     assert sorted(map(tuple, state.select(*end.columns).collect())) == sorted(map(tuple, end.collect()))
+
+
+def test_totals_within_a_further_column_need_no_second_order(spark):
+    """Drivers of several teams, more segments than drivers: the same totals as in an order of their own."""
+    from paceline.operators.windows import form_carried_over, history_features
+    from paceline.plans import matrices
+
+    rows = [(d, (d * 7 + i // 9) % 3, i, (i * d) % 11, int(i % 4 == 0), i % 6) for d in range(1, 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "driver_id int, constructor_id int, at int, points int, win int, finish int")
+    got = form_carried_over(
+        df, ["driver_id"], ["at"], matrices.FORM_COLUMNS, totals=matrices.DRIVER_TOTALS, within={"constructor_id": matrices.TEAM_TOTALS}
+    ).select("driver_id", "at", *matrices.TEAM_TOTALS)
+    want = history_features(df, ["constructor_id"], ["driver_id", "at"], matrices.TEAM_TOTALS).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_matrix_writes_each_row_twice_at_most(spark, sf_dir, monkeypatch):
+    """Results, and their segments: no copy of either for a reader that a matrix does not have, nor row keys in them."""
+    from paceline import session
+    from paceline.operators import segments, windows
+    from paceline.plans import jobs, matrices, queries, star
+
+    written, write = [], session.materialize
+    for module in (segments, windows, jobs, matrices, star):
+        monkeypatch.setattr(module, "materialize", lambda df, name, **k: written.append((name, df.columns)) or write(df, name, **k))
+    for variant, segment in (("faithful", "carried"), ("corrected", "history")):
+        written.clear()
+        queries._train(spark, sf_dir, variant)
+        assert [name for name, _ in written if name not in ("members", "totals_as_of")] == ["results", segment]
+        assert all("row_key" not in columns for _, columns in written)
