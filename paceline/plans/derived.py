@@ -108,25 +108,28 @@ def recaptured_texts(spark, sf_dir) -> DataFrame:
         ).alias("Constructor"),
     )
     rows = _result_rows(spark, sf_dir).withColumn("round", F.floor(F.col("race_id") / RACES_A_DOCUMENT).cast("int"))
+    # Dealt by document, which serves its races too.
+    rows = rows.repartition("season", "round")
     # A race has few results and a document few races, so both lists stay short.
     races = rows.groupBy("season", "round", "race_id", "circuit_id", "race_date").agg(F.collect_list(result).alias("of"))
 
-    def document(day: Column, kept: Column) -> Column:
+    def document(day: Column, kept: Column, asked: Column | None = None) -> Column:
         race = F.struct(
             F.col("circuit_id").alias("raceName"),
             F.when(F.col("race_id") % 13 != 0, F.date_format(day, "yyyy-M-d")).alias("date"),
             F.struct(F.col("circuit_id").alias("circuitId")).alias("Circuit"),
             kept.alias("Results"),
         )
-        listed = F.struct(F.struct(F.struct(F.collect_list(race).alias("Races")).alias("RaceTable")).alias("MRData"))
+        listed = F.struct(F.struct(F.struct(F.collect_list(race if asked is None else F.when(asked, race)).alias("Races")).alias("RaceTable")).alias("MRData"))
         return F.to_json(listed)
 
     first = document(F.col("race_date"), F.col("of"))
-    second = document(F.date_add("race_date", 1), F.filter("of", lambda r: r["l_linenumber"] % 2 == 0))
+    again = F.col("round") % 5 == 0
+    second = document(F.date_add("race_date", 1), F.filter("of", lambda r: r["l_linenumber"] % 2 == 0), again)
     answers = races.groupBy("season", "round").agg(first.alias("first"), second.alias("second"))
     texts = F.array(
         F.struct(F.lit(1).alias("at"), F.col("first").alias("value")),
-        F.struct(F.lit(2).alias("at"), F.when(F.col("round") % 5 == 0, F.col("second")).alias("value")),
+        F.struct(F.lit(2).alias("at"), F.when(again, F.col("second")).alias("value")),
         F.struct(F.lit(3).alias("at"), F.when(F.col("round") % 7 == 0, F.substring("first", 1, 20)).alias("value")),
     )
     asked = answers.select("season", "round", F.explode(texts).alias("t")).filter("t.value is not null")

@@ -18,7 +18,7 @@ must have are set aside with the reasons (``accepted``, ``rejected``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -357,11 +357,11 @@ def latest(captures: DataFrame, kind: str) -> DataFrame:
 
 def superseded(captures: DataFrame, kind: str) -> DataFrame:
     """The captures of a manifest that a newer one of their request replaces."""
-    last = latest(captures, kind)
-    same = captures["capture"] == last["capture"]
-    for c in path_columns(kind):
-        same = same & captures[c].eqNullSafe(last[c])
-    return captures.join(last, same, "left_anti").select(*path_columns(kind), "capture").distinct()
+    # A request has few captures; over a window the documents behind them are read once.
+    last = F.max(F.struct("at", "capture")).over(Window.partitionBy(*path_columns(kind)))
+    marked = captures.withColumn("__last", last["capture"])
+    old = ~F.coalesce(F.col("capture") == F.col("__last"), F.lit(False))
+    return marked.filter(old).select(*path_columns(kind), "capture").distinct()
 
 
 def _without(rows: DataFrame, old: DataFrame, request: dict[str, Column]) -> DataFrame:

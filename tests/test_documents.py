@@ -267,3 +267,12 @@ def test_of_overlapping_forecasts_the_newest_day_counts(spark, tmp_path):
         write(tmp_path, f"weather/city=x/country=y/forecast_date={issued}/doc.json", {"forecast": {"forecastday": [day] * 3}})
     got = {str(r["forecast_date"]): r["temperature"] for r in docs.read_table(spark, str(tmp_path), "weather").collect()}
     assert got == {"2024-07-02": 20.0, "2024-07-03": 22.0, "2024-07-04": 22.0, "2024-07-05": 22.0}
+
+
+def test_replaced_captures_read_their_documents_once(spark, sf_dir):
+    """The newest capture is found beside the others."""
+    from paceline.plans.queries import QUERIES
+
+    plan = QUERIES["captures_replaced"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
+    assert sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
