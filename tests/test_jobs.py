@@ -2,6 +2,7 @@
 
 import json
 import random
+from dataclasses import replace
 from datetime import date, timedelta
 
 import pytest
@@ -11,6 +12,7 @@ from paceline.functions.scalars import track_condition
 from paceline.operators.model import TreeSettings
 from paceline.plans import jobs
 from paceline.plans.tables import from_landing
+from paceline.session import materialize
 from paceline.sources import dimensions, sinks
 from paceline.sources.documents import read_table
 
@@ -139,6 +141,28 @@ def test_predict_winner(tables, variant):
     assert sum(importances) == pytest.approx(1)
 
 
+def test_a_prediction_leaves_the_matrices_and_the_ways(spark, tables):
+    """What lies behind the matrices is deleted, with the tables themselves if the job makes them."""
+    from test_session import tables as listed
+    from test_session import written
+
+    made = []
+
+    def own():
+        results = materialize(tables.results, "own_results")
+        made.append("own_results" in written(spark))
+        return replace(tables, results=results)
+
+    before = listed(spark)
+    prediction = jobs.predict_winner(own, "United Kingdom", 2024, AS_OF, settings=TreeSettings(trees=2))
+    left = {n.rsplit("-", 1)[0] for n in listed(spark) - before}
+    assert made == [True] and left <= {"train", "score", "ways", "ranked"}
+    assert prediction.ranking.count() == 5
+    assert prediction.learnt_from.count() > 0 and 0 <= prediction.accuracy.first()["accuracy"] <= 1
+    classes = [r["count"] for r in prediction.learnt_from.groupBy("label").count().collect()]
+    assert len(classes) == 2
+
+
 def test_no_prediction_without_race_or_history(tables):
     assert jobs.predict_winner(tables, "Atlantis", 2024, AS_OF) is None
     assert jobs.predict_winner(tables, "United Kingdom", 2024, AS_OF, as_of_season=2010) is None

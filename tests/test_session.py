@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from paceline import session
 
 
-def written(spark):
+def tables(spark):
     folder = session._own_dir(spark).removeprefix("file:")
-    return {n.rsplit("-", 1)[0] for n in os.listdir(folder)} if os.path.isdir(folder) else set()
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def written(spark):
+    return {n.rsplit("-", 1)[0] for n in tables(spark)}
 
 
 def test_scratch_tables_go_and_kept_ones_stay(spark):
